@@ -1,0 +1,7 @@
+"""Named queries (the Spark plans) and their DuckDB oracles."""
+
+from tollgate.plans.registry import DOCS, ORACLES, QUERIES
+from tollgate.plans import catalog_tables as _tables  # noqa: F401  (registers)
+from tollgate.plans import catalog_stats as _stats  # noqa: F401
+
+__all__ = ["QUERIES", "ORACLES", "DOCS"]

@@ -144,6 +144,16 @@ def _run_log_sql() -> str:
 
 
 CTES["run_log"] = (("run_groups",), _run_log_sql())
+CTES["fin_events"] = (("opening_events", "txns"), """
+  SELECT userid, amount, user_txn_id, message, txn_time FROM opening_events
+  UNION ALL
+  SELECT userid, spent_amount, user_txn_id, purpose, txn_time FROM txns WHERE spent_amount <> 0""")
+CTES["users_locked"] = (("users",), f"""
+  SELECT userid, user_json_object, user_last_seen,
+         CASE WHEN userid % 3 = 0 THEN userid * 10 + 1 END AS user_softlock_sessionid,
+         CASE WHEN userid % 3 = 0 THEN make_timestamp(CAST({BASE + 2 * HOUR} AS BIGINT) + (userid % 7 - 3) * 60000000) END
+           AS user_softlock_expiry
+  FROM users""")
 
 
 def _closure(names) -> list[str]:

@@ -151,6 +151,10 @@ def txns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservations from click events, *not* keyed (several rows may share a
     (userid, sessionid) pair)."""
+    return _usage_raw(spark, sf_dir).drop("event_id")
+
+
+def _usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = events(spark, sf_dir).filter(F.col("event_type") == "click")
     eid = F.col("event_id")
     return ev.select(
@@ -164,7 +168,7 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def usage_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reservations keyed on (userid, sessionid): the latest row wins."""
     w = Window.partitionBy("userid", "sessionid").orderBy(F.col("lastdate").desc(), F.col("event_id").desc())
-    return (usage(spark, sf_dir).withColumn("rn", F.row_number().over(w))
+    return (_usage_raw(spark, sf_dir).withColumn("rn", F.row_number().over(w))
             .filter("rn = 1").drop("rn", "event_id"))
 
 
@@ -209,3 +213,23 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.concat(F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(":Processed "),
                               c.cast("string"), F.lit(" transactions")).alias("line"))
     return summary.unionByName(noise)
+
+
+def fin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Financial events for the view tests: the opening events plus one event
+    per ledger row of ``txns`` that moved money."""
+    moves = (txns(spark, sf_dir).filter(F.col("spent_amount") != 0)
+             .select("userid", F.col("spent_amount").alias("amount"), "user_txn_id",
+                     F.col("purpose").alias("message"), "txn_time"))
+    return opening_events(spark, sf_dir).unionByName(moves)
+
+
+def users_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users where every third holds a soft lock expiring around the metrics
+    as_of (some before it, some after)."""
+    u = users(spark, sf_dir)
+    locked = F.col("userid") % 3 == 0
+    expiry = _ts(F.lit(METRICS_AS_OF_US) + (F.col("userid") % 7 - 3) * 60000000)
+    return u.select("userid", "user_json_object", "user_last_seen",
+                    F.when(locked, F.col("userid") * 10 + 1).alias("user_softlock_sessionid"),
+                    F.when(locked, expiry).alias("user_softlock_expiry"))
