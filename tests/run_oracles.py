@@ -34,7 +34,7 @@ def main():
             r = {"ok": False, "error": f"{type(e).__name__}: {str(e)[:400]}"}
         r["sec"] = round(time.time() - t, 2)
         bad += r.get("ok") is False
-        print(name, json.dumps(r, default=str), flush=True)
+        print("\nRESULT", name, json.dumps(r, default=str), flush=True)
     print("FAILED", bad)
 
 

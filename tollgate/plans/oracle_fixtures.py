@@ -180,4 +180,7 @@ def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) ->
         names = tuple(n for n in CTES if re.search(rf"\b{n}\b", text))
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in _closure(names)]
     parts += [f"{k} AS ({v}\n)" for k, v in (extra or {}).items()]
+    body = sql.lstrip()
+    if parts and body[:5].upper() == "WITH ":
+        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql
