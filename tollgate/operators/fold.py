@@ -53,14 +53,14 @@ def _gson_str(s: str) -> str:
     return out
 
 
-def apply_loyalty_delta(old_json, payload):
+def apply_loyalty_delta(old_json, payload, uid=None):
     """NEW_LOYALTY_NUMBER: returns (new_json, None) or (None, error_text)."""
     try:
         obj = _json.loads(old_json) if old_json is not None else None
     except ValueError:
         obj = "bad"
     if not isinstance(obj, dict):
-        return None, f"Json syntax exception while working with User, ' {old_json}' and '{payload}"
+        return None, f"Json syntax exception while working with User {uid}, ' {old_json}' and '{payload}"
     number = parse_long(payload)
     if number is None:
         return None, f"Invalid loyalty card number: '{payload}"
@@ -386,7 +386,7 @@ def _update_locked_user(st, uid, r, out):
     if st.lock_expiry is None or st.lock_session == r.session_id:
         new_json = r.json
         if r.delta_op == S.NEW_LOYALTY_NUMBER:
-            new_json, err = apply_loyalty_delta(st.json, r.json)
+            new_json, err = apply_loyalty_delta(st.json, r.json, uid)
             if err is not None:
                 out.decision(r, uid, st, S.STATUS_ABORTED, err, r.session_id)
                 return

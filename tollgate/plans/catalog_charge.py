@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tollgate.operators import audit as C
 from tollgate.operators import charge as D
 from tollgate.operators import metrics as M
+from tollgate.plans.oracle_fold import decisions_sql, events_sql, fold_ctes
 from tollgate.plans.registry import register
 from tollgate.sources import fixtures as fx
 
@@ -26,6 +27,33 @@ def replay_single(spark, sf) -> D.ChargeResult:
 
 _TTL_US = 180 * 60 * 1000000
 
+# The replay's oracle: a recursive CTE over the full log (see oracle_fold).
+_FOLD = dict(fixtures=("requests", "users", "opening_events"), extra=fold_ctes(), recursive=True)
+_DEC = decisions_sql()
+
+_FINAL = """
+SELECT userid,
+       CASE WHEN ex THEN js END AS user_json_object,
+       CASE WHEN ex THEN ls END AS user_softlock_sessionid,
+       CASE WHEN ex THEN make_timestamp(le) END AS user_softlock_expiry,
+       bal AS balance,
+       CASE WHEN len(us) > 0 THEN CAST(list_sum(list_transform(us, lambda x: x.a)) AS BIGINT) END AS allocated,
+       CASE WHEN len(us) > 0 THEN CAST(len(us) AS BIGINT) END AS sessions,
+       CASE WHEN len(tx) > 0 THEN CAST(len(tx) AS BIGINT) END AS txns
+FROM (SELECT userid, ex, js, ls, le, bal, us, tx FROM steps s
+      WHERE n = (SELECT max(n) FROM steps s2 WHERE s2.userid = s.userid)
+      UNION ALL
+      SELECT u.userid, true, u.user_json_object, u.user_softlock_sessionid, epoch_us(u.user_softlock_expiry),
+             (SELECT CAST(sum(amount) AS BIGINT) FROM opening_events o WHERE o.userid = u.userid), [], []
+      FROM users u WHERE u.userid NOT IN (SELECT userid FROM requests))
+WHERE ex OR bal IS NOT NULL"""
+
+
+def _expected_sql() -> str:
+    from tollgate import schema as S
+    return " OR ".join(f"(op = '{op}' AND status IN ({', '.join(str(c) for c in codes)}))"
+                       for op, codes in S.EXPECTED_STATUSES.items())
+
 # DuckDB form of the single-session closed form (plain windows).
 _SINGLE = f"""
 WITH r AS (
@@ -73,19 +101,19 @@ def charge_single_session(spark, sf):
     return replay_single(spark, sf).decisions
 
 
-@register("charge")
+@register("charge", _DEC, **_FOLD)
 def charge(spark, sf):
     """Decisions of the full request log replayed per user."""
     return replay(spark, sf).decisions
 
 
-@register("charge_events")
+@register("charge_events", events_sql(), **_FOLD)
 def charge_events(spark, sf):
     """The financial events the replay exports."""
     return replay(spark, sf).events_with_request
 
 
-@register("charge_final_state")
+@register("charge_final_state", _FINAL, **_FOLD)
 def charge_final_state(spark, sf):
     """Final balance and reservation total per user after the replay."""
     r = replay(spark, sf)
@@ -96,19 +124,19 @@ def charge_final_state(spark, sf):
             .join(r.balances, "userid", "full_outer").join(alloc, "userid", "left").join(led, "userid", "left"))
 
 
-@register("report_quota_usage")
+@register("report_quota_usage", f"SELECT * FROM ({_DEC}) WHERE op = 'REPORT_USAGE'", **_FOLD)
 def report_quota_usage(spark, sf):
     """The usage-report decisions of the replay."""
     return D.report_quota_usage(replay(spark, sf))
 
 
-@register("lock_user")
+@register("lock_user", f"SELECT * FROM ({_DEC}) WHERE op = 'LOCK_USER'", **_FOLD)
 def lock_user(spark, sf):
     """The lock decisions of the replay."""
     return D.lock_user(replay(spark, sf))
 
 
-@register("update_locked_user")
+@register("update_locked_user", f"SELECT * FROM ({_DEC}) WHERE op = 'UPDATE_USER'", **_FOLD)
 def update_locked_user(spark, sf):
     """The locked-update decisions of the replay."""
     return D.update_locked_user(replay(spark, sf))
@@ -165,7 +193,9 @@ def user_360(spark, sf):
                       fx.txns(spark, sf))
 
 
-@register("status_mix")
+@register("status_mix", f"""
+SELECT op, status, count(*) AS how_many, NOT coalesce({_expected_sql()}, false) AS unexpected
+FROM ({_DEC}) GROUP BY op, status""", **_FOLD)
 def status_mix(spark, sf):
     """Replay decisions per (op, status), unexpected statuses flagged."""
     return C.status_mix(replay(spark, sf).decisions)
@@ -180,19 +210,36 @@ def status_mix_single_session(spark, sf):
                                                       fx.opening_events(spark, sf)))
 
 
-@register("lock_contention")
+@register("lock_contention", f"""
+SELECT d.userid,
+       count(CASE WHEN d.op = 'LOCK_USER' THEN 1 END) AS lock_attempts,
+       count(CASE WHEN d.op = 'LOCK_USER' AND d.status = 53 THEN 1 END) AS lock_failures,
+       count(CASE WHEN d.op = 'UPDATE_USER' AND d.status = 42 AND NOT coalesce(r.delta_op = 'NEW_LOYALTY_NUMBER', false)
+                  THEN 1 END) AS full_updates,
+       count(CASE WHEN d.op = 'UPDATE_USER' AND d.status = 42 AND coalesce(r.delta_op = 'NEW_LOYALTY_NUMBER', false)
+                  THEN 1 END) AS delta_updates,
+       count(CASE WHEN d.op = 'UPDATE_USER' AND d.status <> 42 THEN 1 END) AS update_failures
+FROM ({_DEC}) d LEFT JOIN requests r ON r.request_id = d.request_id
+WHERE d.op IN ('LOCK_USER', 'UPDATE_USER') GROUP BY d.userid""", **_FOLD)
 def lock_contention(spark, sf):
     """Lock attempts, conflicts and updates per user from the replay."""
     return C.lock_contention(replay(spark, sf).decisions, fx.requests(spark, sf))
 
 
-@register("negative_after_decision")
+@register("negative_after_decision", f"SELECT * FROM ({_DEC}) WHERE balance_after - allocated_after < 0", **_FOLD)
 def negative_after_decision(spark, sf):
     """C2 on decisions: answers that left the spendable balance below zero."""
     return C.negative_after_decision(replay(spark, sf).decisions)
 
 
-@register("allocated_series")
+@register("allocated_series", f"""
+SELECT txn_time, CAST(sum(delta) OVER (ORDER BY txn_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+         AS allocated_amount
+FROM (SELECT date_trunc('minute', txn_time) AS txn_time, sum(delta) AS delta
+      FROM (SELECT txn_time, allocated_after - coalesce(lag(allocated_after) OVER (PARTITION BY userid
+                   ORDER BY txn_time, request_id), 0) AS delta
+            FROM ({_DEC}) WHERE allocated_after IS NOT NULL)
+      GROUP BY date_trunc('minute', txn_time))""", **_FOLD)
 def allocated_series(spark, sf):
     """M5: total reserved credit per minute, from the replay's decisions."""
     return M.allocated_series(replay(spark, sf).decisions)

@@ -171,7 +171,7 @@ def _closure(names) -> list[str]:
     return out
 
 
-def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) -> str:
+def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with the CTEs it reads.  ``names`` lists fixtures; when
     empty they are detected from identifiers in the text.  ``extra`` adds
     statement-specific CTEs (in order) after the fixtures."""
@@ -181,6 +181,7 @@ def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None) ->
     parts = [f"{n} AS ({CTES[n][1]}\n)" for n in _closure(names)]
     parts += [f"{k} AS ({v}\n)" for k, v in (extra or {}).items()]
     body = sql.lstrip()
+    head = "WITH RECURSIVE " if recursive else "WITH "
     if parts and body[:5].upper() == "WITH ":
-        return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
-    return "WITH " + ",\n".join(parts) + "\n" + sql if parts else sql
+        return head + ",\n".join(parts) + ",\n" + body[5:]
+    return head + ",\n".join(parts) + "\n" + sql if parts else sql

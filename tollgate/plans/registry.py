@@ -17,7 +17,7 @@ DOCS: dict[str, str] = {}
 
 
 def register(name: str, sql: str | None = None, fixtures: tuple[str, ...] = (),
-             extra: dict[str, str] | None = None):
+             extra: dict[str, str] | None = None, recursive: bool = False):
     """Register ``fn(spark, sf_dir) -> DataFrame`` under ``name``.  Outputs are
     cast to TIMESTAMP_NTZ so that both engines show zone-less times."""
     def deco(fn):
@@ -28,6 +28,6 @@ def register(name: str, sql: str | None = None, fixtures: tuple[str, ...] = (),
         QUERIES[name] = run
         DOCS[name] = (fn.__doc__ or "").strip()
         if sql is not None:
-            ORACLES[name] = with_fixtures(sql, *fixtures, extra=extra)
+            ORACLES[name] = with_fixtures(sql, *fixtures, extra=extra, recursive=recursive)
         return fn
     return deco
