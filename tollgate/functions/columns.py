@@ -40,8 +40,9 @@ def ts_literal(value) -> Column:
 
 
 def date_shift(ts, minutes: int = 0, seconds: int = 0, millis: int = 0) -> Column:
-    """DATEADD over minutes / seconds / milliseconds (negative = back)."""
-    out = _c(ts) if not isinstance(ts, (int, str, _dt.datetime)) else ts_literal(ts)
+    """DATEADD over minutes / seconds / milliseconds (negative = back).
+    ``ts`` is a column (or column name), or a datetime / epoch microseconds."""
+    out = ts_literal(ts) if isinstance(ts, (int, _dt.datetime)) else _c(ts)
     micros = ((minutes * 60 + seconds) * 1000 + millis) * 1000
     if micros:
         out = F.timestamp_micros(F.unix_micros(out) + F.lit(micros))

@@ -137,7 +137,7 @@ class Ledger:
 
 class UserState:
     __slots__ = ("exists", "json", "last_seen", "lock_session", "lock_expiry", "balance",
-                 "usage", "alloc", "usage_heap", "ledger", "last_t")
+                 "usage", "alloc", "usage_heap", "ledger", "last_t", "last_id")
 
     def __init__(self):
         self.exists = False
@@ -151,6 +151,7 @@ class UserState:
         self.usage_heap: list = []           # (lastdate, session), lazily invalidated
         self.ledger = Ledger()
         self.last_t = None                   # time of the last applied request
+        self.last_id = None                  # its request id
 
     # -- reservations ------------------------------------------------------
     def set_usage(self, session, amount, lastdate):
@@ -194,18 +195,18 @@ class UserState:
     def to_json(self) -> str:
         return _json.dumps([self.exists, self.json, self.last_seen, self.lock_session, self.lock_expiry,
                             self.balance, [[s, a, d] for s, (a, d) in self.usage.items()],
-                            [[k, *v] for _, k, v in self.ledger.items_sorted()], self.last_t])
+                            [[k, *v] for _, k, v in self.ledger.items_sorted()], self.last_t, self.last_id])
 
     @classmethod
     def from_json(cls, text: str) -> "UserState":
-        (ex, js, seen, ls, le, bal, usage, txns, last_t) = _json.loads(text)
+        (ex, js, seen, ls, le, bal, usage, txns, last_t, last_id) = _json.loads(text)
         st = cls()
         st.exists, st.json, st.last_seen, st.lock_session, st.lock_expiry, st.balance = ex, js, seen, ls, le, bal
         for s, a, d in usage:
             st.set_usage(s, a, d)
         for k, t, sess, appr, spent, purpose in txns:
             st.ledger.insert(k, t, sess, appr, spent, purpose)
-        st.last_t = last_t
+        st.last_t, st.last_id = last_t, last_id
         return st
 
 
@@ -260,7 +261,7 @@ def step(st: UserState, uid: int, r: Request, out: Output, mode: str = "referenc
     """Apply one request of user ``uid`` at time ``r.t``."""
     now = r.t
     st.expire(now, mode)
-    st.last_t = now
+    st.last_t, st.last_id = now, r.request_id
     op = r.op
     if op == "REPORT_USAGE":
         _report_usage(st, uid, r, out, mode)

@@ -243,3 +243,27 @@ FROM (SELECT date_trunc('minute', txn_time) AS txn_time, sum(delta) AS delta
 def allocated_series(spark, sf):
     """M5: total reserved credit per minute, from the replay's decisions."""
     return M.allocated_series(replay(spark, sf).decisions)
+
+
+@register("charge_stream", _DEC, **_FOLD)
+def charge_stream(spark, sf):
+    """The replay as a running stream: the first half of the log (by time)
+    is processed, the query stops, the second half arrives and the query
+    resumes from its checkpoint (RocksDB state, idempotent sink).  Its
+    decisions must equal D1's."""
+    import os
+    import uuid
+
+    from tollgate.session import ensure_checkpoint_dir
+    from tollgate.streaming import charge_stream as CS
+
+    root = os.path.join(ensure_checkpoint_dir(spark), f"charge-stream-{uuid.uuid4().hex}")
+    req = fx.requests(spark, sf).withColumn("_t", F.unix_micros("txn_time"))
+    mid = req.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY _t)").alias("m")).first()["m"]
+    split = req.withColumn("_part", F.when(F.col("_t") < F.lit(mid), 1).otherwise(2))
+    inbox = os.path.join(root, "in")
+    for part in (1, 2):
+        split.filter(F.col("_part") == part).drop("_t", "_part").write.mode("append").parquet(inbox)
+        CS.run_available(CS.request_stream(spark, inbox), os.path.join(root, "out"), os.path.join(root, "state"),
+                         users=fx.users(spark, sf), opening_events=fx.opening_events(spark, sf))
+    return CS.decisions_of(CS.read_charge_outputs(spark, os.path.join(root, "out")))

@@ -158,6 +158,39 @@ def loyalty_delta_update(spark, sf):
     return L.loyalty_delta(fx.users(spark, sf), upd)
 
 
+# ------------------------------------------------------ scalar functions ---
+
+@register("minute_trunc", """
+SELECT userid, user_txn_id, txn_time, date_trunc('minute', txn_time) AS minute FROM txns""", ("txns",))
+def minute_trunc(spark, sf):
+    """TRUNCATE(MINUTE, txn_time) of every ledger row."""
+    from tollgate.functions.columns import minute_trunc as mt
+    return fx.txns(spark, sf).select("userid", "user_txn_id", "txn_time", mt("txn_time").alias("minute"))
+
+
+@register("date_shift", """
+SELECT request_id, txn_time, txn_time - INTERVAL 1 MINUTE AS minute_before,
+       txn_time + INTERVAL 50 MILLISECOND AS lock_expiry FROM requests""", ("requests",))
+def date_shift(spark, sf):
+    """DATEADD(MINUTE, -1, t) and DATEADD(MILLISECOND, 50, t) per request."""
+    from tollgate.functions.columns import date_shift as ds
+    r = fx.requests(spark, sf)
+    return r.select("request_id", "txn_time", ds("txn_time", minutes=-1).alias("minute_before"),
+                    ds("txn_time", millis=50).alias("lock_expiry"))
+
+
+@register("null_default", """
+SELECT r.request_id, r.userid, CAST(coalesce(a.s, 0) AS BIGINT) AS allocated_amount
+FROM requests r LEFT JOIN (SELECT userid, sum(allocated_amount) AS s FROM usage GROUP BY userid) a USING (userid)""",
+          ("requests", "usage"))
+def null_default(spark, sf):
+    """nvl(sum(reserved), 0) of the requesting user, per request."""
+    from tollgate.functions.columns import null_default as nd
+    per_user = fx.usage(spark, sf).groupBy("userid").agg(F.sum("allocated_amount").alias("s"))
+    return (fx.requests(spark, sf).select("request_id", "userid").join(per_user, "userid", "left")
+            .select("request_id", "userid", nd("s").cast("long").alias("allocated_amount")))
+
+
 # ------------------------------------------------------------------ views ---
 
 @register("current_locks", "SELECT count(*) AS how_many FROM users_locked WHERE user_softlock_expiry IS NOT NULL",
