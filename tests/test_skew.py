@@ -40,14 +40,15 @@ def test_first_and_later_than_first(spark):
 
 
 def test_single_session_closed_form_equals_fold_for_a_hot_user(spark):
-    """One user holds a third of the log and spans many time buckets; the
-    bucketed prefix sums must still equal the sequential fold."""
+    """One user holds a third of the log and spans eight time buckets; the
+    bucketed prefix sums and the carried reservations must still equal the
+    sequential fold."""
     rnd = random.Random(3)
     base = 1_704_067_200_000_000
     reqs = []
     for i in range(1200):
         uid = 1 if i % 3 == 0 else rnd.randint(2, 20)
-        t = base + i * 20_000_000 + rnd.randint(0, 5)
+        t = base + i * 75_000_000 + rnd.randint(0, 5)
         if rnd.random() < 0.3:
             reqs.append((i, t, uid, "ADD_CREDIT", f"T{i}", None, None, None, rnd.randint(-5, 100)))
         else:
@@ -62,7 +63,7 @@ def test_single_session_closed_form_equals_fold_for_a_hot_user(spark):
         F.lit(None).cast("long").alias("user_softlock_sessionid"),
         F.lit(None).cast("timestamp").alias("user_softlock_expiry"))
     opening = users.select("userid", F.lit(50).cast("long").alias("amount"))
-    closed = D.report_usage_single_session(df, opening, bucket_us=600_000_000)   # 10-minute buckets
+    closed = D.report_usage_single_session(df, opening, bucket_us=3 * 3600 * 1_000_000)   # 3-hour buckets
     fold = D.charge(df, users=users, opening_events=opening).decisions
     cols = sorted(closed.columns)
     a = sorted(tuple(r) for r in closed.select(*cols).collect())

@@ -106,8 +106,8 @@ class _Rows:
         self.n += n
 
     def add_output(self, out: Output):
-        self.add("decision", out.d, len(out.d["request_id"]))
-        self.add("event", out.e, len(out.e["request_id"]))
+        self.add("decision", out.d, len(out.drows))
+        self.add("event", out.e, len(out.erows))
 
     def add_final(self, uid: int, st: UserState):
         if st.exists:
@@ -166,8 +166,6 @@ def fold_partition(batches, mode: str = "reference"):
             u = users[i]
             if u != uid:
                 if uid is not None:
-                    rows.add_output(out)
-                    out = Output()
                     rows.add_final(uid, st)
                 uid, st = u, UserState()
             rec = recs[i]
@@ -330,24 +328,32 @@ def update_locked_user(result: ChargeResult) -> DataFrame:
 # --------------------------------------------------- closed forms (no UDF) ---
 
 HOUR_US = 3600 * 1_000_000
+USAGE_TTL_US = S.USAGE_TTL_MINUTES * 60 * 1_000_000
 
 
 def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
-                                bucket_us: int = HOUR_US) -> DataFrame:
+                                bucket_us: int = 12 * HOUR_US) -> DataFrame:
     """D3: decisions for logs where every user has at most one open session,
     ADD_CREDIT and REPORT_USAGE only, users all existing with a balance row,
     no repeated txn ids.  Then the other sessions' reservations are zero and
     a usage report sees ``available = balance before its own spend`` (Q1),
-    a running sum.
-
-    The running sum is a two-level prefix sum, so a hot user is split over
-    time buckets: (1) per (user, bucket) totals by partial aggregation,
-    (2) a window over the bucket totals of each user (one row per bucket)
-    gives each bucket's opening balance, (3) a window inside (user, bucket)
-    adds the rows before.  The reservation held after an ADD_CREDIT is the
-    last usage report's grant unless the 180-minute TTL expired it; it is
-    carried across buckets the same way.  No Python; one shuffle on
-    (userid, bucket) plus small per-bucket aggregates."""
+    a running sum.  No Python.
+
+    A hot user is split into time buckets (``bucket_us``, at least the
+    180-minute reservation TTL):
+
+    1. per (user, bucket) delta totals by partial aggregation, and a window
+       over those small rows gives each bucket's opening balance;
+    2. each row goes to its bucket; rows in the last TTL of a bucket are also
+       copied into the next bucket as context (25 % extra rows at 12 h);
+    3. one shuffle on (userid, bucket) and windows inside it: own rows add
+       the deltas before them to the opening balance, context rows subtract
+       the deltas from them to the end of the context; a credit's held
+       reservation is the last usage report's grant (own or context row)
+       unless the TTL expired it - nothing older than the previous bucket can
+       still be held."""
+    if bucket_us < USAGE_TTL_US:
+        raise ValueError("bucket_us must be at least the reservation TTL")
     r = requests.select("request_id", "userid", "txn_time", "op", "txn_id", "session_id", "units_used",
                         "units_wanted", "amount")
     is_rqu = F.col("op") == "REPORT_USAGE"
@@ -361,14 +367,24 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
     per_bucket = r.groupBy("userid", "bucket").agg(F.sum("delta").alias("bucket_delta"))
     wb = Window.partitionBy("userid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (per_bucket.join(opening, "userid", "left")
-               .withColumn("bucket_open", F.coalesce(F.col("opening"), F.lit(0))
-                           + F.coalesce(F.sum("bucket_delta").over(wb), F.lit(0)))
-               .select("userid", "bucket", "bucket_open"))
-
-    inb = Window.partitionBy("userid", "bucket").orderBy("t_us", "request_id")
-    before = inb.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (r.join(offsets, ["userid", "bucket"])
-            .withColumn("bal_before", F.col("bucket_open") + F.coalesce(F.sum("delta").over(before), F.lit(0))))
+               .select("userid", "bucket", (F.coalesce(F.col("opening"), F.lit(0))
+                                            + F.coalesce(F.sum("bucket_delta").over(wb), F.lit(0))).alias("bucket_open")))
+
+    next_start = (F.col("bucket") + 1) * F.lit(bucket_us)
+    own = r.withColumn("ctx", F.lit(False))
+    halo = (r.filter(F.col("t_us") >= next_start - F.lit(USAGE_TTL_US))
+            .withColumn("bucket", F.col("bucket") + 1).withColumn("ctx", F.lit(True)))
+    rows = own.unionByName(halo).join(offsets, ["userid", "bucket"])
+
+    w = Window.partitionBy("userid", "bucket").orderBy("t_us", "request_id")
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    to_end = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ctx = F.col("ctx")
+    own_before = F.coalesce(F.sum(F.when(~ctx, F.col("delta"))).over(before), F.lit(0))
+    ctx_from_here = F.coalesce(F.sum(F.when(ctx, F.col("delta"))).over(to_end), F.lit(0))
+    rows = rows.withColumn("bal_before", F.when(ctx, F.col("bucket_open") - ctx_from_here)
+                           .otherwise(F.col("bucket_open") + own_before))
 
     wanted = F.coalesce(F.col("units_wanted"), F.lit(0))
     avail = F.col("bal_before")
@@ -384,32 +400,17 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
             .when(wanted > avail, F.concat(spent_txt, F.lit("; Allocated "), avail.cast("string"),
                                            F.lit(" units of "), wanted.cast("string"), F.lit(" asked for")))
             .otherwise(F.concat(spent_txt, F.lit("; Allocated "), wanted.cast("string"))))
-    rows = rows.withColumn("approved", approved.cast("long")).withColumn("status", status.cast("int")) \
-               .withColumn("status_text", text)
-
-    # reservation after each row: own grant for usage reports; for credits the
-    # last usage report's grant (within this bucket or carried in) unless expired
+    rows = rows.withColumn("approved", approved.cast("long"))
     grant = F.when(is_rqu, F.struct(F.col("t_us").alias("t"), F.col("approved").alias("a")))
-    upto = inb.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("last_grant", F.last(grant, ignorenulls=True).over(upto))
-    last_in_bucket = (rows.filter(is_rqu).groupBy("userid", "bucket")
-                      .agg(F.max(F.struct(F.col("t_us").alias("t"), F.col("request_id").alias("id"),
-                                          F.col("approved").alias("a"))).alias("g")))
-    carry_w = Window.partitionBy("userid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (per_bucket.select("userid", "bucket").join(last_in_bucket, ["userid", "bucket"], "left")
-               .withColumn("g2", F.when(F.col("g").isNotNull(),
-                                        F.struct(F.col("g.t").alias("t"), F.col("g.a").alias("a"))))
-               .withColumn("carried", F.last("g2", ignorenulls=True).over(carry_w))
-               .select("userid", "bucket", "carried"))
-    rows = rows.join(carried, ["userid", "bucket"])
-    held = F.coalesce(F.col("last_grant"), F.col("carried"))
-    alloc_after = (F.when(held.isNull(), F.lit(0))
-                   .when(held["t"] >= F.col("t_us") - F.lit(S.USAGE_TTL_MINUTES * 60 * 1_000_000), held["a"])
+    held = F.last(grant, ignorenulls=True).over(upto)
+    rows = rows.withColumn("held", held).filter(~ctx)
+    alloc_after = (F.when(F.col("held").isNull(), F.lit(0))
+                   .when(F.col("held.t") >= F.col("t_us") - F.lit(USAGE_TTL_US), F.col("held.a"))
                    .otherwise(F.lit(0)))
     return rows.select(
-        "request_id", "userid", "txn_time", "op", "status", "status_text",
+        "request_id", "userid", "txn_time", "op", status.cast("int").alias("status"), text.alias("status_text"),
         F.when(is_rqu, F.col("session_id")).alias("session_id"),
-        F.when(is_rqu, F.col("approved")).otherwise(F.lit(0)).cast("long").alias("approved"),
+        F.col("approved"),
         F.when(is_rqu, spent).otherwise(F.col("amount")).cast("long").alias("spent"),
         (F.col("bal_before") + F.col("delta")).cast("long").alias("balance_after"),
         alloc_after.cast("long").alias("allocated_after"))

@@ -211,40 +211,41 @@ class UserState:
 
 
 class Output:
-    """Column lists of the fold's decision and event rows."""
+    """Decision and financial-event rows of the fold (one tuple per row;
+    ``d`` and ``e`` give them as column lists)."""
 
     DECISION_COLS = ("request_id", "userid", "t_us", "op", "status", "status_text", "session_id",
                      "approved", "spent", "balance_after", "allocated_after")
     EVENT_COLS = ("request_id", "userid", "t_us", "amount", "user_txn_id", "message")
 
+    __slots__ = ("drows", "erows")
+
     def __init__(self):
-        self.d = {c: [] for c in self.DECISION_COLS}
-        self.e = {c: [] for c in self.EVENT_COLS}
-
-    def decision(self, r, uid, st, status, text, session=None, approved=None, spent=None, exists=True):
-        d = self.d
-        d["request_id"].append(r.request_id)
-        d["userid"].append(uid)
-        d["t_us"].append(r.t)
-        d["op"].append(r.op)
-        d["status"].append(status)
-        d["status_text"].append(text)
-        d["session_id"].append(session)
-        d["approved"].append(approved)
-        d["spent"].append(spent)
-        d["balance_after"].append(st.balance)
-        d["allocated_after"].append(st.alloc)
+        self.drows: list = []
+        self.erows: list = []
+
+    def decision(self, r, uid, st, status, text, session=None, approved=None, spent=None):
+        self.drows.append((r.request_id, uid, r.t, r.op, status, text, session, approved, spent,
+                           st.balance, st.alloc))
 
     def event(self, r, uid, st, amount, txn_id, message):
-        e = self.e
-        e["request_id"].append(r.request_id)
-        e["userid"].append(uid)
-        e["t_us"].append(r.t)
-        e["amount"].append(amount)
-        e["user_txn_id"].append(txn_id)
-        e["message"].append(message)
+        self.erows.append((r.request_id, uid, r.t, amount, txn_id, message))
         st.balance = (st.balance or 0) + amount
 
+    @staticmethod
+    def _columns(names, rows):
+        if not rows:
+            return {c: [] for c in names}
+        return {c: list(v) for c, v in zip(names, zip(*rows))}
+
+    @property
+    def d(self) -> dict:
+        return self._columns(self.DECISION_COLS, self.drows)
+
+    @property
+    def e(self) -> dict:
+        return self._columns(self.EVENT_COLS, self.erows)
+
 
 class Request:
     __slots__ = ("request_id", "t", "op", "txn_id", "session_id", "units_used", "units_wanted",

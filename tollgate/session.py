@@ -19,6 +19,27 @@ DEFAULT_CONF = {
 }
 
 
+# Settings for a large cluster (pass as ``extra`` or put in spark-defaults).
+# AQE coalesces the many shuffle partitions down to ~256 MB each at run time,
+# splits skewed join partitions and converts a join to broadcast only after
+# measuring its build side; Arrow batches bound the Python fold's memory per
+# batch; RocksDB keeps streaming state off the JVM heap.
+CLUSTER_CONF = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.session.timeZone": "UTC",
+}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "tollgate", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark (cluster jobs receive theirs)."""

@@ -60,9 +60,8 @@ class ChargeProcessor(StatefulProcessor):
         self.state = handle.getValueState("user_state", "blob STRING")
 
     def _load(self) -> UserState:
-        if self.state.exists():
-            return UserState.from_json(self.state.get()[0])
-        return UserState()
+        v = self.state.get()             # one round trip; None when the key has no state yet
+        return UserState.from_json(v[0]) if v else UserState()
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         st = self._load()
@@ -106,6 +105,52 @@ class ChargeProcessor(StatefulProcessor):
         pass
 
 
+class ChargeRowProcessor(StatefulProcessor):
+    """The same state machine for ``transformWithState`` (rows in, rows out):
+    no pandas frame per key, values arrive as Python ints/None."""
+
+    def __init__(self, mode: str = "reference"):
+        self.mode = mode
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("user_state", "blob STRING")
+
+    def _load(self) -> UserState:
+        v = self.state.get()
+        return UserState.from_json(v[0]) if v else UserState()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        st = self._load()
+        row = {k: [v] for k, v in initialState.asDict().items()}
+        load_state(st, row["rec"][0], row, 0)
+        self.state.update((st.to_json(),))
+
+    def handleInputRows(self, key, rows, timerValues):
+        from pyspark.sql import Row
+        uid = int(key[0])
+        st = self._load()
+        reqs = sorted(rows, key=lambda r: (r.t_us, r.request_id))
+        out = Output()
+        late = []
+        for r in reqs:
+            if st.last_t is not None and (r.t_us, r.request_id) <= (st.last_t, st.last_id):
+                late.append((r.request_id, uid, r.t_us, r.op))
+                continue
+            step(st, uid, Request(r.request_id, r.t_us, r.op, r.txn_id, r.session_id, r.units_used,
+                                  r.units_wanted, r.amount, r.json, r.delta_op), out, self.mode)
+        self.state.update((st.to_json(),))
+        blank = dict.fromkeys(OUT_COLS)
+        for t in out.drows:
+            yield Row(**{**blank, "kind": "decision", **dict(zip(Output.DECISION_COLS, t))})
+        for t in out.erows:
+            yield Row(**{**blank, "kind": "event", **dict(zip(Output.EVENT_COLS, t))})
+        for t in late:
+            yield Row(**{**blank, "kind": "late", **dict(zip(("request_id", "userid", "t_us", "op"), t))})
+
+    def close(self) -> None:
+        pass
+
+
 def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """A file stream of request-log parquet files (the schema of REQUESTS)."""
     from tollgate import schema as S
@@ -117,11 +162,20 @@ def request_stream(spark: SparkSession, path: str, max_files_per_trigger: int |
 
 def charge_stream(requests: DataFrame, users: DataFrame | None = None, opening_events: DataFrame | None = None,
                   usage: DataFrame | None = None, txns: DataFrame | None = None,
-                  mode: str = "reference") -> DataFrame:
+                  mode: str = "reference", api: str = "rows") -> DataFrame:
     """Streaming replay; returns the wide output stream (kind = decision,
-    event or late) in the fold's OUT_SCHEMA."""
+    event or late) in the fold's OUT_SCHEMA.  ``api`` picks the Row-based
+    ``transformWithState`` (default) or ``transformWithStateInPandas``."""
     spark = requests.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if api == "rows":
+        reqs = _input_rows(requests, None, None, None, None).drop("phase")
+        initial = None
+        if any(x is not None for x in (users, opening_events, usage, txns)):
+            initial = _input_rows(None, users, opening_events, usage, txns).drop("phase").groupBy("userid")
+        return reqs.groupBy("userid").transformWithState(
+            statefulProcessor=ChargeRowProcessor(mode), outputStructType=OUT_SCHEMA, outputMode="Append",
+            timeMode="None", initialState=initial)
     reqs = _as_text(_input_rows(requests, None, None, None, None).drop("phase"))
     initial = None
     if any(x is not None for x in (users, opening_events, usage, txns)):
