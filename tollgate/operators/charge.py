@@ -292,6 +292,26 @@ class ChargeResult:
     def balances(self) -> DataFrame:
         return self._kind("balance").select("userid", F.col("amount").alias("balance"))
 
+    def final_summary(self) -> DataFrame:
+        """Per user after the replay: user row, balance, reservations (sum and
+        count) and ledger size - one conditional aggregate over the fold's
+        output, so the fold runs once."""
+        k = F.col("kind")
+        is_user = k == "user"
+        return (self.raw.filter(k.isin("user", "balance", "usage", "txn")).groupBy("userid").agg(
+            F.max(is_user).alias("_exists"),
+            F.max(F.when(is_user, F.col("json"))).alias("user_json_object"),
+            F.max(F.when(is_user, F.col("lock_session"))).alias("user_softlock_sessionid"),
+            F.timestamp_micros(F.max(F.when(is_user, F.col("lock_expiry_us")))).alias("user_softlock_expiry"),
+            F.max(F.when(k == "balance", F.col("amount"))).alias("balance"),
+            F.sum(F.when(k == "usage", F.col("amount"))).cast("long").alias("allocated"),
+            F.count(F.when(k == "usage", 1)).alias("sessions"),
+            F.count(F.when(k == "txn", 1)).alias("txns"))
+            .filter(F.col("_exists") | F.col("balance").isNotNull())
+            .select("userid", "user_json_object", "user_softlock_sessionid", "user_softlock_expiry", "balance",
+                    "allocated", F.when(F.col("sessions") > 0, F.col("sessions")).alias("sessions"),
+                    F.when(F.col("txns") > 0, F.col("txns")).alias("txns")))
+
 
 def charge(requests: DataFrame, users: DataFrame | None = None, opening_events: DataFrame | None = None,
            usage: DataFrame | None = None, txns: DataFrame | None = None, mode: str = "reference",

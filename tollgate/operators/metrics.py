@@ -37,8 +37,9 @@ def current_metrics(users: DataFrame, usage: DataFrame, txns: DataFrame, as_of)
                                     for n in _MINUTE_STATS) + ") as (statname, statvalue, present)"
     minute_rows = (act.selectExpr(stack).filter(F.col("present") > 0)
                    .select("statname", F.col("statname").alias("stathelp"), "statvalue"))
-    return (_stat(V.current_locks(users), "user_locks", "how_many")
-            .unionByName(_stat(V.cluster_users(users), "user_count", "how_many"))
+    gauges = user_lock_gauges(users).selectExpr(
+        "stack(2, 'user_locks', user_locks, 'user_count', user_count) as (statname, statvalue)")
+    return (gauges.select("statname", F.col("statname").alias("stathelp"), F.col("statvalue").cast("long"))
             .unionByName(_stat(V.allocated_credit(usage), "allocated_credit", "allocated_amount"))
             .unionByName(minute_rows))
 
@@ -70,17 +71,21 @@ def user_lock_gauges(users: DataFrame) -> DataFrame:
 
 def allocated_series(decisions: DataFrame) -> DataFrame:
     """M5: total reserved credit at the end of each minute with decisions.
-    Each decision carries the user's reservation total after it; its change
-    against the user's previous decision is summed per minute and accumulated
-    over minutes (expiry shows at the user's next request).  The running sum
-    runs over one row per minute, bounded by the time span, not the data."""
-    w = Window.partitionBy("userid").orderBy("txn_time", "request_id")
-    delta = (F.col("allocated_after") - F.coalesce(F.lag("allocated_after").over(w), F.lit(0)))
-    per_minute = (decisions.filter(F.col("allocated_after").isNotNull())
-                  .select(minute_trunc("txn_time").alias("txn_time"), delta.alias("delta"))
-                  .groupBy("txn_time").agg(F.sum("delta").alias("delta")))
-    run = Window.orderBy("txn_time").rowsBetween(Window.unboundedPreceding, 0)
-    return per_minute.select("txn_time", F.sum("delta").over(run).cast("long").alias("allocated_amount"))
+    Each decision carries the user's reservation total after it.  A user's
+    changes within a minute telescope, so only its last total per minute is
+    needed: a partial aggregate per (user, minute) (skew-safe), then the
+    change against the user's previous active minute (a window over at most
+    one row per minute), summed per minute and accumulated over minutes.
+    Expiry shows at the user's next request."""
+    per_um = (decisions.filter(F.col("allocated_after").isNotNull())
+              .groupBy("userid", minute_trunc("txn_time").alias("minute"))
+              .agg(F.max_by("allocated_after", F.struct("txn_time", "request_id")).alias("last")))
+    w = Window.partitionBy("userid").orderBy("minute")
+    per_minute = (per_um.select("minute", (F.col("last") - F.coalesce(F.lag("last").over(w), F.lit(0))).alias("d"))
+                  .groupBy("minute").agg(F.sum("d").alias("delta")))
+    run = Window.orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    return per_minute.select(F.col("minute").alias("txn_time"),
+                             F.sum("delta").over(run).cast("long").alias("allocated_amount"))
 
 
 def procedure_rate(requests: DataFrame, ops=("LOCK_USER", "UPDATE_USER")) -> DataFrame:

@@ -115,13 +115,8 @@ def charge_events(spark, sf):
 
 @register("charge_final_state", _FINAL, **_FOLD)
 def charge_final_state(spark, sf):
-    """Final balance and reservation total per user after the replay."""
-    r = replay(spark, sf)
-    alloc = r.usage.groupBy("userid").agg(F.sum("allocated_amount").cast("long").alias("allocated"),
-                                          F.count(F.lit(1)).alias("sessions"))
-    led = r.txns.groupBy("userid").agg(F.count(F.lit(1)).alias("txns"))
-    return (r.users.select("userid", "user_json_object", "user_softlock_sessionid", "user_softlock_expiry")
-            .join(r.balances, "userid", "full_outer").join(alloc, "userid", "left").join(led, "userid", "left"))
+    """Final user row, balance and reservation total per user after the replay."""
+    return replay(spark, sf).final_summary()
 
 
 @register("report_quota_usage", f"SELECT * FROM ({_DEC}) WHERE op = 'REPORT_USAGE'", **_FOLD)

@@ -73,6 +73,26 @@ def _fields(ev: DataFrame) -> DataFrame:
     )
 
 
+DAY_US = 24 * HOUR_US
+
+
+def _latest_earlier_non_error(ev: DataFrame) -> DataFrame:
+    """``src_id`` = max(non-error event_id) over the user's earlier events in
+    (ts, event_id) order, as a two-level running max so that a user with a
+    large share of the events is split by day: the max inside (user, day)
+    over earlier rows, and the max of the user's earlier days (one row per
+    day) joined back on (user, day)."""
+    non_error_id = F.when(F.col("event_type") != "error", F.col("event_id"))
+    ev = ev.withColumn("_day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(DAY_US)).cast("long"))
+    per_day = ev.groupBy("user_id", "_day").agg(F.max(non_error_id).alias("_day_max"))
+    earlier = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_day.select("user_id", "_day", F.max("_day_max").over(earlier).alias("_carry"))
+    inside = (Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (ev.withColumn("_in", F.max(non_error_id).over(inside)).join(carry, ["user_id", "_day"])
+            .withColumn("src_id", F.greatest("_in", "_carry")).drop("_day", "_in", "_carry"))
+
+
 _REQ_COLS = ["request_id", "txn_time", "userid", "op", "txn_id", "session_id",
              "units_used", "units_wanted", "amount", "json", "delta_op"]
 
@@ -87,9 +107,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("userid"), "op", "txn_id", "session_id", "units_used",
         "units_wanted", "amount", "json", F.lit(None).cast("string").alias("delta_op"))
 
-    w = (Window.partitionBy("user_id").orderBy("ts", "event_id")
-         .rowsBetween(Window.unboundedPreceding, -1))
-    errors = (ev.withColumn("src_id", F.max(F.when(F.col("event_type") != "error", F.col("event_id"))).over(w))
+    errors = (_latest_earlier_non_error(ev)
               .filter((F.col("event_type") == "error") & F.col("src_id").isNotNull())
               .select(F.col("event_id").alias("retry_id"), F.col("t_us").alias("retry_t"),
                       F.col("user_id").alias("userid"), "src_id"))
@@ -166,10 +184,12 @@ def _usage_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def usage_keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reservations keyed on (userid, sessionid): the latest row wins."""
-    w = Window.partitionBy("userid", "sessionid").orderBy(F.col("lastdate").desc(), F.col("event_id").desc())
-    return (_usage_raw(spark, sf_dir).withColumn("rn", F.row_number().over(w))
-            .filter("rn = 1").drop("rn", "event_id"))
+    """Reservations keyed on (userid, sessionid): the latest row wins (a
+    partial max(struct) aggregate, no per-key sort)."""
+    latest = (_usage_raw(spark, sf_dir).groupBy("userid", "sessionid")
+              .agg(F.max(F.struct("lastdate", "event_id", "allocated_amount")).alias("m")))
+    return latest.select("userid", F.col("m.allocated_amount").alias("allocated_amount"), "sessionid",
+                         F.col("m.lastdate").alias("lastdate"))
 
 
 def addcredit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
