@@ -72,3 +72,18 @@ def test_fold_does_not_depend_on_partitioning(spark):
     b = sorted(tuple(x) for x in D.charge(reqs.repartition(7), users, opening, partitions=5)
                .decisions.select(*cols).collect())
     assert a == b
+
+
+def test_fold_state_carries_across_arrow_batches(spark):
+    """A user's rows may span many Arrow batches inside one partition; the
+    state must carry over (tiny batches force a boundary every 7 rows)."""
+    reqs, users, opening = _log(spark, 11, users=3)
+    cols = ["request_id", "status", "status_text", "balance_after", "allocated_after"]
+    want = sorted(tuple(x) for x in D.charge(reqs, users, opening, partitions=2).decisions.select(*cols).collect())
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(x) for x in D.charge(reqs, users, opening, partitions=2).decisions.select(*cols).collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == want

@@ -20,9 +20,12 @@ DEFAULT_CONF = {
 
 
 # Settings for a large cluster (pass as ``extra`` or put in spark-defaults).
-# AQE coalesces the many shuffle partitions down to ~256 MB each at run time,
-# splits skewed join partitions and converts a join to broadcast only after
-# measuring its build side; Arrow batches bound the Python fold's memory per
+# AQE coalesces the many shuffle partitions down to ~256 MB each at run time
+# and splits skewed join partitions.  Broadcasts are decided only on measured
+# sizes: the estimate-based threshold is off, and AQE turns a join into a
+# broadcast join only after the build side has materialised at <= 64 MB.
+# (Local sessions keep Spark's default 10 MB estimate check, which suits the
+# small test tables.)  Arrow batches bound the Python fold's memory per
 # batch; RocksDB keeps streaming state off the JVM heap.
 CLUSTER_CONF = {
     "spark.sql.shuffle.partitions": "8000",
@@ -31,6 +34,7 @@ CLUSTER_CONF = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
     "spark.sql.files.maxPartitionBytes": str(256 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
