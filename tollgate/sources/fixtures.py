@@ -202,6 +202,16 @@ def addcredit_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(eid % 50 == 0, F.lit('"x",,')).otherwise(good).alias("value"))
 
 
+def addcredit_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The add-credit messages with the metadata a topic record carries:
+    ``timestamp`` (the squeezed event time) and ``offset`` (event_id * 10)."""
+    ev = events(spark, sf_dir).filter(F.col("event_type") == "purchase")
+    msgs = addcredit_messages(spark, sf_dir)
+    meta = ev.select(F.concat(F.lit("T"), F.col("event_id").cast("string")).alias("key"),
+                     _ts(F.col("t_us")).alias("timestamp"), (F.col("event_id") * 10).alias("offset"))
+    return msgs.join(meta, "key")
+
+
 def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = table(spark, sf_dir, "events", "event_id", "event_type", "value")
     eid = F.col("event_id")
