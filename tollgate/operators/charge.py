@@ -161,6 +161,9 @@ def fold_partition(batches, mode: str = "reference"):
     for batch in batches:
         row = batch.to_pydict()
         users, recs = row["userid"], row["rec"]
+        rid, ts, ops, txn = row["request_id"], row["t_us"], row["op"], row["txn_id"]
+        sess, used, wanted = row["session_id"], row["units_used"], row["units_wanted"]
+        amt, js, dop = row["amount"], row["json"], row["delta_op"]
         rows, out = _Rows(), Output()
         for i in range(batch.num_rows):
             u = users[i]
@@ -170,7 +173,8 @@ def fold_partition(batches, mode: str = "reference"):
                 uid, st = u, UserState()
             rec = recs[i]
             if rec == "req":
-                step(st, u, request_at(row, i), out, mode)
+                step(st, u, Request(rid[i], ts[i], ops[i], txn[i], sess[i], used[i], wanted[i], amt[i], js[i],
+                                    dop[i]), out, mode)
             else:
                 load_state(st, rec, row, i)
         rows.add_output(out)

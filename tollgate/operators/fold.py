@@ -261,24 +261,19 @@ class Request:
 def step(st: UserState, uid: int, r: Request, out: Output, mode: str = "reference") -> None:
     """Apply one request of user ``uid`` at time ``r.t``."""
     now = r.t
-    st.expire(now, mode)
+    if st.usage_heap or st.ledger.rows:
+        st.expire(now, mode)
     st.last_t, st.last_id = now, r.request_id
-    op = r.op
-    if op == "REPORT_USAGE":
-        _report_usage(st, uid, r, out, mode)
-    elif op == "ADD_CREDIT":
-        _add_credit(st, uid, r, out, mode)
-    elif op == "UPSERT_USER":
-        _upsert_user(st, uid, r, out)
-    elif op == "LOCK_USER":
-        _lock_user(st, uid, r, out)
-    elif op == "UPDATE_USER":
-        _update_locked_user(st, uid, r, out)
-    elif op == "DELETE_USER":
-        st.clear()
-        out.decision(r, uid, st, S.STATUS_OK, None)
+    handler = _HANDLERS.get(r.op)
+    if handler is None:
+        out.decision(r, uid, st, S.STATUS_ABORTED, f"Unknown operation {r.op}")
     else:
-        out.decision(r, uid, st, S.STATUS_ABORTED, f"Unknown operation {op}")
+        handler(st, uid, r, out, mode)
+
+
+def _delete_user(st, uid, r, out, mode):
+    st.clear()
+    out.decision(r, uid, st, S.STATUS_OK, None)
 
 
 def _already(dup) -> str:
@@ -348,7 +343,7 @@ def _add_credit(st, uid, r, out, mode):
         # decision rows were appended before the delete; the ledger is state only
 
 
-def _upsert_user(st, uid, r, out):
+def _upsert_user(st, uid, r, out, mode=None):
     now = r.t
     dup = st.ledger.get(r.txn_id)
     if dup is not None:
@@ -367,7 +362,7 @@ def _upsert_user(st, uid, r, out):
                      f"Updated user {uid} - added credit of {amount}; balance now 0", None, 0, amount)
 
 
-def _lock_user(st, uid, r, out):
+def _lock_user(st, uid, r, out, mode=None):
     now = r.t
     if not st.exists:
         out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User {uid} does not exist")
@@ -381,7 +376,7 @@ def _lock_user(st, uid, r, out):
     out.decision(r, uid, st, S.STATUS_RECORD_HAS_BEEN_SOFTLOCKED, str(r.request_id), r.request_id)
 
 
-def _update_locked_user(st, uid, r, out):
+def _update_locked_user(st, uid, r, out, mode=None):
     if not st.exists:
         out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User {uid} does not exist", r.session_id)
         return
@@ -399,3 +394,13 @@ def _update_locked_user(st, uid, r, out):
         out.decision(r, uid, st, S.STATUS_RECORD_HAS_BEEN_SOFTLOCKED,
                      f"User {uid} currently locked by session {st.lock_session}. Expires at {fmt_ts(st.lock_expiry)}",
                      r.session_id)
+
+
+_HANDLERS = {
+    "REPORT_USAGE": _report_usage,
+    "ADD_CREDIT": _add_credit,
+    "UPSERT_USER": _upsert_user,
+    "LOCK_USER": _lock_user,
+    "UPDATE_USER": _update_locked_user,
+    "DELETE_USER": _delete_user,
+}
