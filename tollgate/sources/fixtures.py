@@ -53,12 +53,15 @@ def opening_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _ts(BASE_US).alias("txn_time")))
 
 
-def _fields(ev: DataFrame) -> DataFrame:
-    """Request fields of each non-error event (the part-1 mapping)."""
+_FIELDS = ["op", "txn_id", "session_id", "units_used", "units_wanted", "amount", "json"]
+
+
+def _field_cols() -> list[Column]:
+    """Request fields of an event under the part-1 mapping (meaningful for
+    non-error events)."""
     et, eid = F.col("event_type"), F.col("event_id")
     is_report = et.isin("click", "view")
-    return ev.filter(et != "error").select(
-        "event_id", "user_id", "event_type", "t_us",
+    return [
         F.when((et == "signup") & (eid % 97 == 0), "DELETE_USER")
          .when(et == "signup", "UPSERT_USER")
          .when(et == "purchase", "ADD_CREDIT")
@@ -70,72 +73,73 @@ def _fields(ev: DataFrame) -> DataFrame:
         F.when(et == "signup", F.floor("value").cast("long"))
          .when(et == "purchase", F.floor(F.col("value") * 10).cast("long")).alias("amount"),
         F.when((et == "signup") & (eid % 97 != 0), user_json(F.col("user_id"))).alias("json"),
-    )
+    ]
+
+
+def _fields(ev: DataFrame) -> DataFrame:
+    """Request fields of each non-error event (the part-1 mapping)."""
+    return ev.filter(F.col("event_type") != "error").select("event_id", "user_id", "event_type", "t_us",
+                                                            *_field_cols())
 
 
 DAY_US = 24 * HOUR_US
 
 
-def _latest_earlier_non_error(ev: DataFrame) -> DataFrame:
-    """``src_id`` = max(non-error event_id) over the user's earlier events in
-    (ts, event_id) order, as a two-level running max so that a user with a
-    large share of the events is split by day: the max inside (user, day)
-    over earlier rows, and the max of the user's earlier days (one row per
-    day) joined back on (user, day)."""
-    non_error_id = F.when(F.col("event_type") != "error", F.col("event_id"))
-    ev = ev.withColumn("_day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(DAY_US)).cast("long"))
-    per_day = ev.groupBy("user_id", "_day").agg(F.max(non_error_id).alias("_day_max"))
+def _retries(ev: DataFrame) -> DataFrame:
+    """Error events become a copy of the user's latest earlier non-error
+    event (max event_id over the earlier events in (ts, event_id) order),
+    with their own request id and time.  The source's fields travel inside a
+    struct whose first field is event_id, so a running max of the struct is
+    the latest source.  Two-level running max, so that a user with a large
+    share of the events is split by day: the max inside (user, day) over
+    earlier rows, and the max of the user's earlier days (one row per day)
+    joined back on (user, day)."""
+    src = F.when(F.col("event_type") != "error", F.struct(F.col("event_id"), *_field_cols()))
+    ev = (ev.withColumn("_day", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(DAY_US)).cast("long"))
+          .withColumn("_src", src))
+    per_day = ev.groupBy("user_id", "_day").agg(F.max("_src").alias("_day_max"))
     earlier = Window.partitionBy("user_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
     carry = per_day.select("user_id", "_day", F.max("_day_max").over(earlier).alias("_carry"))
     inside = (Window.partitionBy("user_id", "_day").orderBy("ts", "event_id")
               .rowsBetween(Window.unboundedPreceding, -1))
-    return (ev.withColumn("_in", F.max(non_error_id).over(inside)).join(carry, ["user_id", "_day"])
-            .withColumn("src_id", F.greatest("_in", "_carry")).drop("_day", "_in", "_carry"))
-
-
-_REQ_COLS = ["request_id", "txn_time", "userid", "op", "txn_id", "session_id",
-             "units_used", "units_wanted", "amount", "json", "delta_op"]
+    errors = (ev.withColumn("_in", F.max("_src").over(inside))
+              .filter(F.col("event_type") == "error").join(carry, ["user_id", "_day"])
+              .withColumn("_s", F.greatest("_in", "_carry")).filter(F.col("_s").isNotNull()))
+    return errors.select((F.col("event_id") * 10).alias("request_id"), _ts(F.col("t_us")).alias("txn_time"),
+                         F.col("user_id").alias("userid"), *[F.col(f"_s.{c}").alias(c) for c in _FIELDS],
+                         F.lit(None).cast("string").alias("delta_op"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request log: part 1 (one request per event, retries for errors)
-    and part 2 (lock / lock / update triples after some sign-ups)."""
+    """The request log: part 1 (one request per non-error event, a retry for
+    each error event) and part 2 (lock / lock / update triples after some
+    sign-ups).  Part 1 and part 2 come from one generator pass over events;
+    the retries need the running max above."""
     ev = events(spark, sf_dir)
-    fields = _fields(ev)
-    part1 = fields.select(
-        (F.col("event_id") * 10).alias("request_id"), _ts(F.col("t_us")).alias("txn_time"),
-        F.col("user_id").alias("userid"), "op", "txn_id", "session_id", "units_used",
-        "units_wanted", "amount", "json", F.lit(None).cast("string").alias("delta_op"))
-
-    errors = (_latest_earlier_non_error(ev)
-              .filter((F.col("event_type") == "error") & F.col("src_id").isNotNull())
-              .select(F.col("event_id").alias("retry_id"), F.col("t_us").alias("retry_t"),
-                      F.col("user_id").alias("userid"), "src_id"))
-    src = fields.drop("user_id", "event_type", "t_us").withColumnRenamed("event_id", "src_id")
-    retries = (errors.join(src, "src_id")
-               .select((F.col("retry_id") * 10).alias("request_id"), _ts(F.col("retry_t")).alias("txn_time"),
-                       "userid", "op", "txn_id", "session_id", "units_used", "units_wanted", "amount",
-                       "json", F.lit(None).cast("string").alias("delta_op")))
-
-    eid = F.col("event_id")
+    et, eid = F.col("event_type"), F.col("event_id")
+    variants = F.concat(F.when(et != "error", F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
+                        F.when((et == "signup") & (eid % 3 == 0), F.array(F.lit(1), F.lit(2), F.lit(3)))
+                         .otherwise(F.array().cast("array<int>")))
     k = F.col("k")
-    locks = (ev.filter((F.col("event_type") == "signup") & (eid % 3 == 0))
-             .withColumn("k", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-             .select(
-                 (eid * 10 + k).alias("request_id"),
-                 _ts(F.col("t_us") + F.when(k == 1, 0).when(k == 2, 20000)
-                     .when(eid % 2 == 0, 30000).otherwise(90000)).alias("txn_time"),
-                 F.col("user_id").alias("userid"),
-                 F.when(k < 3, "LOCK_USER").otherwise("UPDATE_USER").alias("op"),
-                 F.lit(None).cast("string").alias("txn_id"),
-                 F.when(k == 3, F.when(eid % 4 == 1, F.lit(-1).cast("long")).otherwise(eid * 10 + 1)).alias("session_id"),
-                 F.lit(None).cast("long").alias("units_used"),
-                 F.lit(None).cast("long").alias("units_wanted"),
-                 F.lit(None).cast("long").alias("amount"),
-                 F.when(k == 3, F.when(eid % 4 == 2, F.when(eid % 5 == 0, F.lit("abc")).otherwise(eid.cast("string")))
-                        .otherwise(user_json(F.col("user_id"), number=eid))).alias("json"),
-                 F.when((k == 3) & (eid % 4 == 2), F.lit(S.NEW_LOYALTY_NUMBER)).alias("delta_op")))
-    return part1.unionByName(retries).unionByName(locks)
+    lock = k > 0
+    expanded = ev.select("*", *_field_cols()).withColumn("k", F.explode(variants))
+    direct = expanded.select(
+        (eid * 10 + k).alias("request_id"),
+        _ts(F.col("t_us") + F.when(k <= 1, 0).when(k == 2, 20000)
+            .when(eid % 2 == 0, 30000).otherwise(90000)).alias("txn_time"),
+        F.col("user_id").alias("userid"),
+        F.when(k == 0, F.col("op")).when(k < 3, "LOCK_USER").otherwise("UPDATE_USER").alias("op"),
+        F.when(~lock, F.col("txn_id")).alias("txn_id"),
+        F.when(k == 0, F.col("session_id"))
+         .when(k == 3, F.when(eid % 4 == 1, F.lit(-1).cast("long")).otherwise(eid * 10 + 1)).alias("session_id"),
+        F.when(~lock, F.col("units_used")).alias("units_used"),
+        F.when(~lock, F.col("units_wanted")).alias("units_wanted"),
+        F.when(~lock, F.col("amount")).alias("amount"),
+        F.when(k == 0, F.col("json"))
+         .when(k == 3, F.when(eid % 4 == 2, F.when(eid % 5 == 0, F.lit("abc")).otherwise(eid.cast("string")))
+               .otherwise(user_json(F.col("user_id"), number=eid))).alias("json"),
+        F.when((k == 3) & (eid % 4 == 2), F.lit(S.NEW_LOYALTY_NUMBER)).alias("delta_op"))
+    return direct.unionByName(_retries(ev))
 
 
 def requests_single_session(spark: SparkSession, sf_dir: str) -> DataFrame:
