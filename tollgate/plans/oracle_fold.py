@@ -60,7 +60,7 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
              tx1[1] AS oldest,
              coalesce(rsess, request_id) AS sess,
              regexp_full_match(coalesce(rjson, ''), '[+-]?[0-9]+') AND TRY_CAST(rjson AS BIGINT) IS NOT NULL AS num_ok,
-             coalesce(json_valid(js0) AND json_type(js0) = 'OBJECT', false) AS js_ok
+             CASE WHEN coalesce(json_valid(js0), false) THEN json_type(js0) = 'OBJECT' ELSE false END AS js_ok
       FROM ({s1})"""
     s3 = """
       SELECT *,
@@ -101,10 +101,10 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
     ts_dup = _ts("dup_t")
     ts_le = _ts("le0")
     new_json = ("'{' || concat_ws(',', "
-                "CASE WHEN json_extract_string(js0, '$.mysteriousHexPayload') IS NOT NULL THEN "
-                "'\"mysteriousHexPayload\":' || to_json(json_extract_string(js0, '$.mysteriousHexPayload')) END, "
-                "CASE WHEN json_extract_string(js0, '$.loyaltySchemeName') IS NOT NULL THEN "
-                "'\"loyaltySchemeName\":' || to_json(json_extract_string(js0, '$.loyaltySchemeName')) END, "
+                "CASE WHEN json_extract_string(CASE WHEN js_ok THEN js0 END, '$.mysteriousHexPayload') IS NOT NULL THEN "
+                "'\"mysteriousHexPayload\":' || to_json(json_extract_string(CASE WHEN js_ok THEN js0 END, '$.mysteriousHexPayload')) END, "
+                "CASE WHEN json_extract_string(CASE WHEN js_ok THEN js0 END, '$.loyaltySchemeName') IS NOT NULL THEN "
+                "'\"loyaltySchemeName\":' || to_json(json_extract_string(CASE WHEN js_ok THEN js0 END, '$.loyaltySchemeName')) END, "
                 "'\"loyaltySchemeNumber\":' || CAST(TRY_CAST(rjson AS BIGINT) AS VARCHAR)) || '}'")
     rec = f"""
   SELECT userid, n,
