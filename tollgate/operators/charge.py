@@ -25,6 +25,7 @@ from pyspark.sql import types as T
 
 from tollgate import schema as S
 from tollgate.functions.columns import micros
+from tollgate.functions.texts import text_col
 from tollgate.operators.fold import Output, Request, UserState, fmt_ts, step
 from tollgate.operators.keyed import first_per_key
 
@@ -417,13 +418,12 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
     status = (F.when(~is_rqu, F.lit(S.STATUS_CREDIT_ADDED)).when(wanted == 0, F.lit(S.STATUS_OK))
               .when(avail < 0, F.lit(S.STATUS_NO_MONEY)).when(wanted > avail, F.lit(S.STATUS_SOME_UNITS_ALLOCATED))
               .otherwise(F.lit(S.STATUS_ALL_UNITS_ALLOCATED)))
-    spent_txt = F.concat(F.lit("Spent "), spent.cast("string"))
-    text = (F.when(~is_rqu, F.concat(F.col("amount").cast("string"), F.lit(" added by Txn "), F.col("txn_id")))
+    spent_txt = text_col(S.TEXT_SPENT, spent=spent)
+    text = (F.when(~is_rqu, text_col(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id"))
             .when(wanted == 0, F.lit(None).cast("string"))
-            .when(avail < 0, F.concat(spent_txt, F.lit("; Negative balance: "), avail.cast("string")))
-            .when(wanted > avail, F.concat(spent_txt, F.lit("; Allocated "), avail.cast("string"),
-                                           F.lit(" units of "), wanted.cast("string"), F.lit(" asked for")))
-            .otherwise(F.concat(spent_txt, F.lit("; Allocated "), wanted.cast("string"))))
+            .when(avail < 0, F.concat(spent_txt, text_col(S.TEXT_NEGATIVE_BALANCE, avail=avail)))
+            .when(wanted > avail, F.concat(spent_txt, text_col(S.TEXT_SOME_ALLOCATED, avail=avail, wanted=wanted)))
+            .otherwise(F.concat(spent_txt, text_col(S.TEXT_ALL_ALLOCATED, wanted=wanted))))
     rows = rows.withColumn("approved", approved.cast("long"))
     grant = F.when(is_rqu, F.struct(F.col("t_us").alias("t"), F.col("approved").alias("a")))
     held = F.last(grant, ignorenulls=True).over(upto)
@@ -457,15 +457,15 @@ def add_credit(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFr
     dec = k.select(
         "request_id", "userid", "txn_time", "op",
         F.when(is_first, F.lit(S.STATUS_CREDIT_ADDED)).otherwise(F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).alias("status"),
-        F.when(is_first, F.concat(F.col("amount").cast("string"), F.lit(" added by Txn "), F.col("txn_id")))
-         .otherwise(F.concat(F.lit("Event already happened at "),
-                             F.date_format("first_time", "yyyy-MM-dd HH:mm:ss.SSSSSS"))).alias("status_text"))
+        F.when(is_first, text_col(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id"))
+         .otherwise(text_col(S.TEXT_ALREADY_HAPPENED, time=F.date_format("first_time", S.TIME_TEXT_FORMAT)))
+         .alias("status_text"))
     dec = dec.unionByName(unknown.select(
         "request_id", "userid", "txn_time", "op", F.lit(S.STATUS_USER_DOESNT_EXIST).alias("status"),
-        F.concat(F.lit("User ID "), F.col("userid").cast("string"), F.lit(" does not exist")).alias("status_text")))
+        text_col(S.TEXT_USER_ID_MISSING, userid="userid").alias("status_text")))
     events = k.select("userid", "amount", F.col("txn_id").alias("user_txn_id"),
-                      F.when(is_first, F.concat(F.lit("Added "), F.col("amount").cast("string")))
-                       .otherwise(F.lit("Credit already added")).alias("message"), "txn_time")
+                      F.when(is_first, text_col(S.MSG_ADDED, amount="amount"))
+                       .otherwise(F.lit(S.MSG_CREDIT_ALREADY_ADDED)).alias("message"), "txn_time")
     return dec, events
 
 
@@ -486,19 +486,15 @@ def upsert_user(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
          .join(existing, "userid", "left"))
     applied = F.col("request_id") == F.col("first_id")
     creates = applied & F.col("pre_existing").isNull() & (F.col("request_id") == F.col("creator_id"))
-    amt = F.col("amount").cast("string")
-    uid = F.col("userid").cast("string")
     dec = u.select(
         "request_id", "userid", "txn_time", "op",
         F.when(applied, F.lit(S.STATUS_OK)).otherwise(F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).alias("status"),
-        F.when(~applied, F.concat(F.lit("Event already happened at "),
-                                  F.date_format("first_time", "yyyy-MM-dd HH:mm:ss.SSSSSS")))
-         .when(creates, F.concat(F.lit("Created user "), uid, F.lit(" with opening credit of "), amt))
-         .otherwise(F.concat(F.lit("Updated user "), uid, F.lit(" - added credit of "), amt,
-                             F.lit("; balance now 0"))).alias("status_text"))
+        F.when(~applied, text_col(S.TEXT_ALREADY_HAPPENED, time=F.date_format("first_time", S.TIME_TEXT_FORMAT)))
+         .when(creates, text_col(S.TEXT_USER_CREATED, userid="userid", amount="amount"))
+         .otherwise(text_col(S.TEXT_USER_UPSERTED, userid="userid", amount="amount")).alias("status_text"))
     events = u.filter(applied).select(
         "userid", "amount", F.col("txn_id").alias("user_txn_id"),
-        F.when(creates, F.lit("user created")).otherwise(F.lit("user upserted")).alias("message"), "txn_time")
+        F.when(creates, F.lit(S.MSG_USER_CREATED)).otherwise(F.lit(S.MSG_USER_UPSERTED)).alias("message"), "txn_time")
     created = u.filter(creates).select(
         "userid", F.col("json").alias("user_json_object"), F.col("txn_time").alias("user_last_seen"),
         F.lit(None).cast("long").alias("user_softlock_sessionid"),

@@ -46,6 +46,11 @@ def parse_long(text):
     return v if _I64_MIN <= v <= _I64_MAX else None
 
 
+def _java_str(v) -> str:
+    """A value as Java string concatenation prints it (null for None)."""
+    return "null" if v is None else str(v)
+
+
 def _gson_str(s: str) -> str:
     out = _json.dumps(s, ensure_ascii=False)
     for ch, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("=", "\\u003d"), ("'", "\\u0027")):
@@ -60,10 +65,10 @@ def apply_loyalty_delta(old_json, payload, uid=None):
     except ValueError:
         obj = "bad"
     if not isinstance(obj, dict):
-        return None, f"Json syntax exception while working with User {uid}, ' {old_json}' and '{payload}"
+        return None, S.TEXT_BAD_JSON.format(userid=uid, old=_java_str(old_json), payload=_java_str(payload))
     number = parse_long(payload)
     if number is None:
-        return None, f"Invalid loyalty card number: '{payload}"
+        return None, S.TEXT_BAD_NUMBER.format(payload=_java_str(payload))
     parts = []
     for name in S.JSON_FIELDS[:2]:
         v = obj.get(name)
@@ -266,7 +271,7 @@ def step(st: UserState, uid: int, r: Request, out: Output, mode: str = "referenc
     st.last_t, st.last_id = now, r.request_id
     handler = _HANDLERS.get(r.op)
     if handler is None:
-        out.decision(r, uid, st, S.STATUS_ABORTED, f"Unknown operation {r.op}")
+        out.decision(r, uid, st, S.STATUS_ABORTED, S.TEXT_UNKNOWN_OP.format(op=r.op))
     else:
         handler(st, uid, r, out, mode)
 
@@ -277,20 +282,20 @@ def _delete_user(st, uid, r, out, mode):
 
 
 def _already(dup) -> str:
-    return "Event already happened at " + fmt_ts(dup[0])
+    return S.TEXT_ALREADY_HAPPENED.format(time=fmt_ts(dup[0]))
 
 
 def _report_usage(st, uid, r, out, mode):
     now = r.t
     session = r.session_id if r.session_id is not None else r.request_id
     if not st.exists:
-        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User {uid} does not exist", session)
+        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_MISSING.format(userid=uid), session)
         return
     dup = st.ledger.get(r.txn_id)
     wanted = r.units_wanted or 0
     if dup is None and wanted != 0 and st.balance is None:
         # the balance read finds no row: the call aborts and nothing it did stays
-        out.decision(r, uid, st, S.STATUS_ABORTED, f"No balance for user {uid}", session)
+        out.decision(r, uid, st, S.STATUS_ABORTED, S.TEXT_NO_BALANCE.format(userid=uid), session)
         return
     if mode != "strict":
         st.ledger.pop_older(now - PRUNE_TWO_AGE_US, limit=2)
@@ -298,7 +303,7 @@ def _report_usage(st, uid, r, out, mode):
         out.decision(r, uid, st, S.STATUS_TXN_ALREADY_HAPPENED, _already(dup), session)
         return
     spent = -(r.units_used or 0)
-    text = f"Spent {spent}"
+    text = S.TEXT_SPENT.format(spent=spent)
     st.drop_usage(session)
     bal, alloc = st.balance, st.alloc                  # read before the spend is recorded (Q1)
     if spent != 0:
@@ -310,13 +315,13 @@ def _report_usage(st, uid, r, out, mode):
     avail = (bal + spent if mode == "strict" else bal) - alloc
     if avail < 0:
         approved, status = 0, S.STATUS_NO_MONEY
-        text += f"; Negative balance: {avail}"
+        text += S.TEXT_NEGATIVE_BALANCE.format(avail=avail)
     elif wanted > avail:
         approved, status = avail, S.STATUS_SOME_UNITS_ALLOCATED
-        text += f"; Allocated {avail} units of {wanted} asked for"
+        text += S.TEXT_SOME_ALLOCATED.format(avail=avail, wanted=wanted)
     else:
         approved, status = wanted, S.STATUS_ALL_UNITS_ALLOCATED
-        text += f"; Allocated {wanted}"
+        text += S.TEXT_ALL_ALLOCATED.format(wanted=wanted)
     st.set_usage(session, approved, now)
     st.ledger.insert(r.txn_id, now, session, approved, spent, text)
     out.decision(r, uid, st, status, text, session, approved, spent)
@@ -325,19 +330,19 @@ def _report_usage(st, uid, r, out, mode):
 def _add_credit(st, uid, r, out, mode):
     now = r.t
     if not st.exists:
-        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User ID {uid} does not exist")
+        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_ID_MISSING.format(userid=uid))
         return
     amount = r.amount or 0
     dup = st.ledger.get(r.txn_id)
     oldest = st.ledger.oldest() if mode != "strict" else None   # read before the insert
     if dup is not None:
         if mode != "strict":
-            out.event(r, uid, st, amount, r.txn_id, "Credit already added")
+            out.event(r, uid, st, amount, r.txn_id, S.MSG_CREDIT_ALREADY_ADDED)
         out.decision(r, uid, st, S.STATUS_TXN_ALREADY_HAPPENED, _already(dup))
     else:
-        st.ledger.insert(r.txn_id, now, None, 0, amount, "Add Credit")
-        out.event(r, uid, st, amount, r.txn_id, f"Added {amount}")
-        out.decision(r, uid, st, S.STATUS_CREDIT_ADDED, f"{amount} added by Txn {r.txn_id}", None, 0, amount)
+        st.ledger.insert(r.txn_id, now, None, 0, amount, S.PURPOSE_ADD_CREDIT)
+        out.event(r, uid, st, amount, r.txn_id, S.MSG_ADDED.format(amount=amount))
+        out.decision(r, uid, st, S.STATUS_CREDIT_ADDED, S.TEXT_CREDIT_ADDED.format(amount=amount, txn_id=r.txn_id), None, 0, amount)
     if oldest is not None and oldest[0] < now - PRUNE_OLDEST_AGE_US:
         st.ledger.remove(oldest[1])
         # decision rows were appended before the delete; the ledger is state only
@@ -350,26 +355,26 @@ def _upsert_user(st, uid, r, out, mode=None):
         out.decision(r, uid, st, S.STATUS_TXN_ALREADY_HAPPENED, _already(dup))
         return
     amount = r.amount or 0
-    st.ledger.insert(r.txn_id, now, None, 0, amount, "Upsert user")
+    st.ledger.insert(r.txn_id, now, None, 0, amount, S.PURPOSE_UPSERT_USER)
     if not st.exists:
         st.exists, st.json, st.last_seen = True, r.json, now
         st.lock_session = st.lock_expiry = None
-        out.event(r, uid, st, amount, r.txn_id, "user created")
-        out.decision(r, uid, st, S.STATUS_OK, f"Created user {uid} with opening credit of {amount}", None, 0, amount)
+        out.event(r, uid, st, amount, r.txn_id, S.MSG_USER_CREATED)
+        out.decision(r, uid, st, S.STATUS_OK, S.TEXT_USER_CREATED.format(userid=uid, amount=amount), None, 0, amount)
     else:
-        out.event(r, uid, st, amount, r.txn_id, "user upserted")
+        out.event(r, uid, st, amount, r.txn_id, S.MSG_USER_UPSERTED)
         out.decision(r, uid, st, S.STATUS_OK,
-                     f"Updated user {uid} - added credit of {amount}; balance now 0", None, 0, amount)
+                     S.TEXT_USER_UPSERTED.format(userid=uid, amount=amount), None, 0, amount)
 
 
 def _lock_user(st, uid, r, out, mode=None):
     now = r.t
     if not st.exists:
-        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User {uid} does not exist")
+        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_MISSING.format(userid=uid))
         return
     if st.lock_expiry is not None and st.lock_expiry > now:
         out.decision(r, uid, st, S.STATUS_RECORD_ALREADY_SOFTLOCKED,
-                     f"User {uid} has already been locked by session {st.lock_session}", st.lock_session)
+                     S.TEXT_ALREADY_LOCKED.format(userid=uid, session=st.lock_session), st.lock_session)
         return
     st.lock_session = r.request_id
     st.lock_expiry = now + LOCK_TIMEOUT_US
@@ -378,7 +383,7 @@ def _lock_user(st, uid, r, out, mode=None):
 
 def _update_locked_user(st, uid, r, out, mode=None):
     if not st.exists:
-        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, f"User {uid} does not exist", r.session_id)
+        out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_MISSING.format(userid=uid), r.session_id)
         return
     if st.lock_expiry is None or st.lock_session == r.session_id:
         new_json = r.json
@@ -389,10 +394,10 @@ def _update_locked_user(st, uid, r, out, mode=None):
                 return
         st.json = new_json
         st.lock_session = st.lock_expiry = None
-        out.decision(r, uid, st, S.STATUS_OK, f"User {uid} updated", r.session_id)
+        out.decision(r, uid, st, S.STATUS_OK, S.TEXT_USER_UPDATED.format(userid=uid), r.session_id)
     else:
         out.decision(r, uid, st, S.STATUS_RECORD_HAS_BEEN_SOFTLOCKED,
-                     f"User {uid} currently locked by session {st.lock_session}. Expires at {fmt_ts(st.lock_expiry)}",
+                     S.TEXT_CURRENTLY_LOCKED.format(userid=uid, session=st.lock_session, expiry=fmt_ts(st.lock_expiry)),
                      r.session_id)
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tollgate import schema as S
 from tollgate.functions.columns import loyalty_delta_update, loyalty_number_text
+from tollgate.functions.texts import text_col
 from tollgate.operators.keyed import later_than_first
 
 
@@ -91,8 +92,10 @@ def loyalty_delta(users: DataFrame, updates: DataFrame) -> DataFrame:
     j = users.select("userid", "user_json_object").join(
         updates.select("request_id", "userid", F.col("json").alias("payload")), "userid")
     new = loyalty_delta_update("user_json_object", "payload")
+    null_text = lambda c: F.coalesce(F.col(c), F.lit("null"))  # noqa: E731  (Java prints null)
     return j.select(
         "request_id", "userid", "payload", new.alias("new_json"),
         F.when(new.isNull(), F.when(F.from_json("user_json_object", S.USER_JSON).isNull(),
-                                     F.lit("Json syntax exception"))
-               .otherwise(F.lit("Invalid loyalty card number"))).alias("error"))
+                                     text_col(S.TEXT_BAD_JSON, userid="userid", old=null_text("user_json_object"),
+                                              payload=null_text("payload")))
+               .otherwise(text_col(S.TEXT_BAD_NUMBER, payload=null_text("payload")))).alias("error"))

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tollgate import schema as S
+from tollgate.functions.texts import text_sql
 from tollgate.operators import audit as C
 from tollgate.operators import charge as D
 from tollgate.operators import metrics as M
@@ -26,6 +28,7 @@ def replay_single(spark, sf) -> D.ChargeResult:
 
 
 _TTL_US = 180 * 60 * 1000000
+_FIRST_TS = "strftime(first_time, '%Y-%m-%d %H:%M:%S.%f')"
 
 # The replay's oracle: a recursive CTE over the full log (see oracle_fold).
 _FOLD = dict(fixtures=("requests", "users", "opening_events"), extra=fold_ctes(), recursive=True)
@@ -75,12 +78,13 @@ g AS (SELECT *,
 SELECT request_id, userid, txn_time, op,
   CASE WHEN op <> 'REPORT_USAGE' THEN 56 WHEN wanted = 0 THEN 42 WHEN bal < 0 THEN 43
        WHEN wanted > bal THEN 44 ELSE 45 END AS status,
-  CASE WHEN op <> 'REPORT_USAGE' THEN CAST(amount AS VARCHAR) || ' added by Txn ' || txn_id
+  CASE WHEN op <> 'REPORT_USAGE' THEN {text_sql(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id")}
        WHEN wanted = 0 THEN NULL
-       WHEN bal < 0 THEN 'Spent ' || CAST(delta AS VARCHAR) || '; Negative balance: ' || CAST(bal AS VARCHAR)
-       WHEN wanted > bal THEN 'Spent ' || CAST(delta AS VARCHAR) || '; Allocated ' || CAST(bal AS VARCHAR)
-                              || ' units of ' || CAST(wanted AS VARCHAR) || ' asked for'
-       ELSE 'Spent ' || CAST(delta AS VARCHAR) || '; Allocated ' || CAST(wanted AS VARCHAR) END AS status_text,
+       WHEN bal < 0 THEN {text_sql(S.TEXT_SPENT, spent="delta")} || {text_sql(S.TEXT_NEGATIVE_BALANCE, avail="bal")}
+       WHEN wanted > bal THEN {text_sql(S.TEXT_SPENT, spent="delta")}
+                              || {text_sql(S.TEXT_SOME_ALLOCATED, avail="bal", wanted="wanted")}
+       ELSE {text_sql(S.TEXT_SPENT, spent="delta")} || {text_sql(S.TEXT_ALL_ALLOCATED, wanted="wanted")} END
+    AS status_text,
   CASE WHEN op = 'REPORT_USAGE' THEN session_id END AS session_id,
   CAST(appr AS BIGINT) AS approved,
   CAST(delta AS BIGINT) AS spent,
@@ -137,35 +141,33 @@ def update_locked_user(spark, sf):
     return D.update_locked_user(replay(spark, sf))
 
 
-@register("add_credit", """
+@register("add_credit", f"""
 WITH c AS (SELECT * FROM requests WHERE op = 'ADD_CREDIT'),
 k AS (SELECT c.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id
       FROM c WHERE userid IN (SELECT userid FROM users)
       WINDOW w AS (PARTITION BY userid, txn_id ORDER BY txn_time, request_id))
 SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 56 ELSE 46 END AS status,
-       CASE WHEN request_id = first_id THEN CAST(amount AS VARCHAR) || ' added by Txn ' || txn_id
-            ELSE 'Event already happened at ' || strftime(first_time, '%Y-%m-%d %H:%M:%S.%f') END AS status_text
+       CASE WHEN request_id = first_id THEN {text_sql(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id")}
+            ELSE {text_sql(S.TEXT_ALREADY_HAPPENED, time=_FIRST_TS)} END AS status_text
 FROM k
 UNION ALL
-SELECT request_id, userid, txn_time, op, 50, 'User ID ' || CAST(userid AS VARCHAR) || ' does not exist'
+SELECT request_id, userid, txn_time, op, 50, {text_sql(S.TEXT_USER_ID_MISSING, userid="userid")}
 FROM c WHERE userid NOT IN (SELECT userid FROM users)""", ("requests", "users"))
 def add_credit(spark, sf):
     """Credit decisions with an infinite duplicate horizon (closed form)."""
     return D.add_credit(fx.requests(spark, sf), fx.users(spark, sf))[0]
 
 
-@register("upsert_user", """
+@register("upsert_user", f"""
 WITH u AS (SELECT * FROM requests WHERE op = 'UPSERT_USER'),
 k AS (SELECT u.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id,
              first_value(request_id) OVER (PARTITION BY userid ORDER BY txn_time, request_id) AS creator_id,
              userid IN (SELECT userid FROM users) AS pre
       FROM u WINDOW w AS (PARTITION BY userid, txn_id ORDER BY txn_time, request_id))
 SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 42 ELSE 46 END AS status,
-       CASE WHEN request_id <> first_id THEN 'Event already happened at ' || strftime(first_time, '%Y-%m-%d %H:%M:%S.%f')
-            WHEN NOT pre AND request_id = creator_id
-              THEN 'Created user ' || CAST(userid AS VARCHAR) || ' with opening credit of ' || CAST(amount AS VARCHAR)
-            ELSE 'Updated user ' || CAST(userid AS VARCHAR) || ' - added credit of ' || CAST(amount AS VARCHAR)
-                 || '; balance now 0' END AS status_text
+       CASE WHEN request_id <> first_id THEN {text_sql(S.TEXT_ALREADY_HAPPENED, time=_FIRST_TS)}
+            WHEN NOT pre AND request_id = creator_id THEN {text_sql(S.TEXT_USER_CREATED, userid="userid", amount="amount")}
+            ELSE {text_sql(S.TEXT_USER_UPSERTED, userid="userid", amount="amount")} END AS status_text
 FROM k""", ("requests", "users"))
 def upsert_user(spark, sf):
     """Upsert decisions in a static world (closed form)."""

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tollgate import schema as S
+from tollgate.functions.texts import text_sql
 from tollgate.operators import audit as C
 from tollgate.operators import lookups as L
 from tollgate.operators import maintenance as R
@@ -148,10 +150,11 @@ SELECT r.request_id, r.userid, r.json AS payload,
        CASE WHEN ok THEN '{"mysteriousHexPayload":"' || json_extract_string(u.user_json_object, '$.mysteriousHexPayload')
                          || '","loyaltySchemeName":"' || json_extract_string(u.user_json_object, '$.loyaltySchemeName')
                          || '","loyaltySchemeNumber":' || CAST(TRY_CAST(r.json AS BIGINT) AS VARCHAR) || '}' END AS new_json,
-       CASE WHEN NOT ok THEN 'Invalid loyalty card number' END AS error
+       CASE WHEN NOT ok THEN {BAD_NUMBER} END AS error
 FROM (SELECT *, coalesce(regexp_full_match(json, '[+-]?[0-9]+') AND TRY_CAST(json AS BIGINT) IS NOT NULL, false) AS ok
       FROM requests WHERE delta_op = 'NEW_LOYALTY_NUMBER') r
-JOIN users u USING (userid)""", ("requests", "users"))
+JOIN users u USING (userid)""".replace("{BAD_NUMBER}", text_sql(S.TEXT_BAD_NUMBER, payload="coalesce(r.json, 'null')")),
+          ("requests", "users"))
 def loyalty_delta_update(spark, sf):
     """F8: apply every NEW_LOYALTY_NUMBER delta of the log to the user's JSON."""
     upd = fx.requests(spark, sf).filter(F.col("delta_op") == "NEW_LOYALTY_NUMBER")

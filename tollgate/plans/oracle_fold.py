@@ -10,6 +10,9 @@ Independent of the Python fold: written from the rules, not from its code.
 
 from __future__ import annotations
 
+from tollgate import schema as S
+from tollgate.functions.texts import text_sql
+
 TTL_USAGE = 180 * 60 * 1000000
 TTL_TXN = 3600 * 1000000
 PRUNE_TWO = 60 * 1000000
@@ -100,6 +103,27 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
       FROM ({s4})""".format(s4=s4)
     ts_dup = _ts("dup_t")
     ts_le = _ts("le0")
+    q = lambda v: "'" + v.replace("'", "''") + "'"
+    t_missing = text_sql(S.TEXT_USER_MISSING, userid="userid")
+    t_id_missing = text_sql(S.TEXT_USER_ID_MISSING, userid="userid")
+    t_dup = text_sql(S.TEXT_ALREADY_HAPPENED, time=ts_dup)
+    t_nobal = text_sql(S.TEXT_NO_BALANCE, userid="userid")
+    t_spent = text_sql(S.TEXT_SPENT, spent="used_neg")
+    t_neg = text_sql(S.TEXT_NEGATIVE_BALANCE, avail="avail")
+    t_some = text_sql(S.TEXT_SOME_ALLOCATED, avail="avail", wanted="wanted")
+    t_all = text_sql(S.TEXT_ALL_ALLOCATED, wanted="wanted")
+    t_added = text_sql(S.TEXT_CREDIT_ADDED, amount="amt", txn_id="txn_id")
+    t_created = text_sql(S.TEXT_USER_CREATED, userid="userid", amount="amt")
+    t_upserted = text_sql(S.TEXT_USER_UPSERTED, userid="userid", amount="amt")
+    t_locked = text_sql(S.TEXT_ALREADY_LOCKED, userid="userid", session="ls0")
+    t_current = text_sql(S.TEXT_CURRENTLY_LOCKED, userid="userid", session="ls0", expiry=ts_le)
+    t_badjson = text_sql(S.TEXT_BAD_JSON, userid="userid", old="coalesce(js0, 'null')", payload="coalesce(rjson, 'null')")
+    t_badnum = text_sql(S.TEXT_BAD_NUMBER, payload="coalesce(rjson, 'null')")
+    t_updated = text_sql(S.TEXT_USER_UPDATED, userid="userid")
+    m_already = q(S.MSG_CREDIT_ALREADY_ADDED)
+    m_added = text_sql(S.MSG_ADDED, amount="amt")
+    m_created = q(S.MSG_USER_CREATED)
+    m_upserted = q(S.MSG_USER_UPSERTED)
     new_json = ("'{' || concat_ws(',', "
                 "CASE WHEN json_extract_string(CASE WHEN js_ok THEN js0 END, '$.mysteriousHexPayload') IS NOT NULL THEN "
                 "'\"mysteriousHexPayload\":' || to_json(json_extract_string(CASE WHEN js_ok THEN js0 END, '$.mysteriousHexPayload')) END, "
@@ -139,35 +163,30 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
     request_id, t, op, CAST(st AS INTEGER) AS status,
     CASE op
       WHEN 'REPORT_USAGE' THEN
-        CASE st WHEN 50 THEN 'User ' || CAST(userid AS VARCHAR) || ' does not exist'
-                WHEN 46 THEN 'Event already happened at ' || {ts_dup}
-                WHEN -1 THEN 'No balance for user ' || CAST(userid AS VARCHAR)
+        CASE st WHEN 50 THEN {t_missing}
+                WHEN 46 THEN {t_dup}
+                WHEN -1 THEN {t_nobal}
                 WHEN 42 THEN NULL
-                WHEN 43 THEN 'Spent ' || CAST(used_neg AS VARCHAR) || '; Negative balance: ' || CAST(avail AS VARCHAR)
-                WHEN 44 THEN 'Spent ' || CAST(used_neg AS VARCHAR) || '; Allocated ' || CAST(avail AS VARCHAR)
-                             || ' units of ' || CAST(wanted AS VARCHAR) || ' asked for'
-                ELSE 'Spent ' || CAST(used_neg AS VARCHAR) || '; Allocated ' || CAST(wanted AS VARCHAR) END
+                WHEN 43 THEN {t_spent} || {t_neg}
+                WHEN 44 THEN {t_spent} || {t_some}
+                ELSE {t_spent} || {t_all} END
       WHEN 'ADD_CREDIT' THEN
-        CASE st WHEN 50 THEN 'User ID ' || CAST(userid AS VARCHAR) || ' does not exist'
-                WHEN 46 THEN 'Event already happened at ' || {ts_dup}
-                ELSE CAST(amt AS VARCHAR) || ' added by Txn ' || txn_id END
+        CASE st WHEN 50 THEN {t_id_missing}
+                WHEN 46 THEN {t_dup}
+                ELSE {t_added} END
       WHEN 'UPSERT_USER' THEN
-        CASE WHEN st = 46 THEN 'Event already happened at ' || {ts_dup}
-             WHEN NOT ex0 THEN 'Created user ' || CAST(userid AS VARCHAR) || ' with opening credit of ' || CAST(amt AS VARCHAR)
-             ELSE 'Updated user ' || CAST(userid AS VARCHAR) || ' - added credit of ' || CAST(amt AS VARCHAR)
-                  || '; balance now 0' END
+        CASE WHEN st = 46 THEN {t_dup}
+             WHEN NOT ex0 THEN {t_created}
+             ELSE {t_upserted} END
       WHEN 'LOCK_USER' THEN
-        CASE st WHEN 50 THEN 'User ' || CAST(userid AS VARCHAR) || ' does not exist'
-                WHEN 53 THEN 'User ' || CAST(userid AS VARCHAR) || ' has already been locked by session ' || CAST(ls0 AS VARCHAR)
+        CASE st WHEN 50 THEN {t_missing}
+                WHEN 53 THEN {t_locked}
                 ELSE CAST(request_id AS VARCHAR) END
       WHEN 'UPDATE_USER' THEN
-        CASE st WHEN 50 THEN 'User ' || CAST(userid AS VARCHAR) || ' does not exist'
-                WHEN 54 THEN 'User ' || CAST(userid AS VARCHAR) || ' currently locked by session ' || CAST(ls0 AS VARCHAR)
-                             || '. Expires at ' || {ts_le}
-                WHEN -1 THEN CASE WHEN NOT js_ok THEN 'Json syntax exception while working with User ' || CAST(userid AS VARCHAR) || ', '' ' || coalesce(js0, 'null')
-                                                      || ''' and ''' || coalesce(rjson, 'null')
-                                  ELSE 'Invalid loyalty card number: ''' || coalesce(rjson, 'null') END
-                ELSE 'User ' || CAST(userid AS VARCHAR) || ' updated' END
+        CASE st WHEN 50 THEN {t_missing}
+                WHEN 54 THEN {t_current}
+                WHEN -1 THEN CASE WHEN NOT js_ok THEN {t_badjson} ELSE {t_badnum} END
+                ELSE {t_updated} END
       ELSE NULL END AS status_text,
     CASE op WHEN 'REPORT_USAGE' THEN sess WHEN 'UPDATE_USER' THEN rsess
             WHEN 'LOCK_USER' THEN CASE st WHEN 53 THEN ls0 WHEN 54 THEN request_id END END AS session_id,
@@ -175,11 +194,11 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
     CAST(CASE WHEN op = 'REPORT_USAGE' AND st BETWEEN 42 AND 45 AND used_neg <> 0 THEN used_neg
               WHEN op = 'ADD_CREDIT' AND st IN (46, 56) THEN amt
               WHEN op = 'UPSERT_USER' AND st = 42 THEN amt END AS BIGINT) AS ev_amount,
-    CASE WHEN op = 'REPORT_USAGE' AND st BETWEEN 42 AND 45 AND used_neg <> 0 THEN 'Spent ' || CAST(used_neg AS VARCHAR)
-         WHEN op = 'ADD_CREDIT' AND st = 46 THEN 'Credit already added'
-         WHEN op = 'ADD_CREDIT' AND st = 56 THEN 'Added ' || CAST(amt AS VARCHAR)
-         WHEN op = 'UPSERT_USER' AND st = 42 AND NOT ex0 THEN 'user created'
-         WHEN op = 'UPSERT_USER' AND st = 42 THEN 'user upserted' END AS ev_msg,
+    CASE WHEN op = 'REPORT_USAGE' AND st BETWEEN 42 AND 45 AND used_neg <> 0 THEN {t_spent}
+         WHEN op = 'ADD_CREDIT' AND st = 46 THEN {m_already}
+         WHEN op = 'ADD_CREDIT' AND st = 56 THEN {m_added}
+         WHEN op = 'UPSERT_USER' AND st = 42 AND NOT ex0 THEN {m_created}
+         WHEN op = 'UPSERT_USER' AND st = 42 THEN {m_upserted} END AS ev_msg,
     txn_id AS ev_txn
   FROM ({s5})"""
     steps = init + "\n  UNION ALL\n" + rec

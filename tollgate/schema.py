@@ -38,8 +38,36 @@ SUMMARY_PERCENTILES = (50.0, 99.0, 99.9, 99.99, 99.999)
 SUMMARY_MARKER = "GREPABLE SUMMARY"
 SUMMARY_BLOCKS = ("RQU", "KV_PUT", "KV_GET")   # writer order (Q17)
 TOPUP_THRESHOLD = 1000
+# Status texts, financial-event messages and ledger purposes, as the
+# reference writes them; {name} marks a value filled in per request.
+TEXT_USER_MISSING = "User {userid} does not exist"
+TEXT_USER_ID_MISSING = "User ID {userid} does not exist"
+TEXT_ALREADY_HAPPENED = "Event already happened at {time}"
+TEXT_SPENT = "Spent {spent}"
+TEXT_NEGATIVE_BALANCE = "; Negative balance: {avail}"
+TEXT_SOME_ALLOCATED = "; Allocated {avail} units of {wanted} asked for"
+TEXT_ALL_ALLOCATED = "; Allocated {wanted}"
+TEXT_CREDIT_ADDED = "{amount} added by Txn {txn_id}"
+TEXT_USER_CREATED = "Created user {userid} with opening credit of {amount}"
+TEXT_USER_UPSERTED = "Updated user {userid} - added credit of {amount}; balance now 0"
+TEXT_ALREADY_LOCKED = "User {userid} has already been locked by session {session}"
+TEXT_USER_UPDATED = "User {userid} updated"
+TEXT_CURRENTLY_LOCKED = "User {userid} currently locked by session {session}. Expires at {expiry}"
+TEXT_BAD_JSON = "Json syntax exception while working with User {userid}, ' {old}' and '{payload}"
+TEXT_BAD_NUMBER = "Invalid loyalty card number: '{payload}"
+MSG_CREDIT_ALREADY_ADDED = "Credit already added"
+MSG_ADDED = "Added {amount}"
+MSG_USER_CREATED = "user created"
+MSG_USER_UPSERTED = "user upserted"
+PURPOSE_ADD_CREDIT = "Add Credit"
+PURPOSE_UPSERT_USER = "Upsert user"
+TIME_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"     # timestamps inside texts, UTC
 # ---------------------------------------------------------------------------
 
+# Our own texts (no counterpart in the reference).
+TEXT_NO_BALANCE = "No balance for user {userid}"
+TEXT_UNKNOWN_OP = "Unknown operation {op}"
+
 # Our own marker for a request that the reference would abort for a reason
 # that has no status code (missing balance row, bad delta payload).
 STATUS_ABORTED = -1
