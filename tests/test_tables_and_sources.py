@@ -137,3 +137,11 @@ def test_run_logs_read_from_text_files(spark):
     logs = MS.read_run_logs(spark, d)
     summary = MS.summary_lines(logs).collect()
     assert len(summary) == 1 and summary[0].file == "run1.log"
+
+
+def test_zero_divisors_do_not_fail(spark):
+    lat = spark.createDataFrame([(1, "z", 5, "", 0)], S.LATENCY)
+    assert H.latency_summary(lat).first().average is None
+    line = "2024-01-02 03:04:05:GREPABLE SUMMARY:0:10.0:" + ":".join(["1"] * 24) + ":"
+    parsed = B.parse_run_summary(spark.createDataFrame([("f", line)], "file string, line string"))
+    assert B.sweep_verdict(parsed).first().passed is True

@@ -43,7 +43,8 @@ def latency_summary(latency: DataFrame, max_size: int = DEFAULT_MAX_SIZE) -> Dat
                 F.max_by("n", "bucket").alias("max_bucket_count"),
                 F.sum("under").alias("under_reports"),
                 F.sum("over").alias("over_reports"))
-            .withColumn("average", F.col("total").cast("double") / F.col("reports")))
+            .withColumn("average", F.when(F.col("reports") != 0,
+                                          F.col("total").cast("double") / F.col("reports"))))
 
 
 def latency_percentiles(latency: DataFrame, percentiles=S.PERCENTILES,

@@ -47,7 +47,9 @@ def summary_long(parsed: DataFrame) -> DataFrame:
 def sweep_verdict(parsed: DataFrame, ratio: float = S.PASS_RATIO) -> DataFrame:
     """B2: a step passed when tps / (tpms * 1000) > ratio; a sweep (one file)
     stops at its first failed step, so steps at or after it are out."""
-    passed = (F.col("tps") / (F.col("tpms") * F.lit(1000))) > F.lit(ratio)
+    target = F.col("tpms") * F.lit(1000)
+    # a zero target divides to +inf (passes) for any positive tps, as double division does
+    passed = F.when(target == 0, F.col("tps") > 0).otherwise((F.col("tps") / target) > F.lit(ratio))
     per_file = Window.partitionBy("file")
     return (parsed.select("file", "tpms", "tps", passed.alias("passed"))
             .withColumn("first_failure", F.min(F.when(~F.col("passed"), F.col("tpms"))).over(per_file))
