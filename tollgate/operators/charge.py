@@ -89,21 +89,19 @@ OUT_COLS = [f.name for f in OUT_SCHEMA.fields]
 # ------------------------------------------------------------ the fold ---
 
 class _Rows:
-    """Collects output rows of several kinds as column lists."""
+    """Collects output rows per kind as column lists; ``batches`` yields one
+    Arrow batch per kind, the columns a kind does not use as typed nulls."""
 
     def __init__(self):
-        self.cols = {c: [] for c in OUT_COLS}
+        self.kinds: dict[str, dict[str, list]] = {}
         self.n = 0
 
     def add(self, kind: str, data: dict, n: int):
         if n == 0:
             return
-        for c in OUT_COLS:
-            if c == "kind":
-                self.cols[c].extend([kind] * n)
-            else:
-                v = data.get(c)
-                self.cols[c].extend(v if v is not None else [None] * n)
+        cols = self.kinds.setdefault(kind, {})
+        for c, v in data.items():
+            cols.setdefault(c, []).extend(v)
         self.n += n
 
     def add_output(self, out: Output):
@@ -128,8 +126,18 @@ class _Rows:
                              "approved": [v[2] for _, _, v in rows], "spent": [v[3] for _, _, v in rows],
                              "message": [v[4] for _, _, v in rows]}, len(rows))
 
-    def batch(self) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict(self.cols, schema=OUT_ARROW)
+    def batches(self):
+        for kind, cols in self.kinds.items():
+            n = len(next(iter(cols.values())))
+            arrays = []
+            for f in OUT_ARROW:
+                if f.name == "kind":
+                    arrays.append(pa.array([kind] * n, pa.string()))
+                elif f.name in cols:
+                    arrays.append(pa.array(cols[f.name], f.type))
+                else:
+                    arrays.append(pa.nulls(n, f.type))
+            yield pa.RecordBatch.from_arrays(arrays, schema=OUT_ARROW)
 
 
 def load_state(st: UserState, rec: str, row: dict, i: int) -> None:
@@ -179,13 +187,11 @@ def fold_partition(batches, mode: str = "reference"):
             else:
                 load_state(st, rec, row, i)
         rows.add_output(out)
-        if rows.n:
-            yield rows.batch()
+        yield from rows.batches()
     if uid is not None:
         rows = _Rows()
         rows.add_final(uid, st)
-        if rows.n:
-            yield rows.batch()
+        yield from rows.batches()
 
 
 # ------------------------------------------------------- Spark plumbing ---
