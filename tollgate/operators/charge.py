@@ -142,12 +142,14 @@ class _Rows:
 
 def load_state(st: UserState, rec: str, row: dict, i: int) -> None:
     """Apply one initial-state row to a user's state."""
-    if rec == "user":
+    if rec == "user" or rec == "user_balance":
         st.exists = True
         st.json = row["json"][i]
         st.last_seen = row["t_us"][i]
         st.lock_session = row["lock_session"][i]
         st.lock_expiry = row["lock_expiry_us"][i]
+        if rec == "user_balance" and row["amount"][i] is not None:
+            st.balance = row["amount"][i]
     elif rec == "balance":
         st.balance = row["amount"][i]
     elif rec == "usage":
@@ -201,25 +203,35 @@ def _lit(t):
 
 
 def _input_rows(requests: DataFrame | None, users: DataFrame | None, opening_events: DataFrame | None,
-                usage: DataFrame | None, txns: DataFrame | None) -> DataFrame:
+                usage: DataFrame | None, txns: DataFrame | None, merge_user_balance: bool = False) -> DataFrame:
     """One narrow DataFrame of initial-state rows (phase 0) and requests
     (phase 1) in IN_SCHEMA.  Opening events are summed per user first
     (partial aggregation), so the fold sees one balance row per user."""
     parts = []
 
-    def shape(df: DataFrame, phase: int, rec: str, **cols: Column) -> DataFrame:
+    def shape(df: DataFrame, phase: int, rec, **cols: Column) -> DataFrame:
         sel = []
         for f in IN_SCHEMA.fields:
             if f.name == "phase":
                 sel.append(F.lit(phase).alias("phase"))
             elif f.name == "rec":
-                sel.append(F.lit(rec).alias("rec"))
+                sel.append((F.lit(rec) if isinstance(rec, str) else rec).alias("rec"))
             elif f.name in cols:
                 sel.append(cols[f.name].cast(f.dataType).alias(f.name))
             else:
                 sel.append(_lit(f.dataType).alias(f.name))
         return df.select(*sel)
 
+    if merge_user_balance and users is not None and opening_events is not None:
+        # one row per user (user fields + summed balance), balances of unknown users on their own
+        bal = opening_events.groupBy("userid").agg(F.sum("amount").alias("amount"))
+        ub = users.withColumn("_u", F.lit(True)).join(bal, "userid", "full_outer")
+        rec = F.when(F.col("_u").isNotNull(), F.lit("user_balance")).otherwise(F.lit("balance"))
+        parts.append(shape(ub, 0, rec, userid=F.col("userid"), json=F.col("user_json_object"),
+                           t_us=micros("user_last_seen"), lock_session=F.col("user_softlock_sessionid"),
+                           lock_expiry_us=micros("user_softlock_expiry"), amount=F.col("amount"),
+                           request_id=F.lit(0)))
+        users = opening_events = None
     if users is not None:
         parts.append(shape(users, 0, "user", userid=F.col("userid"), json=F.col("user_json_object"),
                            t_us=micros("user_last_seen"), lock_session=F.col("user_softlock_sessionid"),

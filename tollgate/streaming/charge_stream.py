@@ -172,7 +172,8 @@ def charge_stream(requests: DataFrame, users: DataFrame | None = None, opening_e
         reqs = _input_rows(requests, None, None, None, None).drop("phase")
         initial = None
         if any(x is not None for x in (users, opening_events, usage, txns)):
-            initial = _input_rows(None, users, opening_events, usage, txns).drop("phase").groupBy("userid")
+            initial = (_input_rows(None, users, opening_events, usage, txns, merge_user_balance=True)
+                       .drop("phase").groupBy("userid"))
         return reqs.groupBy("userid").transformWithState(
             statefulProcessor=ChargeRowProcessor(mode), outputStructType=OUT_SCHEMA, outputMode="Append",
             timeMode="None", initialState=initial)
