@@ -20,15 +20,23 @@ DEFAULT_CONF = {
 
 
 # Settings for a large cluster (pass as ``extra`` or put in spark-defaults).
-# AQE coalesces the many shuffle partitions down to ~256 MB each at run time
-# and splits skewed join partitions.  Broadcasts are decided only on measured
+# Shuffle partitions are sized for ~256 MB each at 100 TB (see
+# shuffle_partitions_for); AQE merges them where a shuffle is smaller and
+# splits skewed join partitions.  Broadcasts are decided only on measured
 # sizes: the estimate-based threshold is off, and AQE turns a join into a
 # broadcast join only after the build side has materialised at <= 64 MB.
 # (Local sessions keep Spark's default 10 MB estimate check, which suits the
 # small test tables.)  Arrow batches bound the Python fold's memory per
 # batch; RocksDB keeps streaming state off the JVM heap.
+def shuffle_partitions_for(shuffled_bytes: int, target_bytes: int = 256 * 1024 * 1024) -> int:
+    """Initial shuffle partitions so that each holds about ``target_bytes``
+    (AQE can merge small partitions but cannot split a repartition by key):
+    100 TB at 256 MB gives ~400 k."""
+    return max(1, -(-shuffled_bytes // target_bytes))
+
+
 CLUSTER_CONF = {
-    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.shuffle.partitions": str(shuffle_partitions_for(100 * 1024 ** 4)),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
@@ -70,14 +78,16 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in
-    ``spark.checkpoint.dir``; only when none is configured (local tests) is a
-    scratch folder under /tmp set."""
+    ``spark.checkpoint.dir``.  Only a local-mode session without one (tests)
+    gets a scratch folder under /tmp; a cluster session without one fails."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor shares")
         d = tempfile.mkdtemp(prefix="tollgate-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
