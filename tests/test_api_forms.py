@@ -72,3 +72,14 @@ def test_charge_with_initial_ledger_and_reservations(spark):
     assert got[2] == (S.STATUS_SOME_UNITS_ALLOCATED, 45, 105)        # 100 + 5 (Q2) - 60 held by session 7
     assert {(x.sessionid, x.allocated_amount) for x in r.usage.collect()} == {(7, 60), (8, 45)}
     assert r.users.filter(F.col("userid") == 1).count() == 1
+
+
+def test_replay_saved_once_and_read_back(spark, tmp_path):
+    from tollgate.sources import fixtures as fx
+    from conftest import SF_SMALL
+    r = D.charge(fx.requests(spark, SF_SMALL), fx.users(spark, SF_SMALL), fx.opening_events(spark, SF_SMALL))
+    r.save(str(tmp_path / "replay"))
+    back = D.ChargeResult.load(spark, str(tmp_path / "replay"))
+    assert back.decisions.count() == r.decisions.count() and back.txns.count() == r.txns.count()
+    plan = back.events._jdf.queryExecution().executedPlan().toString()
+    assert "kind=event" in plan or "PartitionFilters: [isnotnull(kind" in plan

@@ -272,6 +272,17 @@ class ChargeResult:
         from tollgate.session import cut_lineage
         return ChargeResult(cut_lineage(self.raw))
 
+    def save(self, path: str, mode: str = "overwrite") -> None:
+        """Write the replay's output once, partitioned by kind, so each
+        projection reads only its own files."""
+        self.raw.write.mode(mode).partitionBy("kind").parquet(path)
+
+    @classmethod
+    def load(cls, spark, path: str) -> "ChargeResult":
+        schema = T.StructType([f for f in OUT_SCHEMA.fields if f.name != "kind"]
+                              + [T.StructField("kind", T.StringType())])
+        return cls(spark.read.schema(schema).parquet(path))
+
     def _kind(self, kind: str) -> DataFrame:
         return self.raw.filter(F.col("kind") == kind)
 
@@ -343,6 +354,8 @@ def charge(requests: DataFrame, users: DataFrame | None = None, opening_events:
     decisions, financial events and final state (see ``ChargeResult``)."""
     if mode not in ("reference", "strict"):
         raise ValueError(f"unknown mode {mode}")
+    if requests is None:
+        raise ValueError("charge needs a request log")
     inp = _input_rows(requests, users, opening_events, usage, txns)
     parted = inp.repartition(partitions, "userid") if partitions else inp.repartition("userid")
     ordered = parted.sortWithinPartitions("userid", "phase", "t_us", "request_id")
