@@ -474,29 +474,31 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
 def add_credit(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame]:
     """D4 in bulk with an infinite duplicate horizon and a static user set:
     the first (userid, txn_id) credit is 56, repeats are 46 and - as in the
-    reference (Q2) - still produce a financial event.  Returns (decisions,
-    events).  The first occurrence is found by partial aggregation, not by a
-    per-user window."""
-    credits = requests.filter(F.col("op") == "ADD_CREDIT")
-    known = credits.join(users.select("userid"), "userid", "left_semi")
-    unknown = credits.join(users.select("userid"), "userid", "left_anti")
-    firsts = (first_per_key(known, ["userid", "txn_id"], ["txn_time", "request_id"])
+    reference (Q2) - still produce a financial event; credits of unknown
+    users are 50 and change nothing.  Returns (decisions, events).  The first
+    occurrence is found by partial aggregation (no per-user window) and joined
+    back; the log is read twice (aggregate and join)."""
+    known_ids = users.select("userid", F.lit(True).alias("_known"))
+    credits = requests.filter(F.col("op") == "ADD_CREDIT").join(known_ids, "userid", "left")
+    firsts = (first_per_key(credits.filter(F.col("_known").isNotNull()), ["userid", "txn_id"],
+                            ["txn_time", "request_id"])
               .select("userid", "txn_id", F.col("txn_time").alias("first_time"),
                       F.col("request_id").alias("first_id")))
-    k = known.join(firsts, ["userid", "txn_id"])
+    k = credits.join(firsts, ["userid", "txn_id"], "left")
+    known = F.col("_known").isNotNull()
     is_first = F.col("request_id") == F.col("first_id")
     dec = k.select(
         "request_id", "userid", "txn_time", "op",
-        F.when(is_first, F.lit(S.STATUS_CREDIT_ADDED)).otherwise(F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).alias("status"),
-        F.when(is_first, text_col(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id"))
+        F.when(~known, F.lit(S.STATUS_USER_DOESNT_EXIST)).when(is_first, F.lit(S.STATUS_CREDIT_ADDED))
+         .otherwise(F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).alias("status"),
+        F.when(~known, text_col(S.TEXT_USER_ID_MISSING, userid="userid"))
+         .when(is_first, text_col(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id"))
          .otherwise(text_col(S.TEXT_ALREADY_HAPPENED, time=F.date_format("first_time", S.TIME_TEXT_FORMAT)))
          .alias("status_text"))
-    dec = dec.unionByName(unknown.select(
-        "request_id", "userid", "txn_time", "op", F.lit(S.STATUS_USER_DOESNT_EXIST).alias("status"),
-        text_col(S.TEXT_USER_ID_MISSING, userid="userid").alias("status_text")))
-    events = k.select("userid", "amount", F.col("txn_id").alias("user_txn_id"),
-                      F.when(is_first, text_col(S.MSG_ADDED, amount="amount"))
-                       .otherwise(F.lit(S.MSG_CREDIT_ALREADY_ADDED)).alias("message"), "txn_time")
+    events = k.filter(known).select(
+        "userid", "amount", F.col("txn_id").alias("user_txn_id"),
+        F.when(is_first, text_col(S.MSG_ADDED, amount="amount"))
+         .otherwise(F.lit(S.MSG_CREDIT_ALREADY_ADDED)).alias("message"), "txn_time")
     return dec, events
 
 
@@ -505,15 +507,17 @@ def upsert_user(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
     horizon).  The first (userid, txn_id) upsert is applied, repeats are 46
     with no effect.  The earliest applied upsert of a user absent from
     ``users`` creates it; every other applied one only adds credit (Q7).
-    Returns (decisions, events, users snapshot)."""
+    Returns (decisions, events, users snapshot).  The creating upsert is the
+    earliest first occurrence, taken from the small per-(user, txn) table,
+    so the log is read twice (aggregate and join)."""
     ups = requests.filter(F.col("op") == "UPSERT_USER")
     firsts = (first_per_key(ups, ["userid", "txn_id"], ["txn_time", "request_id"])
               .select("userid", "txn_id", F.col("txn_time").alias("first_time"),
                       F.col("request_id").alias("first_id")))
-    applied_first = (first_per_key(ups, ["userid"], ["txn_time", "request_id"])
-                     .select("userid", F.col("request_id").alias("creator_id")))
+    creators = (first_per_key(firsts, ["userid"], ["first_time", "first_id"])
+                .select("userid", F.col("first_id").alias("creator_id")))
     existing = users.select("userid", F.lit(True).alias("pre_existing"))
-    u = (ups.join(firsts, ["userid", "txn_id"]).join(applied_first, "userid")
+    u = (ups.join(firsts, ["userid", "txn_id"]).join(creators, "userid")
          .join(existing, "userid", "left"))
     applied = F.col("request_id") == F.col("first_id")
     creates = applied & F.col("pre_existing").isNull() & (F.col("request_id") == F.col("creator_id"))
@@ -525,7 +529,8 @@ def upsert_user(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
          .otherwise(text_col(S.TEXT_USER_UPSERTED, userid="userid", amount="amount")).alias("status_text"))
     events = u.filter(applied).select(
         "userid", "amount", F.col("txn_id").alias("user_txn_id"),
-        F.when(creates, F.lit(S.MSG_USER_CREATED)).otherwise(F.lit(S.MSG_USER_UPSERTED)).alias("message"), "txn_time")
+        F.when(creates, F.lit(S.MSG_USER_CREATED)).otherwise(F.lit(S.MSG_USER_UPSERTED)).alias("message"),
+        "txn_time")
     created = u.filter(creates).select(
         "userid", F.col("json").alias("user_json_object"), F.col("txn_time").alias("user_last_seen"),
         F.lit(None).cast("long").alias("user_softlock_sessionid"),
