@@ -351,7 +351,12 @@ def charge(requests: DataFrame, users: DataFrame | None = None, opening_events:
            usage: DataFrame | None = None, txns: DataFrame | None = None, mode: str = "reference",
            partitions: int | None = None) -> ChargeResult:
     """Replay ``requests`` per user over the initial state and return the
-    decisions, financial events and final state (see ``ChargeResult``)."""
+    decisions, financial events and final state (see ``ChargeResult``).
+
+    In ``mode="reference"`` a user's state is bounded by the retention rules
+    (ledger 1 h, reservations 3 h).  ``mode="strict"`` keeps every txn id for
+    an infinite duplicate horizon, so its ledger grows with the user's
+    history."""
     if mode not in ("reference", "strict"):
         raise ValueError(f"unknown mode {mode}")
     if requests is None:
