@@ -1,8 +1,9 @@
 """Point lookups of the procedures (F1-F8) in point and bulk form.
 
 The reference looks up one user per call; on Spark the same operators take a
-DataFrame of probe keys and run as one join (sort-merge by default; AQE turns
-it into a broadcast join at runtime only when the probe side measures small).
+DataFrame of probe keys and run as one join.  Spark picks the strategy
+(sort-merge for large sides); with ``session.CLUSTER_CONF`` a broadcast
+happens only after AQE has measured the smaller side.
 """
 
 from __future__ import annotations

@@ -4,8 +4,11 @@ views, run incrementally.
 * ``user_balance_stream`` (A2): running sum per user in ``update`` mode; the
   per-user state is unbounded by nature (a balance never expires).
 * ``activity_per_minute_stream`` (A6/A7/A9 in one pass): tumbling one-minute
-  event-time windows with a watermark, emitted in ``append`` mode once the
-  watermark passes the window's end, so state holds only open minutes.
+  event-time windows with a watermark, so state holds only minutes the
+  watermark has not passed.  In ``append`` mode a minute is emitted once,
+  when the watermark passes its end; in ``update`` mode (used by the
+  registered query, so that the last, still open minutes are included) a
+  minute is re-emitted whenever it changes and the last row per minute wins.
 """
 
 from __future__ import annotations
