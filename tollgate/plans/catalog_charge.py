@@ -119,7 +119,8 @@ def charge_events(spark, sf):
 
 @register("charge_final_state", _FINAL, **_FOLD)
 def charge_final_state(spark, sf):
-    """Final user row, balance and reservation total per user after the replay."""
+    """Final user row, balance, reservations (total and count) and
+    ledger size per user after the replay."""
     return replay(spark, sf).final_summary()
 
 

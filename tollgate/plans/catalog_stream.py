@@ -81,8 +81,9 @@ GROUP BY userid""", ("opening_events", "addcredit_msg", "users"))
 def credit_topic_balances(spark, sf):
     """The add-credit flow: topic messages are decoded (S2, malformed ones
     rejected), replayed by the streaming fold (D9), their financial events
-    written by the idempotent sink (S3), and balances computed (A2) over the
-    opening events and the exported ones."""
+    exported by the stream's per-batch idempotent sink (the S3 design:
+    parquet partitioned by batch id, a retried batch replaces itself), and
+    balances computed (A2) over the opening events and the exported ones."""
     root = _root(spark, "credit-topic")
     topic = fx.addcredit_topic(spark, sf)
     inbox, out, state = (os.path.join(root, x) for x in ("in", "out", "state"))
