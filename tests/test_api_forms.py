@@ -83,3 +83,20 @@ def test_replay_saved_once_and_read_back(spark, tmp_path):
     assert back.decisions.count() == r.decisions.count() and back.txns.count() == r.txns.count()
     plan = back.events._jdf.queryExecution().executedPlan().toString()
     assert "kind=event" in plan or "PartitionFilters: [isnotnull(kind" in plan
+
+
+def test_loyalty_delta_column_form_agrees_with_the_fold(spark):
+    """F8 as a Spark column (from_json/withField/to_json) and as the fold's
+    Python function give the same JSON or the same refusal."""
+    from tollgate.functions.columns import loyalty_delta_update
+    from tollgate.operators.fold import apply_loyalty_delta
+    old = J % (7, 1)
+    payloads = ["42", "+9", "-0", "-17", "007", " 12", "12 ", "1.5", "", "abc", "9223372036854775807",
+                "9223372036854775808", "-9223372036854775808", "99999999999999999999"]
+    olds = [old, '{"loyaltySchemeName":"X"}', '{"mysteriousHexPayload":"A","extra":1}', "[1,2]", "not json"]
+    rows = [(i, o, p) for i, (o, p) in enumerate((o, p) for o in olds for p in payloads)]
+    df = spark.createDataFrame(rows, "i long, old string, payload string")
+    got = {r.i: r.new for r in df.select("i", loyalty_delta_update("old", "payload").alias("new")).collect()}
+    for i, o, p in rows:
+        want = apply_loyalty_delta(o, p)[0]
+        assert got[i] == want, (o, p, got[i], want)

@@ -107,4 +107,10 @@ def loyalty_delta_update(old_json, payload) -> Column:
     parsed = F.from_json(_c(old_json), S.USER_JSON)
     num = parse_long_strict(payload)
     updated = parsed.withField(S.JSON_FIELDS[2], num)
-    return F.when(parsed.isNotNull() & num.isNotNull(), F.to_json(updated))
+    return F.when(json_is_object(old_json) & num.isNotNull(), F.to_json(updated))
+
+
+def json_is_object(text) -> Column:
+    """True when the text is a JSON object (from_json alone yields a struct of
+    NULLs for arrays and malformed text)."""
+    return F.json_object_keys(_c(text)).isNotNull()

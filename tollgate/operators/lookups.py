@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tollgate import schema as S
-from tollgate.functions.columns import loyalty_delta_update, loyalty_number_text
+from tollgate.functions.columns import json_is_object, loyalty_delta_update, loyalty_number_text
 from tollgate.functions.texts import text_col
 from tollgate.operators.keyed import later_than_first
 
@@ -96,7 +96,7 @@ def loyalty_delta(users: DataFrame, updates: DataFrame) -> DataFrame:
     null_text = lambda c: F.coalesce(F.col(c), F.lit("null"))  # noqa: E731  (Java prints null)
     return j.select(
         "request_id", "userid", "payload", new.alias("new_json"),
-        F.when(new.isNull(), F.when(F.from_json("user_json_object", S.USER_JSON).isNull(),
+        F.when(new.isNull(), F.when(~json_is_object("user_json_object"),
                                      text_col(S.TEXT_BAD_JSON, userid="userid", old=null_text("user_json_object"),
                                               payload=null_text("payload")))
                .otherwise(text_col(S.TEXT_BAD_NUMBER, payload=null_text("payload")))).alias("error"))
