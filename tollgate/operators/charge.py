@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tollgate import schema as S
 from tollgate.functions.columns import micros
 from tollgate.functions.texts import text_col
-from tollgate.operators.fold import Output, Request, UserState, fmt_ts, step
+from tollgate.operators.fold import Output, Request, UserState, step
 from tollgate.operators.keyed import first_per_key
 
 # --------------------------------------------------------------- schemas ---
@@ -575,4 +575,4 @@ def user_360_detail(users: DataFrame, usage: DataFrame, fin_events: DataFrame, t
 
 __all__ = ["charge", "ChargeResult", "report_quota_usage", "lock_user", "update_locked_user",
            "report_usage_single_session", "add_credit", "upsert_user", "user_360", "user_360_detail",
-           "fold_partition", "fmt_ts"]
+           "fold_partition"]

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tollgate import schema as S
 from tollgate.functions.columns import date_shift, ts_literal
-from tollgate.operators.lookups import _filter_ids
 from tollgate.operators.topk import oldest_txn_per_user, two_oldest_stale_txns
 
 
@@ -80,4 +79,4 @@ def unlock_all(users: DataFrame) -> DataFrame:
 
 
 __all__ = ["ttl_usage", "ttl_txns", "prune_two", "prune_oldest", "delete_users",
-           "clear_reservations", "unlock_all", "_filter_ids"]
+           "clear_reservations", "unlock_all"]

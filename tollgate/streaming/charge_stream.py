@@ -25,7 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from tollgate.functions.columns import micros
 from tollgate.operators.charge import IN_SCHEMA, OUT_COLS, OUT_SCHEMA, _input_rows, load_state
 from tollgate.operators.fold import Output, Request, UserState, step
 
@@ -232,5 +231,5 @@ def run_available(requests: DataFrame, out_dir: str, checkpoint: str, timeout_s:
         raise RuntimeError(str(q.exception()))
 
 
-__all__ = ["ChargeProcessor", "charge_stream", "request_stream", "write_charge_outputs", "read_charge_outputs",
-           "decisions_of", "events_of", "late_of", "run_available", "micros"]
+__all__ = ["ChargeProcessor", "ChargeRowProcessor", "charge_stream", "request_stream", "write_charge_outputs",
+           "read_charge_outputs", "decisions_of", "events_of", "late_of", "run_available"]
