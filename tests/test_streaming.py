@@ -48,3 +48,15 @@ def test_stream_with_restart_equals_batch_and_reports_late_rows(spark):
     result = CS.read_charge_outputs(spark, out)
     assert CS.late_of(result).count() == 25
     assert _rows(CS.decisions_of(result)) == _rows(batch.decisions)
+
+
+def test_streaming_dedup_keeps_one_request_per_key(spark):
+    from tollgate.streaming import views as SV
+    root = tempfile.mkdtemp(prefix="tollgate-dedup-", dir="/tmp")
+    req = fx.requests(spark, SF_SMALL).filter(F.col("txn_id").isNotNull())
+    req.write.parquet(os.path.join(root, "in"))
+    SV.run_to_table(SV.dedup_requests_stream(SV.file_stream(spark, os.path.join(root, "in"), req.schema)),
+                    os.path.join(root, "out"), os.path.join(root, "ck"), "append")
+    out = spark.read.parquet(os.path.join(root, "out"))
+    assert out.count() == req.select("userid", "txn_id").distinct().count()
+    assert out.groupBy("userid", "txn_id").count().filter("count > 1").count() == 0

@@ -41,6 +41,16 @@ def activity_per_minute_stream(txns: DataFrame, watermark: str = "10 minutes") -
                     "in_approved_amount", "in_spent_amount", "in_how_many", "how_many"))
 
 
+def dedup_requests_stream(requests: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """F7 on a stream: drop a request whose (userid, txn_id) was already seen
+    while that key's state is kept (until the watermark passes its first
+    time plus ``delay``, the reference's one-hour horizon by default).  State
+    is bounded by the watermark.  Which copy survives within one micro-batch
+    is not defined; the replay fold (D9) is the exact form."""
+    return (requests.withWatermark("txn_time", delay)
+            .dropDuplicatesWithinWatermark(["userid", "txn_id"]))
+
+
 def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
