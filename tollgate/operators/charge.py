@@ -19,6 +19,7 @@ decisions with windows and splits hot users into time buckets.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,12 +166,36 @@ def request_at(row: dict, i: int) -> Request:
                    row["delta_op"][i])
 
 
+_INT_NULL = {pa.int64(): -(1 << 63), pa.int32(): -(1 << 31)}
+
+
+def _pylists(batch: pa.RecordBatch) -> dict:
+    """The batch's columns as Python lists (None for NULL), converted through
+    numpy, which is an order of magnitude faster than ``to_pylist``.  A NULL
+    integer is filled with the type's minimum value and mapped back to None;
+    for longs that is Long.MIN_VALUE, which the reference itself uses as its
+    NULL marker."""
+    out = {}
+    for name, col in zip(batch.schema.names, batch.columns):
+        sentinel = _INT_NULL.get(col.type)
+        if sentinel is None:
+            out[name] = col.to_numpy(zero_copy_only=False).tolist()
+        elif col.null_count == 0:
+            out[name] = col.to_numpy().tolist()
+        elif col.null_count == len(col):
+            out[name] = [None] * len(col)
+        else:
+            vals = pc.fill_null(col, sentinel).to_numpy().tolist()
+            out[name] = [None if v == sentinel else v for v in vals]
+    return out
+
+
 def fold_partition(batches, mode: str = "reference"):
     """mapInArrow body: rows arrive sorted by (userid, phase, t_us, request_id)."""
     uid = None
     st = None
     for batch in batches:
-        row = batch.to_pydict()
+        row = _pylists(batch)
         users, recs = row["userid"], row["rec"]
         rid, ts, ops, txn = row["request_id"], row["t_us"], row["op"], row["txn_id"]
         sess, used, wanted = row["session_id"], row["units_used"], row["units_wanted"]
