@@ -58,7 +58,8 @@ def lock_contention(decisions: DataFrame, requests: DataFrame | None = None) ->
     taken from ``requests`` when given (joined on request_id)."""
     d = decisions.filter(F.col("op").isin("LOCK_USER", "UPDATE_USER"))
     if requests is not None:
-        d = d.join(requests.select("request_id", "delta_op"), "request_id", "left")
+        updates = requests.filter(F.col("op") == "UPDATE_USER").select("request_id", "delta_op")
+        d = d.join(updates, "request_id", "left")
     else:
         d = d.withColumn("delta_op", F.lit(None).cast("string"))
     lock = F.col("op") == "LOCK_USER"
