@@ -69,3 +69,13 @@ def test_single_session_closed_form_equals_fold_for_a_hot_user(spark):
     a = sorted(tuple(r) for r in closed.select(*cols).collect())
     b = sorted(tuple(r) for r in fold.select(*cols).collect())
     assert a == b
+
+
+def test_hot_users_report(spark):
+    rows = [(1 if i % 3 == 0 else 2 + i % 7, i) for i in range(300)]
+    df = spark.createDataFrame(rows, "userid long, request_id long")
+    top = D.hot_users(df, 2).collect()
+    assert top[0].userid == 1 and top[0].requests == 100 and abs(top[0].share - 1 / 3) < 1e-9
+    assert len(top) == 2
+    plan = D.hot_users(df, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan

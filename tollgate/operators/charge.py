@@ -396,6 +396,17 @@ def charge(requests: DataFrame, users: DataFrame | None = None, opening_events:
     return ChargeResult(ordered.mapInArrow(run, OUT_SCHEMA))
 
 
+def hot_users(requests: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` users with the most requests and their share of the log: a
+    replay runs each of them as one sequential task, so this is the size of
+    its longest tasks.  One partial aggregate, a top-k and a scalar subquery
+    for the total (no join, no collect)."""
+    total = requests.agg(F.count(F.lit(1)).alias("total")).scalar()
+    return (requests.groupBy("userid").agg(F.count(F.lit(1)).alias("requests"))
+            .orderBy(F.col("requests").desc(), F.col("userid")).limit(k)
+            .withColumn("share", F.col("requests") / total))
+
+
 def report_quota_usage(result: ChargeResult) -> DataFrame:
     """The usage-report decisions of a replay."""
     return result.decisions.filter(F.col("op") == "REPORT_USAGE")
@@ -599,5 +610,5 @@ def user_360_detail(users: DataFrame, usage: DataFrame, fin_events: DataFrame, t
 
 
 __all__ = ["charge", "ChargeResult", "report_quota_usage", "lock_user", "update_locked_user",
-           "report_usage_single_session", "add_credit", "upsert_user", "user_360", "user_360_detail",
+           "report_usage_single_session", "add_credit", "upsert_user", "user_360", "user_360_detail", "hot_users",
            "fold_partition"]

@@ -124,6 +124,15 @@ def charge_final_state(spark, sf):
     return replay(spark, sf).final_summary()
 
 
+@register("hot_users", """
+SELECT userid, count(*) AS requests, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM requests) AS share
+FROM requests GROUP BY userid ORDER BY requests DESC, userid LIMIT 10""", ("requests",))
+def hot_users(spark, sf):
+    """The ten users with the most requests and their share of the log (the
+    longest tasks of a replay)."""
+    return D.hot_users(fx.requests(spark, sf), 10)
+
+
 @register("report_quota_usage", f"SELECT * FROM ({_DEC}) WHERE op = 'REPORT_USAGE'", **_FOLD)
 def report_quota_usage(spark, sf):
     """The usage-report decisions of the replay."""
