@@ -26,7 +26,7 @@ def _random_log(seed, n=400, users=6):
         uid = rnd.randint(1, users)
         op = rnd.choices(["REPORT_USAGE", "ADD_CREDIT", "UPSERT_USER", "LOCK_USER", "UPDATE_USER", "DELETE_USER"],
                          [40, 20, 10, 12, 12, 3])[0]
-        txn = f"T{rnd.randint(1, 25)}"
+        txn = f"T{rnd.randint(1, 25)}" if rnd.random() > 0.03 else None
         sess = rnd.choice([None, uid * 10, uid * 10 + 1, uid * 10 + 2, i - 1, i - 2])
         delta = rnd.random() < 0.4
         payload = rnd.choice(["77", "-5", "abc", "+9", "99999999999999999999"]) if delta else JSON % (uid, i)

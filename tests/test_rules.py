@@ -218,3 +218,14 @@ def test_state_round_trip():
     again = UserState.from_json(log.st.to_json())
     assert again.to_json() == log.st.to_json()
     assert again.alloc == log.st.alloc and again.ledger.oldest() == log.st.ledger.oldest()
+
+
+def test_missing_txn_id_aborts_like_a_not_null_violation():
+    log = Log(user(balance=10))
+    log.credit(txn_id="a", amount=5)
+    for op in ("REPORT_USAGE", "ADD_CREDIT", "UPSERT_USER"):
+        d = log(op, t=SEC, txn_id=None, session_id=1, units_used=3, units_wanted=2, amount=4)
+        assert d["status"] == S.STATUS_ABORTED and d["balance_after"] == 15
+    assert log.events == [(5, "a", "Added 5")] and sorted(log.st.ledger.rows) == ["a"]
+    missing = Log(UserState(), uid=3)
+    assert missing.usage(txn_id=None, units_wanted=1)["status"] == S.STATUS_USER_DOESNT_EXIST

@@ -291,6 +291,10 @@ def _report_usage(st, uid, r, out, mode):
     if not st.exists:
         out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_MISSING.format(userid=uid), session)
         return
+    if r.txn_id is None:
+        # the ledger's txn id is NOT NULL: the insert fails and the call aborts
+        out.decision(r, uid, st, S.STATUS_ABORTED, S.TEXT_NO_TXN_ID.format(userid=uid), session)
+        return
     dup = st.ledger.get(r.txn_id)
     wanted = r.units_wanted or 0
     if dup is None and wanted != 0 and st.balance is None:
@@ -332,6 +336,9 @@ def _add_credit(st, uid, r, out, mode):
     if not st.exists:
         out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_ID_MISSING.format(userid=uid))
         return
+    if r.txn_id is None:
+        out.decision(r, uid, st, S.STATUS_ABORTED, S.TEXT_NO_TXN_ID.format(userid=uid))
+        return
     amount = r.amount or 0
     dup = st.ledger.get(r.txn_id)
     oldest = st.ledger.oldest() if mode != "strict" else None   # read before the insert
@@ -350,6 +357,9 @@ def _add_credit(st, uid, r, out, mode):
 
 def _upsert_user(st, uid, r, out, mode=None):
     now = r.t
+    if r.txn_id is None:
+        out.decision(r, uid, st, S.STATUS_ABORTED, S.TEXT_NO_TXN_ID.format(userid=uid))
+        return
     dup = st.ledger.get(r.txn_id)
     if dup is not None:
         out.decision(r, uid, st, S.STATUS_TXN_ALREADY_HAPPENED, _already(dup))

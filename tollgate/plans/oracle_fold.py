@@ -76,11 +76,12 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
       SELECT *,
         CASE op
           WHEN 'REPORT_USAGE' THEN
-            CASE WHEN NOT ex0 THEN 50 WHEN dup_t IS NOT NULL THEN 46
+            CASE WHEN NOT ex0 THEN 50 WHEN txn_id IS NULL THEN -1 WHEN dup_t IS NOT NULL THEN 46
                  WHEN wanted <> 0 AND bal0 IS NULL THEN -1 WHEN wanted = 0 THEN 42
                  WHEN bal0 - alloc2 < 0 THEN 43 WHEN wanted > bal0 - alloc2 THEN 44 ELSE 45 END
-          WHEN 'ADD_CREDIT' THEN CASE WHEN NOT ex0 THEN 50 WHEN dup_t IS NOT NULL THEN 46 ELSE 56 END
-          WHEN 'UPSERT_USER' THEN CASE WHEN dup_t IS NOT NULL THEN 46 ELSE 42 END
+          WHEN 'ADD_CREDIT' THEN CASE WHEN NOT ex0 THEN 50 WHEN txn_id IS NULL THEN -1
+                                      WHEN dup_t IS NOT NULL THEN 46 ELSE 56 END
+          WHEN 'UPSERT_USER' THEN CASE WHEN txn_id IS NULL THEN -1 WHEN dup_t IS NOT NULL THEN 46 ELSE 42 END
           WHEN 'LOCK_USER' THEN CASE WHEN NOT ex0 THEN 50 WHEN le0 IS NOT NULL AND le0 > t THEN 53 ELSE 54 END
           WHEN 'UPDATE_USER' THEN
             CASE WHEN NOT ex0 THEN 50
@@ -108,6 +109,7 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
     t_id_missing = text_sql(S.TEXT_USER_ID_MISSING, userid="userid")
     t_dup = text_sql(S.TEXT_ALREADY_HAPPENED, time=ts_dup)
     t_nobal = text_sql(S.TEXT_NO_BALANCE, userid="userid")
+    t_notxn = text_sql(S.TEXT_NO_TXN_ID, userid="userid")
     t_spent = text_sql(S.TEXT_SPENT, spent="used_neg")
     t_neg = text_sql(S.TEXT_NEGATIVE_BALANCE, avail="avail")
     t_some = text_sql(S.TEXT_SOME_ALLOCATED, avail="avail", wanted="wanted")
@@ -165,7 +167,7 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
       WHEN 'REPORT_USAGE' THEN
         CASE st WHEN 50 THEN {t_missing}
                 WHEN 46 THEN {t_dup}
-                WHEN -1 THEN {t_nobal}
+                WHEN -1 THEN CASE WHEN txn_id IS NULL THEN {t_notxn} ELSE {t_nobal} END
                 WHEN 42 THEN NULL
                 WHEN 43 THEN {t_spent} || {t_neg}
                 WHEN 44 THEN {t_spent} || {t_some}
@@ -173,9 +175,11 @@ def fold_ctes(requests: str = "requests", users: str = "users", opening: str = "
       WHEN 'ADD_CREDIT' THEN
         CASE st WHEN 50 THEN {t_id_missing}
                 WHEN 46 THEN {t_dup}
+                WHEN -1 THEN {t_notxn}
                 ELSE {t_added} END
       WHEN 'UPSERT_USER' THEN
         CASE WHEN st = 46 THEN {t_dup}
+             WHEN st = -1 THEN {t_notxn}
              WHEN NOT ex0 THEN {t_created}
              ELSE {t_upserted} END
       WHEN 'LOCK_USER' THEN

@@ -66,6 +66,7 @@ TIME_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"     # timestamps inside texts, U
 
 # Our own texts (no counterpart in the reference).
 TEXT_NO_BALANCE = "No balance for user {userid}"
+TEXT_NO_TXN_ID = "Missing transaction id for user {userid}"
 TEXT_UNKNOWN_OP = "Unknown operation {op}"
 
 # Our own marker for a request that the reference would abort for a reason
