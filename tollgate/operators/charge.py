@@ -432,7 +432,7 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
                                 bucket_us: int = 12 * HOUR_US) -> DataFrame:
     """D3: decisions for logs where every user has at most one open session,
     ADD_CREDIT and REPORT_USAGE only, users all existing with a balance row,
-    no repeated txn ids.  Then the other sessions' reservations are zero and
+    every request with a txn id and no txn id repeated.  Then the other sessions' reservations are zero and
     a usage report sees ``available = balance before its own spend`` (Q1),
     a running sum.  No Python.
 
@@ -516,27 +516,31 @@ def add_credit(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFr
     """D4 in bulk with an infinite duplicate horizon and a static user set:
     the first (userid, txn_id) credit is 56, repeats are 46 and - as in the
     reference (Q2) - still produce a financial event; credits of unknown
-    users are 50 and change nothing.  Returns (decisions, events).  The first
+    users are 50 and change nothing; a credit without a txn id aborts (-1).  Returns (decisions, events).  The first
     occurrence is found by partial aggregation (no per-user window) and joined
     back; the log is read twice (aggregate and join)."""
     known_ids = users.select("userid", F.lit(True).alias("_known"))
     credits = requests.filter(F.col("op") == "ADD_CREDIT").join(known_ids, "userid", "left")
-    firsts = (first_per_key(credits.filter(F.col("_known").isNotNull()), ["userid", "txn_id"],
+    firsts = (first_per_key(credits.filter(F.col("_known").isNotNull() & F.col("txn_id").isNotNull()),
+                            ["userid", "txn_id"],
                             ["txn_time", "request_id"])
               .select("userid", "txn_id", F.col("txn_time").alias("first_time"),
                       F.col("request_id").alias("first_id")))
     k = credits.join(firsts, ["userid", "txn_id"], "left")
     known = F.col("_known").isNotNull()
+    no_txn = F.col("txn_id").isNull()
     is_first = F.col("request_id") == F.col("first_id")
     dec = k.select(
         "request_id", "userid", "txn_time", "op",
-        F.when(~known, F.lit(S.STATUS_USER_DOESNT_EXIST)).when(is_first, F.lit(S.STATUS_CREDIT_ADDED))
+        F.when(~known, F.lit(S.STATUS_USER_DOESNT_EXIST)).when(no_txn, F.lit(S.STATUS_ABORTED))
+         .when(is_first, F.lit(S.STATUS_CREDIT_ADDED))
          .otherwise(F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).alias("status"),
         F.when(~known, text_col(S.TEXT_USER_ID_MISSING, userid="userid"))
+         .when(no_txn, text_col(S.TEXT_NO_TXN_ID, userid="userid"))
          .when(is_first, text_col(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id"))
          .otherwise(text_col(S.TEXT_ALREADY_HAPPENED, time=F.date_format("first_time", S.TIME_TEXT_FORMAT)))
          .alias("status_text"))
-    events = k.filter(known).select(
+    events = k.filter(known & ~no_txn).select(
         "userid", "amount", F.col("txn_id").alias("user_txn_id"),
         F.when(is_first, text_col(S.MSG_ADDED, amount="amount"))
          .otherwise(F.lit(S.MSG_CREDIT_ALREADY_ADDED)).alias("message"), "txn_time")
@@ -546,12 +550,16 @@ def add_credit(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFr
 def upsert_user(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """D5 in bulk (static world: no deletes in the log, infinite duplicate
     horizon).  The first (userid, txn_id) upsert is applied, repeats are 46
-    with no effect.  The earliest applied upsert of a user absent from
+    with no effect, one without a txn id aborts (-1).  The earliest applied upsert of a user absent from
     ``users`` creates it; every other applied one only adds credit (Q7).
     Returns (decisions, events, users snapshot).  The creating upsert is the
     earliest first occurrence, taken from the small per-(user, txn) table,
     so the log is read twice (aggregate and join)."""
-    ups = requests.filter(F.col("op") == "UPSERT_USER")
+    all_ups = requests.filter(F.col("op") == "UPSERT_USER")
+    aborted = all_ups.filter(F.col("txn_id").isNull()).select(
+        "request_id", "userid", "txn_time", "op", F.lit(S.STATUS_ABORTED).alias("status"),
+        text_col(S.TEXT_NO_TXN_ID, userid="userid").alias("status_text"))
+    ups = all_ups.filter(F.col("txn_id").isNotNull())
     firsts = (first_per_key(ups, ["userid", "txn_id"], ["txn_time", "request_id"])
               .select("userid", "txn_id", F.col("txn_time").alias("first_time"),
                       F.col("request_id").alias("first_id")))
@@ -568,6 +576,7 @@ def upsert_user(requests: DataFrame, users: DataFrame) -> tuple[DataFrame, DataF
         F.when(~applied, text_col(S.TEXT_ALREADY_HAPPENED, time=F.date_format("first_time", S.TIME_TEXT_FORMAT)))
          .when(creates, text_col(S.TEXT_USER_CREATED, userid="userid", amount="amount"))
          .otherwise(text_col(S.TEXT_USER_UPSERTED, userid="userid", amount="amount")).alias("status_text"))
+    dec = dec.unionByName(aborted)
     events = u.filter(applied).select(
         "userid", "amount", F.col("txn_id").alias("user_txn_id"),
         F.when(creates, F.lit(S.MSG_USER_CREATED)).otherwise(F.lit(S.MSG_USER_UPSERTED)).alias("message"),

@@ -156,8 +156,10 @@ WITH c AS (SELECT * FROM requests WHERE op = 'ADD_CREDIT'),
 k AS (SELECT c.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id
       FROM c WHERE userid IN (SELECT userid FROM users)
       WINDOW w AS (PARTITION BY userid, txn_id ORDER BY txn_time, request_id))
-SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 56 ELSE 46 END AS status,
-       CASE WHEN request_id = first_id THEN {text_sql(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id")}
+SELECT request_id, userid, txn_time, op,
+       CASE WHEN txn_id IS NULL THEN -1 WHEN request_id = first_id THEN 56 ELSE 46 END AS status,
+       CASE WHEN txn_id IS NULL THEN {text_sql(S.TEXT_NO_TXN_ID, userid="userid")}
+            WHEN request_id = first_id THEN {text_sql(S.TEXT_CREDIT_ADDED, amount="amount", txn_id="txn_id")}
             ELSE {text_sql(S.TEXT_ALREADY_HAPPENED, time=_FIRST_TS)} END AS status_text
 FROM k
 UNION ALL
@@ -169,7 +171,7 @@ def add_credit(spark, sf):
 
 
 @register("upsert_user", f"""
-WITH u AS (SELECT * FROM requests WHERE op = 'UPSERT_USER'),
+WITH u AS (SELECT * FROM requests WHERE op = 'UPSERT_USER' AND txn_id IS NOT NULL),
 k AS (SELECT u.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id,
              first_value(request_id) OVER (PARTITION BY userid ORDER BY txn_time, request_id) AS creator_id,
              userid IN (SELECT userid FROM users) AS pre
@@ -178,7 +180,10 @@ SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 42
        CASE WHEN request_id <> first_id THEN {text_sql(S.TEXT_ALREADY_HAPPENED, time=_FIRST_TS)}
             WHEN NOT pre AND request_id = creator_id THEN {text_sql(S.TEXT_USER_CREATED, userid="userid", amount="amount")}
             ELSE {text_sql(S.TEXT_USER_UPSERTED, userid="userid", amount="amount")} END AS status_text
-FROM k""", ("requests", "users"))
+FROM k
+UNION ALL
+SELECT request_id, userid, txn_time, op, -1, {text_sql(S.TEXT_NO_TXN_ID, userid="userid")}
+FROM requests WHERE op = 'UPSERT_USER' AND txn_id IS NULL""", ("requests", "users"))
 def upsert_user(spark, sf):
     """Upsert decisions in a static world (closed form)."""
     return D.upsert_user(fx.requests(spark, sf), fx.users(spark, sf))[0]
