@@ -100,3 +100,26 @@ def test_loyalty_delta_column_form_agrees_with_the_fold(spark):
     for i, o, p in rows:
         want = apply_loyalty_delta(o, p)[0]
         assert got[i] == want, (o, p, got[i], want)
+
+
+def test_credit_and_upsert_closed_forms_equal_the_fold_inside_the_horizon(spark):
+    """Within four minutes nothing is pruned or expired, so the closed forms
+    (infinite horizon, static users) must give the fold's decisions."""
+    base = T0 + dt.timedelta(hours=1)
+    rows = []
+    for i, (uid, op, txn, amt) in enumerate([
+            (1, "ADD_CREDIT", "a", 5), (1, "ADD_CREDIT", "a", 5), (1, "ADD_CREDIT", None, 7),
+            (2, "ADD_CREDIT", "b", 1), (9, "ADD_CREDIT", "c", 3), (1, "ADD_CREDIT", "d", -2),
+            (3, "UPSERT_USER", "u", 4), (3, "UPSERT_USER", "u", 4), (3, "UPSERT_USER", "v", 1),
+            (8, "UPSERT_USER", "w", 2), (8, "UPSERT_USER", "x", 6), (8, "UPSERT_USER", None, 6)]):
+        rows.append((i, base + dt.timedelta(seconds=10 * i), uid, op, txn, None, None, None, amt, "{}", None))
+    reqs = spark.createDataFrame(rows, S.REQUESTS)
+    users = _users(spark).filter("userid <= 3")
+    opening = spark.createDataFrame([(u, 10) for u in (1, 2, 3)], "userid long, amount long")
+    fold = {r.request_id: (r.status, r.status_text)
+            for r in D.charge(reqs, users=users, opening_events=opening).decisions.collect()}
+    d4 = {r.request_id: (r.status, r.status_text) for r in D.add_credit(reqs, users)[0].collect()}
+    d5 = {r.request_id: (r.status, r.status_text) for r in D.upsert_user(reqs, users)[0].collect()}
+    assert d4 == {k: v for k, v in fold.items() if k < 6}
+    assert d5 == {k: v for k, v in fold.items() if k >= 6}
+    assert {s for s, _ in fold.values()} >= {-1, 42, 46, 50, 56}
