@@ -60,3 +60,26 @@ def test_streaming_dedup_keeps_one_request_per_key(spark):
     out = spark.read.parquet(os.path.join(root, "out"))
     assert out.count() == req.select("userid", "txn_id").distinct().count()
     assert out.groupBy("userid", "txn_id").count().filter("count > 1").count() == 0
+
+
+def test_stream_in_four_micro_batches_equals_batch(spark):
+    """One run, four micro-batches (one time slice per file, one file per
+    trigger): state carries across batches inside a run."""
+    root = tempfile.mkdtemp(prefix="tollgate-mb-", dir="/tmp")
+    req = fx.requests(spark, SF_SMALL).withColumn("_t", F.unix_micros("txn_time"))
+    qs = req.approxQuantile("_t", [0.25, 0.5, 0.75], 0.0)
+    edges = [None, *qs, None]
+    for i in range(4):
+        part = req
+        if edges[i] is not None:
+            part = part.filter(F.col("_t") >= edges[i])
+        if edges[i + 1] is not None:
+            part = part.filter(F.col("_t") < edges[i + 1])
+        part.drop("_t").coalesce(1).write.mode("append").parquet(os.path.join(root, "in"))
+    users, opening = fx.users(spark, SF_SMALL), fx.opening_events(spark, SF_SMALL)
+    CS.run_available(CS.request_stream(spark, os.path.join(root, "in"), max_files_per_trigger=1),
+                     os.path.join(root, "out"), os.path.join(root, "state"), users=users, opening_events=opening)
+    out = CS.read_charge_outputs(spark, os.path.join(root, "out"))
+    assert out.select("batch_id").distinct().count() == 4 and CS.late_of(out).count() == 0
+    batch = D.charge(req.drop("_t"), users=users, opening_events=opening)
+    assert _rows(CS.decisions_of(out)) == _rows(batch.decisions)
