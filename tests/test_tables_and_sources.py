@@ -145,3 +145,10 @@ def test_zero_divisors_do_not_fail(spark):
     line = "2024-01-02 03:04:05:GREPABLE SUMMARY:0:10.0:" + ":".join(["1"] * 24) + ":"
     parsed = B.parse_run_summary(spark.createDataFrame([("f", line)], "file string, line string"))
     assert B.sweep_verdict(parsed).first().passed is True
+
+
+def test_percentiles_of_zero_weight_reports_are_bucket_zero(spark):
+    lat = spark.createDataFrame([(1, "z", 40, "", 0), (2, "z", 70, "", 0)], S.LATENCY)
+    assert {r.bucket for r in H.latency_percentiles(lat).collect()} == {0}
+    s = H.latency_summary(lat).first()
+    assert (s.reports, s.max_bucket, s.max_bucket_count) == (0, 70, 0)

@@ -55,9 +55,13 @@ def latency_percentiles(latency: DataFrame, percentiles=S.PERCENTILES,
     hist = latency_histogram(latency, max_size)
     w = Window.partitionBy("type").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy("type")
-    cum = hist.select("type", "bucket", F.sum("how_many").over(w).alias("cum"),
+    cum = hist.select("type", "bucket", "how_many", F.sum("how_many").over(w).alias("cum"),
                       F.sum("how_many").over(tot).alias("total"))
-    aggs = [F.min(F.when(F.col("cum") >= F.col("total") * F.lit(p / 100.0), F.col("bucket"))).alias(f"p{i}")
+    # the first bucket whose cumulative weight reaches the target always has
+    # weight (a zero-weight bucket repeats the previous cumulative); when the
+    # total is 0 nothing qualifies and the answer is bucket 0
+    aggs = [F.min(F.when((F.col("cum") >= F.col("total") * F.lit(p / 100.0)) & (F.col("how_many") > 0),
+                         F.col("bucket"))).alias(f"p{i}")
             for i, p in enumerate(percentiles)]
     per_type = cum.groupBy("type").agg(*aggs)
     stack = "stack({n}, {items}) as (pct, bucket)".format(

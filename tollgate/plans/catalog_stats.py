@@ -39,8 +39,8 @@ _PCTS = ", ".join(f"({p!r})" for p in S.PERCENTILES)
 
 @register("latency_percentiles", f"""
 SELECT c.type, p.pct, coalesce(min(CASE WHEN CAST(c.cum AS DOUBLE) >= CAST(c.total AS DOUBLE) * (p.pct / 100)
-                                    THEN c.bucket END), 0) AS bucket
-FROM (SELECT type, bucket,
+                                          AND c.how_many > 0 THEN c.bucket END), 0) AS bucket
+FROM (SELECT type, bucket, how_many,
              sum(how_many) OVER (PARTITION BY type ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
              sum(how_many) OVER (PARTITION BY type) AS total
       FROM ({_HIST})) c,
