@@ -138,13 +138,16 @@ class ChargeRowProcessor(StatefulProcessor):
             step(st, uid, Request(r.request_id, r.t_us, r.op, r.txn_id, r.session_id, r.units_used,
                                   r.units_wanted, r.amount, r.json, r.delta_op), out, self.mode)
         self.state.update((st.to_json(),))
-        blank = dict.fromkeys(OUT_COLS)
-        for t in out.drows:
-            yield Row(**{**blank, "kind": "decision", **dict(zip(Output.DECISION_COLS, t))})
-        for t in out.erows:
-            yield Row(**{**blank, "kind": "event", **dict(zip(Output.EVENT_COLS, t))})
-        for t in late:
-            yield Row(**{**blank, "kind": "late", **dict(zip(("request_id", "userid", "t_us", "op"), t))})
+        out_row = Row(*OUT_COLS)        # a row factory with OUT_SCHEMA's field names, filled by position
+        for (rid, u, t, op, status, text, sess, appr, spent, bal, alloc) in out.drows:
+            yield out_row("decision", u, rid, t, op, status, text, sess, appr, spent, bal, alloc,
+                          None, None, None, None, None, None)
+        for (rid, u, t, amount, txn_id, msg) in out.erows:
+            yield out_row("event", u, rid, t, None, None, None, None, None, None, None, None,
+                          amount, txn_id, msg, None, None, None)
+        for (rid, u, t, op) in late:
+            yield out_row("late", u, rid, t, op, None, None, None, None, None, None, None,
+                          None, None, None, None, None, None)
 
     def close(self) -> None:
         pass
