@@ -128,15 +128,24 @@ class ChargeRowProcessor(StatefulProcessor):
         from pyspark.sql import Row
         uid = int(key[0])
         st = self._load()
-        reqs = sorted(rows, key=lambda r: (r.t_us, r.request_id))
+        reqs = list(rows)
+        if not reqs:
+            return
+        # positional access: Row attribute lookup searches the field list each time
+        ix = {name: i for i, name in enumerate(reqs[0].__fields__)}
+        i_t, i_id, i_op, i_txn = ix["t_us"], ix["request_id"], ix["op"], ix["txn_id"]
+        i_s, i_u, i_w, i_a, i_j, i_d = (ix["session_id"], ix["units_used"], ix["units_wanted"], ix["amount"],
+                                        ix["json"], ix["delta_op"])
+        reqs.sort(key=lambda r: (r[i_t], r[i_id]))
         out = Output()
         late = []
         for r in reqs:
-            if st.last_t is not None and (r.t_us, r.request_id) <= (st.last_t, st.last_id):
-                late.append((r.request_id, uid, r.t_us, r.op))
+            t, rid = r[i_t], r[i_id]
+            if st.last_t is not None and (t, rid) <= (st.last_t, st.last_id):
+                late.append((rid, uid, t, r[i_op]))
                 continue
-            step(st, uid, Request(r.request_id, r.t_us, r.op, r.txn_id, r.session_id, r.units_used,
-                                  r.units_wanted, r.amount, r.json, r.delta_op), out, self.mode)
+            step(st, uid, Request(rid, t, r[i_op], r[i_txn], r[i_s], r[i_u], r[i_w], r[i_a], r[i_j], r[i_d]),
+                 out, self.mode)
         self.state.update((st.to_json(),))
         out_row = Row(*OUT_COLS)        # a row factory with OUT_SCHEMA's field names, filled by position
         for (rid, u, t, op, status, text, sess, appr, spent, bal, alloc) in out.drows:
