@@ -399,11 +399,11 @@ def charge(requests: DataFrame, users: DataFrame | None = None, opening_events:
 def hot_users(requests: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` users with the most requests and their share of the log: a
     replay runs each of them as one sequential task, so this is the size of
-    its longest tasks.  One partial aggregate, a top-k and a scalar subquery
-    for the total (no join, no collect)."""
-    total = requests.agg(F.count(F.lit(1)).alias("total")).scalar()
-    return (requests.groupBy("userid").agg(F.count(F.lit(1)).alias("requests"))
-            .orderBy(F.col("requests").desc(), F.col("userid")).limit(k)
+    its longest tasks.  One partial aggregate, a top-k, and the total as a
+    scalar subquery over the same aggregate (no join, no collect)."""
+    per_user = requests.groupBy("userid").agg(F.count(F.lit(1)).alias("requests"))
+    total = per_user.agg(F.sum("requests").alias("total")).scalar()    # same aggregate, reused
+    return (per_user.orderBy(F.col("requests").desc(), F.col("userid")).limit(k)
             .withColumn("share", F.col("requests") / total))
 
 
