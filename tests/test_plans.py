@@ -68,3 +68,28 @@ def test_single_session_closed_form_has_no_python(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     top = plan[:plan.index("Window")]
     assert "Exchange" not in top                    # the windows sit directly on one shuffle
+
+
+def test_bucketed_state_needs_no_shuffle_for_per_user_work(spark, tmp_path):
+    """Financial events and reservations stored bucketed by userid: the
+    spendable-balance audit (two per-user aggregates and their join) plans
+    without any exchange, and gives the same rows."""
+    from tollgate.operators import audit as C
+    from tollgate.sources import fixtures as fx
+    from tollgate.sources.tables import write_bucketed
+    ev = write_bucketed(fx.fin_events(spark, SF_SMALL), "t_fin_events", str(tmp_path / "ev"), 8)
+    us = write_bucketed(fx.usage_keyed(spark, SF_SMALL), "t_usage", str(tmp_path / "us"), 8)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = C.spendable_balance(ev, us)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "Exchange" not in plan
+    want = sorted(tuple(r) for r in C.spendable_balance(fx.fin_events(spark, SF_SMALL),
+                                                         fx.usage_keyed(spark, SF_SMALL)).collect())
+    assert got == want

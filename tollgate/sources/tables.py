@@ -41,3 +41,14 @@ def read_fin_events(spark: SparkSession, path: str) -> DataFrame:
 
 def read_requests(spark: SparkSession, path: str) -> DataFrame:
     return read_relation(spark, path, S.REQUESTS)
+
+
+def write_bucketed(df: DataFrame, name: str, path: str, buckets: int, key: str = "userid") -> DataFrame:
+    """Store a state table bucketed and sorted by ``key`` (a table in the
+    session catalog over files at ``path``).  Per-user aggregates and joins
+    between tables bucketed the same way then need no shuffle.  Returns the
+    table read back.  Across sessions the bucketing is known only to a
+    persistent catalog; files alone are read as plain parquet."""
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(name))
+    return df.sparkSession.table(name)
