@@ -2,8 +2,9 @@
 
 Every aggregate is count/sum/min/max, so Spark computes each with a partial
 (map-side) aggregate followed by a final one: a hot user or a hot minute is
-collapsed before the shuffle.  A6, A7 and A9 share one scan through
-``activity_per_minute``.
+collapsed before the shuffle.  ``activity_per_minute`` computes A6, A7 and
+A9 in one pass with conditional aggregates (used by M2 and M3); the single
+view functions give each view alone.
 """
 
 from __future__ import annotations
