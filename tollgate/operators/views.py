@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tollgate import schema as S
 from tollgate.functions.columns import minute_trunc, null_default
 
 
@@ -108,4 +109,4 @@ def user_id_range(users: DataFrame) -> DataFrame:
     """Lowest and highest user id, with the message printed when there
     are no users."""
     return (users.agg(F.min("userid").alias("min_userid"), F.max("userid").alias("max_userid"))
-            .withColumn("message", F.when(F.col("min_userid").isNull(), F.lit("no users"))))
+            .withColumn("message", F.when(F.col("min_userid").isNull(), F.lit(S.TEXT_NO_USERS))))

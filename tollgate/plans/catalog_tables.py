@@ -277,9 +277,9 @@ def cluster_users(spark, sf):
     return V.cluster_users(fx.users(spark, sf))
 
 
-@register("user_id_range", """
+@register("user_id_range", f"""
 SELECT min(userid) AS min_userid, max(userid) AS max_userid,
-       CASE WHEN min(userid) IS NULL THEN 'no users' END AS message FROM users""", ("users",))
+       CASE WHEN min(userid) IS NULL THEN '{S.TEXT_NO_USERS}' END AS message FROM users""", ("users",))
 def user_id_range(spark, sf):
     """Lowest and highest user id."""
     return V.user_id_range(fx.users(spark, sf))

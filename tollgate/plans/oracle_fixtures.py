@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 
+from tollgate.schema import MSG_USER_CREATED
+
 BASE = 1704067200000000
 HOUR = 3600 * 1000000
 
@@ -34,7 +36,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   FROM customer WHERE c_custkey % 10 <> 7"""),
     "opening_events": ((), f"""
   SELECT c_custkey AS userid, CAST(floor(c_acctbal) AS BIGINT) AS amount,
-         'Create_' || CAST(c_custkey AS VARCHAR) AS user_txn_id, 'user created' AS message,
+         'Create_' || CAST(c_custkey AS VARCHAR) AS user_txn_id, '{MSG_USER_CREATED}' AS message,
          make_timestamp(CAST({BASE} AS BIGINT)) AS txn_time
   FROM customer WHERE c_custkey % 10 <> 7"""),
     "req_fields": (("ev",), f"""

@@ -61,6 +61,7 @@ MSG_USER_CREATED = "user created"
 MSG_USER_UPSERTED = "user upserted"
 PURPOSE_ADD_CREDIT = "Add Credit"
 PURPOSE_UPSERT_USER = "Upsert user"
+TEXT_NO_USERS = "no users"
 TIME_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"     # timestamps inside texts, UTC
 # ---------------------------------------------------------------------------
 

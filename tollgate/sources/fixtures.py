@@ -49,7 +49,7 @@ def opening_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select(F.col("c_custkey").alias("userid"),
                     F.floor("c_acctbal").cast("long").alias("amount"),
                     F.concat(F.lit("Create_"), F.col("c_custkey").cast("string")).alias("user_txn_id"),
-                    F.lit("user created").alias("message"),
+                    F.lit(S.MSG_USER_CREATED).alias("message"),
                     _ts(BASE_US).alias("txn_time")))
 
 
