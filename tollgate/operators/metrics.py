@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tollgate import schema as S
 from tollgate.functions.columns import date_shift, minute_trunc, ts_literal
 from tollgate.operators import views as V
 
-_MINUTE_STATS = ("recent_activity_out_approved", "recent_activity_out_spent", "recent_activity_out_qty",
-                 "recent_activity_in_spent", "recent_activity_in_qty")
+_LOCKS, _COUNT, _ALLOCATED = S.METRIC_NAMES[:3]
+_MINUTE_STATS = S.METRIC_NAMES[3:]
 
 
 def _stat(df: DataFrame, name: str, col: str) -> DataFrame:
@@ -27,20 +28,23 @@ def current_metrics(users: DataFrame, usage: DataFrame, txns: DataFrame, as_of)
     rows = txns.filter((F.col("txn_time") >= minute) & (F.col("txn_time") < date_shift(minute, minutes=1)))
     out = F.col("spent_amount") <= 0
     inn = F.col("spent_amount") > 0
+    o_appr, o_spent, o_qty, i_spent, i_qty = _MINUTE_STATS
     act = rows.agg(
-        F.sum(F.when(out, -F.col("approved_amount"))).alias("recent_activity_out_approved"),
-        F.sum(F.when(out, F.col("spent_amount"))).alias("recent_activity_out_spent"),
-        F.count(F.when(out, F.lit(1))).alias("recent_activity_out_qty"),
-        F.sum(F.when(inn, F.col("spent_amount"))).alias("recent_activity_in_spent"),
-        F.count(F.when(inn, F.lit(1))).alias("recent_activity_in_qty"))
-    stack = "stack(5, " + ", ".join(f"'{n}', cast({n} as bigint), {('recent_activity_out_qty' if 'out' in n else 'recent_activity_in_qty')}"
-                                    for n in _MINUTE_STATS) + ") as (statname, statvalue, present)"
+        F.sum(F.when(out, -F.col("approved_amount"))).alias(o_appr),
+        F.sum(F.when(out, F.col("spent_amount"))).alias(o_spent),
+        F.count(F.when(out, F.lit(1))).alias(o_qty),
+        F.sum(F.when(inn, F.col("spent_amount"))).alias(i_spent),
+        F.count(F.when(inn, F.lit(1))).alias(i_qty))
+    # a minute statistic exists only when its view has a row for that minute
+    present = {o_appr: o_qty, o_spent: o_qty, o_qty: o_qty, i_spent: i_qty, i_qty: i_qty}
+    stack = "stack(5, " + ", ".join(f"'{n}', cast({n} as bigint), {present[n]}" for n in _MINUTE_STATS) \
+        + ") as (statname, statvalue, present)"
     minute_rows = (act.selectExpr(stack).filter(F.col("present") > 0)
                    .select("statname", F.col("statname").alias("stathelp"), "statvalue"))
     gauges = user_lock_gauges(users).selectExpr(
-        "stack(2, 'user_locks', user_locks, 'user_count', user_count) as (statname, statvalue)")
+        f"stack(2, '{_LOCKS}', user_locks, '{_COUNT}', user_count) as (statname, statvalue)")
     return (gauges.select("statname", F.col("statname").alias("stathelp"), F.col("statvalue").cast("long"))
-            .unionByName(_stat(V.allocated_credit(usage), "allocated_credit", "allocated_amount"))
+            .unionByName(_stat(V.allocated_credit(usage), _ALLOCATED, "allocated_amount"))
             .unionByName(minute_rows))
 
 

@@ -394,16 +394,19 @@ def _metric(name, expr, cond):
             f"WHERE {cond} AND date_trunc('minute', txn_time) = {_MINUTE} HAVING count(*) > 0")
 
 
+_MN = S.METRIC_NAMES
+
+
 @register("current_metrics", "\nUNION ALL\n".join([
-    "SELECT 'user_locks' AS statname, 'user_locks' AS stathelp, count(*) AS statvalue FROM users_locked "
+    f"SELECT '{_MN[0]}' AS statname, '{_MN[0]}' AS stathelp, count(*) AS statvalue FROM users_locked "
     "WHERE user_softlock_expiry IS NOT NULL",
-    "SELECT 'user_count', 'user_count', count(*) FROM users_locked",
-    "SELECT 'allocated_credit', 'allocated_credit', CAST(sum(allocated_amount) AS BIGINT) FROM usage_keyed",
-    _metric("recent_activity_out_approved", "sum(approved_amount * -1)", "spent_amount <= 0"),
-    _metric("recent_activity_out_spent", "sum(spent_amount)", "spent_amount <= 0"),
-    _metric("recent_activity_out_qty", "count(*)", "spent_amount <= 0"),
-    _metric("recent_activity_in_spent", "sum(spent_amount)", "spent_amount > 0"),
-    _metric("recent_activity_in_qty", "count(*)", "spent_amount > 0"),
+    f"SELECT '{_MN[1]}', '{_MN[1]}', count(*) FROM users_locked",
+    f"SELECT '{_MN[2]}', '{_MN[2]}', CAST(sum(allocated_amount) AS BIGINT) FROM usage_keyed",
+    _metric(_MN[3], "sum(approved_amount * -1)", "spent_amount <= 0"),
+    _metric(_MN[4], "sum(spent_amount)", "spent_amount <= 0"),
+    _metric(_MN[5], "count(*)", "spent_amount <= 0"),
+    _metric(_MN[6], "sum(spent_amount)", "spent_amount > 0"),
+    _metric(_MN[7], "count(*)", "spent_amount > 0"),
 ]), ("users_locked", "usage_keyed", "txns"))
 def current_metrics(spark, sf):
     """M1: the metrics procedure's eight statistics at as_of."""

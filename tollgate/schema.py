@@ -62,6 +62,10 @@ MSG_USER_UPSERTED = "user upserted"
 PURPOSE_ADD_CREDIT = "Add Credit"
 PURPOSE_UPSERT_USER = "Upsert user"
 TEXT_NO_USERS = "no users"
+# The metrics procedure's statistics, in its order (name = help text).
+METRIC_NAMES = ("user_locks", "user_count", "allocated_credit", "recent_activity_out_approved",
+                "recent_activity_out_spent", "recent_activity_out_qty", "recent_activity_in_spent",
+                "recent_activity_in_qty")
 TIME_TEXT_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"     # timestamps inside texts, UTC
 # ---------------------------------------------------------------------------
 
