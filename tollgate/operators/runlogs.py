@@ -29,7 +29,7 @@ def parse_run_summary(lines: DataFrame) -> DataFrame:
     body = F.split(F.substring_index(line, marker, -1), ":")
     head = F.substring_index(line, ":" + marker, 1)
     cols = [F.col("file"),
-            F.to_timestamp(head, "yyyy-MM-dd HH:mm:ss").alias("run_time"),
+            F.to_timestamp(head, S.LOG_TIME_FORMAT).alias("run_time"),
             body.getItem(0).cast("long").alias("tpms"),
             body.getItem(1).cast("double").alias("tps")]
     for i, name in enumerate(summary_columns()):

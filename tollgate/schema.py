@@ -36,6 +36,7 @@ PASS_RATIO = 0.9
 PERCENTILES = (50.0, 95.0, 99.0, 99.5, 99.9, 99.95, 99.99, 99.999)
 SUMMARY_PERCENTILES = (50.0, 99.0, 99.9, 99.99, 99.999)
 SUMMARY_MARKER = "GREPABLE SUMMARY"
+LOG_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"        # prefix of every client log line
 SUMMARY_BLOCKS = ("RQU", "KV_PUT", "KV_GET")   # writer order (Q17)
 TOPUP_THRESHOLD = 1000
 # Status texts, financial-event messages and ledger purposes, as the

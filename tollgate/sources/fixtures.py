@@ -235,7 +235,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c")
     tpms = F.col("day") * 10
     tps = tpms * 10 * (c % 20 + 85)
-    parts = [F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(":GREPABLE SUMMARY:"),
+    parts = [F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":GREPABLE SUMMARY:"),
              tpms.cast("string"), F.lit(":"), tps.cast("string"), F.lit(".0:")]
     for i in range(3):
         p99 = (c * 37 + i * 1000) % 20000
@@ -244,7 +244,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = F.concat(F.lit("run_"), F.col("event_type"), F.lit(".log"))
     summary = g.select(file.alias("file"), F.concat(*parts).alias("line"))
     noise = g.select(file.alias("file"),
-                     F.concat(F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss"), F.lit(":Processed "),
+                     F.concat(F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":Processed "),
                               c.cast("string"), F.lit(" transactions")).alias("line"))
     return summary.unionByName(noise)
 
