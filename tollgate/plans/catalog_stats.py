@@ -87,12 +87,12 @@ def counters(spark, sf):
 
 
 def _parsed_sql() -> str:
-    cols = ["file", "strptime(split_part(line, ':GREPABLE SUMMARY:', 1), '%Y-%m-%d %H:%M:%S') AS run_time",
+    cols = ["file", f"strptime(split_part(line, ':{S.SUMMARY_MARKER}:', 1), '%Y-%m-%d %H:%M:%S') AS run_time",
             "CAST(split_part(body, ':', 1) AS BIGINT) AS tpms", "CAST(split_part(body, ':', 2) AS DOUBLE) AS tps"]
     for i, name in enumerate(B.summary_columns()):
         cols.append(f"CAST(split_part(body, ':', {i + 3}) AS BIGINT) AS {name}")
-    return ("SELECT " + ", ".join(cols) + " FROM (SELECT file, line, split_part(line, 'GREPABLE SUMMARY:', 2) AS body "
-            "FROM run_log WHERE contains(line, 'GREPABLE SUMMARY:'))")
+    return ("SELECT " + ", ".join(cols) + f" FROM (SELECT file, line, split_part(line, '{S.SUMMARY_MARKER}:', 2) AS body "
+            f"FROM run_log WHERE contains(line, '{S.SUMMARY_MARKER}:'))")
 
 
 _PARSED = {"parsed_runs": _parsed_sql()}

@@ -84,7 +84,7 @@ def topic_retention(spark, sf):
     return FE.topic_retention(fx.fin_events(spark, sf), RETENTION_AS_OF)
 
 
-@register("src_run_logs", "SELECT file, line FROM run_log WHERE contains(line, 'GREPABLE SUMMARY:')", ("run_log",))
+@register("src_run_logs", f"SELECT file, line FROM run_log WHERE contains(line, '{S.SUMMARY_MARKER}:')", ("run_log",))
 def src_run_logs(spark, sf):
     """Keep the summary lines of benchmark logs."""
     return MS.summary_lines(fx.run_log(spark, sf))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from tollgate.schema import MSG_USER_CREATED
+from tollgate.schema import MSG_USER_CREATED, SUMMARY_MARKER
 
 BASE = 1704067200000000
 HOUR = 3600 * 1000000
@@ -132,7 +132,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def _run_log_sql() -> str:
-    parts = ["strftime(first_ts, '%Y-%m-%d %H:%M:%S')", "':GREPABLE SUMMARY:'",
+    parts = ["strftime(first_ts, '%Y-%m-%d %H:%M:%S')", f"':{SUMMARY_MARKER}:'",
              "CAST(day * 10 AS VARCHAR)", "':'", "CAST(day * 10 * 10 * (85 + c % 20) AS VARCHAR)", "'.0:'"]
     for i in range(3):
         p99 = f"((c * 37 + {i * 1000}) % 20000)"

@@ -235,7 +235,7 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("c")
     tpms = F.col("day") * 10
     tps = tpms * 10 * (c % 20 + 85)
-    parts = [F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":GREPABLE SUMMARY:"),
+    parts = [F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":" + S.SUMMARY_MARKER + ":"),
              tpms.cast("string"), F.lit(":"), tps.cast("string"), F.lit(".0:")]
     for i in range(3):
         p99 = (c * 37 + i * 1000) % 20000
