@@ -14,6 +14,6 @@ SF_MID = "/root/testdata/sf0.01"
 @pytest.fixture(scope="session")
 def spark():
     from tollgate.session import get_session
-    s = get_session("local[4]", shuffle_partitions=8)
+    s = get_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
