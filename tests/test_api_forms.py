@@ -123,3 +123,13 @@ def test_credit_and_upsert_closed_forms_equal_the_fold_inside_the_horizon(spark)
     assert d4 == {k: v for k, v in fold.items() if k < 6}
     assert d5 == {k: v for k, v in fold.items() if k >= 6}
     assert {s for s, _ in fold.values()} >= {-1, 42, 46, 50, 56}
+
+
+def test_replay_of_a_log_without_optional_columns(spark):
+    """A credit-only log without session, unit, JSON or delta columns."""
+    reqs = spark.createDataFrame([(1, T0, 1, "ADD_CREDIT", "a", 5), (2, T0 + dt.timedelta(seconds=1), 1,
+                                   "ADD_CREDIT", "a", 5)],
+                                 "request_id long, txn_time timestamp, userid long, op string, txn_id string, "
+                                 "amount long")
+    r = D.charge(reqs, users=_users(spark).filter("userid = 1"))
+    assert [x.status for x in r.decisions.orderBy("request_id").collect()] == [56, 46]

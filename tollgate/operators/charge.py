@@ -274,11 +274,11 @@ def _input_rows(requests: DataFrame | None, users: DataFrame | None, opening_eve
                            approved=F.col("approved_amount"), spent=F.col("spent_amount"),
                            purpose=F.col("purpose"), request_id=F.lit(0)))
     if requests is not None:
+        # optional request fields a log may not carry read as NULL
+        opt = {c: (F.col(c) if c in requests.columns else F.lit(None))
+               for c in ("txn_id", "session_id", "units_used", "units_wanted", "amount", "json", "delta_op")}
         parts.append(shape(requests, 1, "req", userid=F.col("userid"), t_us=micros("txn_time"),
-                           request_id=F.col("request_id"), op=F.col("op"), txn_id=F.col("txn_id"),
-                           session_id=F.col("session_id"), units_used=F.col("units_used"),
-                           units_wanted=F.col("units_wanted"), amount=F.col("amount"), json=F.col("json"),
-                           delta_op=F.col("delta_op")))
+                           request_id=F.col("request_id"), op=F.col("op"), **opt))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
