@@ -36,12 +36,17 @@ def test_replay_has_one_shuffle_into_the_fold(spark):
     assert "Sort [userid" in between and between.count("Exchange") == 0
 
 
-@pytest.mark.parametrize("name,columns", [("user_balance", ("userid", "amount")),
-                                          ("recent_activity_out", ("event_id", "ts", "user_id", "event_type"))])
-def test_views_read_narrow_columns(spark, name, columns):
+UNUSED = ("props", "c_name", "c_nationkey", "c_mktsegment")     # columns no charging query needs
+
+
+@pytest.mark.parametrize("name", ["user_balance", "recent_activity_out", "charge", "current_metrics",
+                                  "spendable_balance", "latency_histogram"])
+def test_scans_read_only_needed_columns(spark, name):
     plan = _plan(spark, name)
-    for scan in re.findall(r"FileScan parquet \[([^\]]*)\]", plan):
-        assert "props" not in scan and "c_name" not in scan
+    scans = re.findall(r"FileScan parquet \[([^\]]*)\]", plan)
+    assert scans
+    for cols in scans:
+        assert not any(c in cols.split(",") for c in UNUSED), (name, cols)
 
 
 def test_minute_metric_range_reaches_the_scan(spark, tmp_path):
