@@ -152,3 +152,12 @@ def test_percentiles_of_zero_weight_reports_are_bucket_zero(spark):
     assert {r.bucket for r in H.latency_percentiles(lat).collect()} == {0}
     s = H.latency_summary(lat).first()
     assert (s.reports, s.max_bucket, s.max_bucket_count) == (0, 70, 0)
+
+
+def test_kafka_records_are_keyed_by_user(spark):
+    import json
+    ev = spark.createDataFrame([(7, 10, "a", "Added 10", T0)], S.FIN_EVENTS)
+    r = FE.kafka_records(ev).first()
+    assert r.key == "7"
+    body = json.loads(r.value)
+    assert (body["userid"], body["amount"], body["user_txn_id"], body["message"]) == (7, 10, "a", "Added 10")
