@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import chat_format, exact_dedup, sharding
+from tollgate.llm import chat_format, decontaminate, exact_dedup, sharding
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,32 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+#: words of a lower-cased text in DuckDB
+WORDS_SQL = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query("op2_decontaminate", sql=f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format(LOWER_SQL)} AS w FROM documents),
+     i AS MATERIALIZED (SELECT item_id, {WORDS_SQL.format(LOWER_SQL)} AS w FROM benchmark),
+     iw AS (SELECT item_id, least(len(w), 13) AS k, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s, w FROM i WHERE len(w) > 0),
+     win AS (SELECT DISTINCT item_id, k, array_to_string(w[s : s + k - 1], ' ') AS phrase FROM iw),
+     ks AS (SELECT DISTINCT k FROM win),
+     dw AS (SELECT doc_id, k, unnest(range(1, len(w) - k + 2)) AS s, w FROM d, ks WHERE len(w) >= k),
+     hit AS (SELECT dw.doc_id, dw.s, dw.k, win.item_id FROM dw JOIN win ON win.k = dw.k
+             AND array_to_string(dw.w[dw.s : dw.s + dw.k - 1], ' ') = win.phrase),
+     pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS p FROM hit) GROUP BY doc_id),
+     its AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                    sha256(string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR)) AS sha FROM hit GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       coalesce(sha, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)""")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its overlap with the benchmark items."""
+    out = decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.drop("text_key")
+
+
 @query("op4_chat_format", sql=r"""
 WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
            UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
