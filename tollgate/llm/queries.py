@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import chat_format, decontaminate, exact_dedup, sharding
+from tollgate.llm import chat_format, decontaminate, exact_dedup, ngram_join, sharding
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +26,13 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its links and its group."""
+    return ngram_join.similarity_groups(table(spark, sf_dir, "documents")).select(
+        "doc_id", "class_id", "n_links", "grams")
+
+
 #: words of a lower-cased text in DuckDB
 WORDS_SQL = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
