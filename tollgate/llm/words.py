@@ -18,8 +18,8 @@ _K = np.uint64(0xD6E8FEB86659FD93)
 _IS_WORD = np.zeros(256, bool)
 for _a, _b in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
     _IS_WORD[_a:_b] = True
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[0x41:0x5B] += 32
+LOWER = np.arange(256, dtype=np.uint64)
+LOWER[0x41:0x5B] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,23 +31,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hash(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of a byte string, and where they start."""
+def hash_words(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the words of a byte string, where they start, and their lengths."""
     buf = np.frombuffer(joined, np.uint8)
     inside = _IS_WORD[buf]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], inside, [False]))))
     starts, ends = edge[0::2], edge[1::2]
     if not len(starts):
-        return np.empty(0, np.uint64), starts
+        return np.empty(0, np.uint64), starts, starts
     lengths = ends - starts
     at = np.cumsum(lengths) - lengths
     nth = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
     powers = np.multiply.accumulate(np.full(int(lengths.max()), _B, np.uint64))
-    sums = np.add.reduceat((_LOWER[buf[inside]] + np.uint64(1)) * powers[nth], at)
-    return mix(sums + lengths.astype(np.uint64)), starts
+    sums = np.add.reduceat((LOWER[buf[inside]] + np.uint64(1)) * powers[nth], at)
+    return mix(sums + lengths.astype(np.uint64)), starts, lengths
 
 
-def _cut(text: bytes) -> Iterator[bytes]:
+def cut(text: bytes) -> Iterator[bytes]:
+    """The text in pieces of about PIECE bytes, cut between words."""
     at = 0
     while len(text) - at > PIECE:
         end = at + PIECE
@@ -67,7 +68,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     def flush() -> None:
         nonlocal group, size
         if group:
-            hashes, starts = _hash(b"\n".join([texts[i] for i in group]))
+            hashes, starts, _ = hash_words(b"\n".join([texts[i] for i in group]))
             ends = np.cumsum([len(texts[i]) + 1 for i in group])
             counts[group] = np.diff(np.searchsorted(starts, ends), prepend=0)
             out.append(hashes)
@@ -76,7 +77,7 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     for i, text in enumerate(texts):
         if len(text) > PIECE:
             flush()
-            parts = [_hash(x)[0] for x in _cut(text)]
+            parts = [hash_words(x)[0] for x in cut(text)]
             counts[i] = sum(map(len, parts))
             out += parts
             continue
