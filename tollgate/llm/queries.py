@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import chat_format, decontaminate, exact_dedup, ngram_join, packing, sharding, toxicity
+from tollgate.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, sharding, toxicity
 from tollgate.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +122,9 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in one of 8 shards, and its shard if there were 9."""
     out = sharding.shard(table(spark, sf_dir, "documents"), sharding.tree(8), sharding.tree(9))
     return out.withColumn("law", F.lit("key"))
+
+
+@query("op10_html_extract")
+def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.extract(table(spark, sf_dir, "pages"))
