@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import chat_format, decontaminate, exact_dedup, html_extract, ngram_join, packing, sharding, toxicity
-from tollgate.llm.common import table
+from tollgate.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, ngram_join, packing, sharding, token_counts, toxicity
+from tollgate.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,6 +107,26 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents")).drop("row")
 
 
+def edits_of(docs: DataFrame) -> DataFrame:
+    """Three edits of every document, from its own columns: its source is put
+    in at the middle, ten characters go after the first quarter, and its
+    language stands at the end, without a blank before it."""
+    n = F.char_length(F.coalesce("text", F.lit("")))
+    rows = [(0, F.floor(n / 2), F.floor(n / 2), F.concat(F.lit(" "), "source", F.lit(" "))),
+            (1, F.floor(n / 4), F.floor(n / 4) + 10, F.lit("")), (2, n * 2, n * 2, F.col("lang"))]
+    return docs.select("doc_id", F.explode(F.array(*[F.struct(
+        F.lit(k).alias("seq"), a.cast("long").alias("start"), b.cast("long").alias("end"), new.alias("new"))
+        for k, a, b, new in rows])).alias("e")).select("doc_id", "e.*")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after its edits."""
+    docs = table(spark, sf_dir, "documents")
+    trees = stored(token_counts.build(docs), "count-trees")
+    return token_counts.apply_edits(docs, trees, edits_of(docs)).drop("text", "leaf_chars", "leaf_tokens")
+
+
 @query("op7_exact_dedup", sql=f"""
 WITH d AS (SELECT doc_id, {LOWER_SQL} AS norm FROM documents),
      g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size, sha256(norm) AS text_sha256 FROM d GROUP BY norm)
@@ -124,6 +144,18 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("key"))
 
 
+@query("op9_license_scan")
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the licence families of its confirmed and of its
+    unconfirmed paragraphs."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    sure, unsure = F.filter("found", lambda x: x["confirmed"]), F.filter("found", lambda x: ~x["confirmed"])
+    names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda x: x["family"]))), ",")
+    return found.select("doc_id", names(sure).alias("families"), F.size(sure).alias("n_confirmed"),
+                        names(unsure).alias("unconfirmed"), F.size(unsure).alias("n_unconfirmed"),
+                        F.coalesce(F.array_max(F.transform("found", lambda x: x["probability"])), F.lit(0.0)).alias("probability"))
+
+
 @query("op10_html_extract")
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""

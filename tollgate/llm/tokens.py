@@ -57,21 +57,32 @@ class ChunkEncoder:
         return {c: (ids[a] if a in ids else self.parts[a]) + (ids[b] if b in ids else self.parts[b])
                 for c, (a, b) in cut.items()}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+    def chunks(self, raw: bytes) -> list[bytes]:
+        return raw.translate(_PLAIN).split(b" ")
+
+    def _each(self, raws: list[bytes]) -> list[list[bytes]]:
+        """Ids of each chunk of each text."""
         if len(self.kept) > KEPT:
             self.kept = {b"": b""}
         if len(self.parts) > KEPT:
             self.parts = {b"": b""}
-        lists = [t.encode().translate(_PLAIN).split(b" ") for t in texts]
+        lists = [self.chunks(x) for x in raws]
         found = self._learn(set().union(*lists).difference(self.kept))
         self.kept.update(found)
-        out = [b"".join(map(self.kept.__getitem__, x)) for x in lists]
+        out = [list(map(self.kept.__getitem__, x)) for x in lists]
         for c in found:
             if len(c) > SHORT:
                 del self.kept[c]
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        return [b"".join(x) for x in self._each([t.encode() for t in texts])]
+
+    def chunk_counts(self, raws: list[bytes]) -> list[list[int]]:
+        """Number of ids of each chunk of each UTF-8 text."""
+        return [[len(y) // 4 for y in x] for x in self._each(raws)]
+
 
 def encoder(path: str | None = None) -> ChunkEncoder:
     """The encoder of a vocabulary file, loaded once a worker."""
