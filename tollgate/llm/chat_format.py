@@ -211,7 +211,7 @@ def records_of_rows(rows: DataFrame) -> DataFrame:
     """(conv_id, record): the rows conv_id, turn, role, text of a conversation
     as one variant record, by turn; turns of one number are ordered by role and
     text, repeated rows stay, null turns come first.  A conversation is one
-    value of the result, so it has to fit in a row."""
+    value of the result; Spark's bound of a variant, 128 MiB, is its bound too."""
     turn = F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     out = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("messages"))
     return out.select("conv_id", F.to_variant_object(F.struct("messages")).alias("record"))
