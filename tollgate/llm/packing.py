@@ -54,7 +54,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, vocabulary: str | None = None)
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 at_row, piece, start, size, crc = [], [], [], [], []
-                for i, ids in enumerate(enc.encode([x or "" for x in part.column("text").to_pylist()])):
+                for i, ids in enumerate(enc.encode([x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()])):
                     ids += b"\0\0\0\0"
                     for k, s in enumerate(range(0, len(ids), 4 * length)):
                         cut = ids[s:s + 4 * length]

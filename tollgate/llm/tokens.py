@@ -1,39 +1,52 @@
 """Token ids of many texts with a public word-level BPE vocabulary.
 
 Such a tokenizer never looks across white space, so a text's ids are those of
-its chunks between ASCII white space, one after the other.  Each worker keeps
-the ids of short chunks, and of their parts, that it has met; the store is
-emptied when it holds ``KEPT`` of them, which changes no result."""
+its chunks between ASCII white space, one after the other; nor does it look
+from an ASCII word into the punctuation behind it.  Each worker keeps the ids of
+the short chunks that it has met of late; what is not kept is encoded again, so
+the bound ``KEPT`` changes no result."""
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 
+import numpy as np
+
 from tollgate.llm.common import UPPER
 
-KEPT = 500_000
+#: entries of a generation
+KEPT = 120_000
 #: chunks up to this many characters are kept
 SHORT = 40
+#: letters below are cut alike by every tokenizer version
+LATIN_END = "\u0250"
 VOCABULARY = "word_bpe_49k.json"
 _LOADED: dict[str, ChunkEncoder] = {}
 #: white space to blanks and A-Z to a-z, which the tokenizer itself does first
 _PLAIN = bytes(range(256)).translate(bytes.maketrans(b"\n\t\r" + UPPER.encode(), b"   " + UPPER.lower().encode()))
-#: ASCII punctuation that is a token of its own behind a letter (the apostrophe may open one)
-_TAIL = bytes(c for c in range(0x21, 0x7F) if not chr(c).isalnum() and c != 0x27)
+#: ASCII punctuation behind an ASCII letter and before white space, where the tokenizer always
+#: cuts (but for the apostrophe, which may open a word's ending)
+_TAIL = re.compile(rb"[!-&(-/:-@\[-`{-~](?<=[a-z].)[!-&(-/:-@\[-`{-~]*(?= |$)", re.S)
 
 
-def _word_and_tail(chunk: bytes) -> tuple[bytes, bytes]:
-    """A chunk as a part that ends in an ASCII or Latin-1 letter and the
-    punctuation behind it, or whole: the tokenizer always cuts there."""
-    word = chunk.rstrip(_TAIL)
-    if len(word) == len(chunk) or not word or b"<|" in chunk:
-        return chunk, b""
-    ascii_end = 0x61 <= word[-1] <= 0x7A
-    latin_end = len(word) > 1 and word[-2] == 0xC3 and word[-1] >= 0x80 and word[-1] not in (0x97, 0xB7)
-    return (word, chunk[len(word):]) if ascii_end or latin_end else (chunk, b"")
+class Kept:
+    """The latest entries: a full generation is put aside, and what is met again
+    there moves into the new one."""
 
+    def __init__(self) -> None:
+        self.new: dict[bytes, bytes] = {b"": b""}
+        self.old: dict[bytes, bytes] = {}
 
+    def recall(self, keys: set[bytes]) -> set[bytes]:
+        """Makes what is known of ``keys`` available in ``new``; the others."""
+        if len(self.new) > KEPT:
+            self.old, self.new = self.new, {b"": b""}
+        missing = keys.difference(self.new)
+        again = self.old.keys() & missing
+        self.new.update((k, self.old[k]) for k in again)
+        return missing - again
 
 
 class ChunkEncoder:
@@ -41,47 +54,59 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.kept: dict[bytes, bytes] = {b"": b""}
-        self.parts: dict[bytes, bytes] = {b"": b""}
+        self.kept = Kept()
 
     def _ids(self, parts: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([x.decode() for x in parts], add_special_tokens=False)
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in found)]
-
-    def _learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of the chunks, each from its word and the punctuation behind it."""
-        cut = {c: _word_and_tail(c) for c in chunks}
-        new = [x for x in {x for pair in cut.values() for x in pair}.difference(self.parts)]
-        ids = dict(zip(new, self._ids(new), strict=True))
-        self.parts.update((x, v) for x, v in ids.items() if len(x) <= SHORT)
-        return {c: (ids[a] if a in ids else self.parts[a]) + (ids[b] if b in ids else self.parts[b])
-                for c, (a, b) in cut.items()}
+        """Ids of parts.  Words of letters are encoded many at a time, as one
+        text; the tokenizer says which of its words an id belongs to."""
+        texts = [x.decode() for x in parts]
+        plain = [i for i, x in enumerate(texts) if x.isalpha() and (x.isascii() or max(x) < LATIN_END)]
+        out: list[bytes] = [b""] * len(parts)
+        single = sorted(set(range(len(parts))).difference(plain))
+        for at in range(0, len(plain), 2000):
+            some = plain[at:at + 2000]
+            e = self.tokenizer.encode(" ".join([texts[i] for i in some]), add_special_tokens=False)
+            ids, owner = np.array(e.ids, "<u4"), np.array(e.word_ids, np.int64)
+            ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+            if len(ends) != len(some):  # not one word each after all
+                single += some
+                continue
+            raw, start = ids.tobytes(), 0
+            for i, end in zip(some, (ends * 4).tolist(), strict=True):
+                out[i] = raw[start:end]
+                start = end
+        for i, e in zip(single, self.tokenizer.encode_batch_fast([texts[i] for i in single], add_special_tokens=False),
+                        strict=True):
+            out[i] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        return out
 
     def chunks(self, raw: bytes) -> list[bytes]:
         return raw.translate(_PLAIN).split(b" ")
 
-    def _each(self, raws: list[bytes]) -> list[list[bytes]]:
-        """Ids of each chunk of each text."""
-        if len(self.kept) > KEPT:
-            self.kept = {b"": b""}
-        if len(self.parts) > KEPT:
-            self.parts = {b"": b""}
-        lists = [self.chunks(x) for x in raws]
-        found = self._learn(set().union(*lists).difference(self.kept))
-        self.kept.update(found)
-        out = [list(map(self.kept.__getitem__, x)) for x in lists]
-        for c in found:
+    def _each(self, lists: list[list[bytes]]) -> list[list[bytes]]:
+        """Ids of each chunk of each list."""
+        new = list(self.kept.recall(set().union(*lists)))
+        known = self.kept.new
+        known.update(zip(new, self._ids(new), strict=True))
+        out = [list(map(known.__getitem__, x)) for x in lists]
+        for c in new:
             if len(c) > SHORT:
-                del self.kept[c]
+                del known[c]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        return [b"".join(x) for x in self._each([t.encode() for t in texts])]
+    def _cut(self, text: bytes) -> list[bytes]:
+        """Chunks with the punctuation behind words apart (a text that may hold
+        a control string is left as it is)."""
+        plain = text.translate(_PLAIN)
+        return (plain if b"<|" in plain else _TAIL.sub(rb" \g<0>", plain)).split(b" ")
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
+        return [b"".join(x) for x in self._each([self._cut(t if isinstance(t, bytes) else t.encode()) for t in texts])]
 
     def chunk_counts(self, raws: list[bytes]) -> list[list[int]]:
-        """Number of ids of each chunk of each UTF-8 text."""
-        return [[len(y) // 4 for y in x] for x in self._each(raws)]
+        """Number of ids of each chunk between white space of each UTF-8 text."""
+        return [[len(y) // 4 for y in x] for x in self._each([self.chunks(x) for x in raws])]
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
