@@ -96,17 +96,6 @@ def signatures(texts: list[bytes], n: int, bands: int, rows: int) -> tuple[np.nd
     return sizes, one, two, out
 
 
-def _pieces(texts: list[bytes], most: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size > most:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _signature_table(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     """Stored: row, doc_id, two keys and the length of the text, grams, two set hashes, bands."""
     numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
@@ -114,15 +103,15 @@ def _signature_table(docs: DataFrame, n: int, bands: int, rows: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-            for a, b in _pieces(texts):
-                sizes, one, two, h = signatures(texts[a:b], n, bands, rows)
-                part = batch.slice(a, b - a)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)),
+            for a in range(0, batch.num_rows, 512):  # a few texts at a time in memory
+                part = batch.slice(a, 512)
+                texts = [x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]
+                sizes, one, two, h = signatures(texts, n, bands, rows)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(texts) + 1) * bands, bands, dtype=np.int32)),
                                                  pa.array(h.view(np.int64).ravel()))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("row", "doc_id", "k1", "k2")]
-                    + [pa.array([len(x) for x in texts[a:b]], pa.int64()), pa.array(sizes),
+                    + [pa.array([len(x) for x in texts], pa.int64()), pa.array(sizes),
                        pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), lists],
                     names=["row", "doc_id", "k1", "k2", "chars", "grams", "s1", "s2", "bands"])
 

@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional GRU with attention pooling, trained in numpy.
 
 A word enters as two inputs: its own, from a hashed word table, and one pooled
-over its characters, from a hashed table of the 4-grams of its bytes with both
+over its characters, from a hashed table of the n-grams of its bytes with both
 ends marked (their mean, and the largest of the first component).  The first
 component of a table entry starts as the shrunk log-odds of documents that hold
 it; the others start small and are trained with the network.  The network reads
@@ -32,7 +32,9 @@ from tollgate.llm.words import LOWER, PIECE, cut, hash_words, mix
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, ATTENTION, TRAINED = 8, 8, 2
-TABLE_BITS = 16
+#: bytes of a gram
+GRAM = 6
+TABLE_BITS = 17
 POSITIVE, NEGATIVE, SAMPLE_CHARS = 600, 2000, 30_000
 ROUNDS, EPOCHS, BATCH, RATE = 3, 8, 64, 0.01
 #: documents a feature is shrunk by
@@ -52,21 +54,21 @@ class Model(NamedTuple):
 # ---- inputs ----------------------------------------------------------------
 
 def _grams(lowered: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the 4-grams of words in a byte array, and how many each word has."""
+    """Slots of the n-grams of words in a byte array, and how many each word has."""
     size = lengths + 2
     at = np.cumsum(size) - size
-    flat = np.zeros(int(size.sum()) + 3, np.uint32)
+    flat = np.zeros(int(size.sum()) + GRAM, np.uint64)
     inner = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     flat[at] = 2
     flat[at + size - 1] = 3
     flat[np.repeat(at + 1, lengths) + inner] = lowered[np.repeat(starts, lengths) + inner]
-    counts = np.maximum(size - 3, 1)
+    counts = np.maximum(size - GRAM + 1, 1)
     k = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
     first = np.repeat(at, counts) + k
     last = np.repeat(at + size, counts)
     value = np.zeros(len(first), np.uint64)
-    for i in range(4):
-        byte = np.where(first + i < last, flat[first + i], 0).astype(np.uint64)
+    for i in range(GRAM):
+        byte = np.where(first + i < last, flat[first + i], np.uint64(0))
         value |= byte << np.uint64(8 * i)
     return (mix(value + np.uint64(77)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64), counts
 
@@ -405,8 +407,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", into: str = "score"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or b"" for x in batch.column(text).cast(pa.binary()).to_pylist()]
-            scores = score_texts(shared.value, texts)
+            scores = np.empty(batch.num_rows)
+            for at in range(0, batch.num_rows, 256):  # a few texts at a time in memory
+                part = batch.column(text).slice(at, 256).cast(pa.binary()).to_pylist()
+                scores[at:at + 256] = score_texts(shared.value, [x or b"" for x in part])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=[*batch.schema.names, into])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())]))

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-PIECE = 2_000_000
+PIECE = 1_000_000
 _B = np.uint64(0x9E3779B97F4A7C15)
 _K = np.uint64(0xD6E8FEB86659FD93)
 _IS_WORD = np.zeros(256, bool)
