@@ -65,7 +65,7 @@ FAMILIES = [*sorted(TEMPLATES), "unknown"]
 UNKNOWN = len(FAMILIES) - 1
 
 BITS, GRAMS = 16, 3
-SEGMENT, STEP = 48, 24
+SEGMENT, STEP = 24, 8
 #: sampled documents and lines of the corpus, and variants of each template
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES, VARIANTS = 300, 20_000, 2000, 25
 ACCEPT = 0.5
@@ -113,10 +113,16 @@ def _scores(model: Model, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
         slots, owner = slots[order], owner[order]
         at = np.flatnonzero(np.diff(owner, prepend=-1))
         out[owner[at]] = np.add.reduceat(model.weights[slots], at, axis=0)
-    out /= np.sqrt(np.maximum(counts, 1))[:, None]
+    out *= _scale(counts)[:, None]
     return _softmax((out + model.bias) / model.temperature)
 
 
+def _scale(counts: np.ndarray) -> np.ndarray:
+    """What the evidence of a segment is multiplied by: words beyond the first
+    few don't weaken what stands beside them."""
+    return 1 / np.sqrt(np.clip(counts, 1, 8))
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -135,7 +141,7 @@ def _variants(r: np.random.Generator, common: list[str]) -> list[tuple[list[str]
                     kept = kept[a:len(kept) - int(r.integers(0, len(kept) // 3))]
                 if common:
                     pick = lambda k: [common[i] for i in r.integers(0, len(common), k)]
-                    kept = pick(int(r.integers(0, 8))) + kept + pick(int(r.integers(0, 8)))
+                    kept = pick(int(r.integers(0, 9))) + kept + pick(int(r.integers(0, 9)))
                 out.append((kept, f))
     return out
 
@@ -151,7 +157,7 @@ def fit(lines: list[str], seed: int = 0) -> Model:
     for line in lines:
         words = words_of(line)
         if words and not any(_held(t, words) >= CONFIRM for _, t in templates if len(named.intersection(words)) > 2):
-            for k in range(0, max(1, len(words) - STEP), STEP):
+            for k in range(0, max(1, len(words) - STEP), SEGMENT):
                 samples.append((words[k:k + SEGMENT], UNKNOWN))
             common += words[:20]
     flat = [w for _, t in templates for w in t]
@@ -171,7 +177,7 @@ def fit(lines: list[str], seed: int = 0) -> Model:
     used, compact = np.unique(slots, return_inverse=True)
     w, b = np.zeros((len(used), k)), np.zeros(k)
     m, s = np.zeros_like(w), np.zeros_like(w)
-    scale = 1 / np.sqrt(counts)
+    scale = _scale(counts)
     at = np.flatnonzero(np.diff(owner, prepend=-1))
     target = np.eye(k)[y]
     balance = np.where(held, 0, 1.0)
@@ -232,8 +238,9 @@ def scan_text(model: Model, text: bytes) -> list[tuple[int, str, float, float]]:
         best = p.argmax(axis=1)
         for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= ACCEPT)):
             j = c + int(i)
-            end = a[j] + size[j] - 1
-            segment = text[starts[a[j]]:starts[end] + lengths[end]].decode("utf-8", "replace")
+            # with the words around it, as the notice may go on there
+            lo, hi = max(first[line[j]], a[j] - STEP), min(last[line[j]], a[j] + size[j] + STEP) - 1
+            segment = text[starts[lo]:starts[hi] + lengths[hi]].decode("utf-8", "replace")
             key = (int(line[j]), FAMILIES[best[i]])
             found = (float(p[i].max()), confirm(key[1], segment))
             out[key] = max(out.get(key, (0.0, 0.0)), found, key=lambda x: (x[1] >= CONFIRM, x[0]))
