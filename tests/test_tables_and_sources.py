@@ -107,6 +107,25 @@ def test_q17_summary_blocks_follow_the_writer(spark):
     assert B.sweep_verdict(B.parse_run_summary(lines)).first().passed is True
 
 
+def test_real_summary_lines_prefixes_and_rejects(spark):
+    block = "812:700:4000:5000:6000:7000:9000:{}:"
+    good = "2024-01-02 03:04:05:GREPABLE SUMMARY:10:9500.5:" + block.format("3.0") * 2 + block.format("1.2E7")
+    lines = spark.createDataFrame([("f", good), ("g", "ami:t:c5.large:1:Y:charge:8:3:x.log:" + good), ("h", good[:60]),
+                                   ("i", good.replace("9500.5", "?")), ("j", good[11:])], "file string, line string")
+    rows = {r.file: r for r in B.parse_run_summary(lines).collect()}
+    assert [f for f in rows if rows[f].rejected] == ["h", "i", "j"]
+    assert rows["f"].run_time == rows["g"].run_time and rows["j"].run_time is None
+    assert (rows["g"].rqu_max_freq, rows["g"].kv_get_max_freq, rows["g"].tps) == (3.0, 1.2e7, 9500.5)
+    assert B.fleet_total(B.parse_run_summary(lines)).first().clients == 2
+
+
+def test_run_logs_are_read_from_text_files(spark, tmp_path):
+    from tollgate.sources import messages as M
+    (tmp_path / "run_a.log").write_text("noise\n2024-01-02 03:04:05:GREPABLE SUMMARY:10:1.0:\n")
+    rows = M.summary_lines(M.read_run_logs(spark, str(tmp_path))).collect()
+    assert [(r.file, r.line[:10]) for r in rows] == [("run_a.log", "2024-01-02")]
+
+
 def test_addcredit_decoding_and_rejects(spark):
     msgs = spark.createDataFrame([("T1", '"5","120","T1"'), ("T2", '"x",,'), ("T3", '"6","-4","T3"')],
                                  "key string, value string").withColumn("txn_time", F.lit(T0)) \

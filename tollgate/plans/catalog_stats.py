@@ -87,12 +87,16 @@ def counters(spark, sf):
 
 
 def _parsed_sql() -> str:
-    cols = ["file", f"strptime(split_part(line, ':{S.SUMMARY_MARKER}:', 1), '%Y-%m-%d %H:%M:%S') AS run_time",
-            "CAST(split_part(body, ':', 1) AS BIGINT) AS tpms", "CAST(split_part(body, ':', 2) AS DOUBLE) AS tps"]
+    time = f"regexp_extract(line, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}):{S.SUMMARY_MARKER}:', 1)"
+    cols = {"run_time": f"try_strptime({time}, '%Y-%m-%d %H:%M:%S')",
+            "tpms": "TRY_CAST(split_part(body, ':', 1) AS BIGINT)", "tps": "TRY_CAST(split_part(body, ':', 2) AS DOUBLE)"}
     for i, name in enumerate(B.summary_columns()):
-        cols.append(f"CAST(split_part(body, ':', {i + 3}) AS BIGINT) AS {name}")
-    return ("SELECT " + ", ".join(cols) + f" FROM (SELECT file, line, split_part(line, '{S.SUMMARY_MARKER}:', 2) AS body "
-            f"FROM run_log WHERE contains(line, '{S.SUMMARY_MARKER}:'))")
+        kind = "DOUBLE" if name.endswith("max_freq") else "BIGINT"
+        cols[name] = f"TRY_CAST(split_part(body, ':', {i + 3}) AS {kind})"
+    listed = ", ".join(f"{v} AS {k}" for k, v in cols.items())
+    missing = " OR ".join(f"{k} IS NULL" for k in cols)
+    return (f"SELECT *, ({missing}) AS rejected FROM (SELECT file, {listed} FROM (SELECT file, line, "
+            f"split_part(line, '{S.SUMMARY_MARKER}:', 2) AS body FROM run_log WHERE contains(line, '{S.SUMMARY_MARKER}:')))")
 
 
 _PARSED = {"parsed_runs": _parsed_sql()}
@@ -112,14 +116,15 @@ def parse_run_summary(spark, sf):
 SELECT file, tpms, tps, passed, first_failure, (first_failure IS NULL OR tpms < first_failure) AS in_sweep
 FROM (SELECT file, tpms, tps, tps / (tpms * 1000) > 0.9 AS passed,
              min(CASE WHEN NOT (tps / (tpms * 1000) > 0.9) THEN tpms END) OVER (PARTITION BY file) AS first_failure
-      FROM parsed_runs)""", ("run_log",), extra=_PARSED)
+      FROM parsed_runs WHERE NOT rejected)""", ("run_log",), extra=_PARSED)
 def sweep_verdict(spark, sf):
     """B2: pass/fail per step and whether the step is before the first failure."""
     return B.sweep_verdict(_parsed(spark, sf))
 
 
 @register("sla_limit", """
-SELECT file, max(CASE WHEN rqu_p99 <= 10000 THEN tpms END) AS max_tpms_within_sla FROM parsed_runs GROUP BY file""",
+SELECT file, max(CASE WHEN rqu_p99 <= 10000 THEN tpms END) AS max_tpms_within_sla
+FROM parsed_runs WHERE NOT rejected GROUP BY file""",
           ("run_log",), extra=_PARSED)
 def sla_limit(spark, sf):
     """Highest target rate within the p99 SLA per run series."""
@@ -127,7 +132,8 @@ def sla_limit(spark, sf):
 
 
 @register("fleet_total", """
-SELECT tpms, count(*) AS clients, sum(tps) AS total_tps, max(rqu_p99) AS max_rqu_p99 FROM parsed_runs GROUP BY tpms""",
+SELECT tpms, count(*) AS clients, sum(tps) AS total_tps, max(rqu_p99) AS max_rqu_p99
+FROM parsed_runs WHERE NOT rejected GROUP BY tpms""",
           ("run_log",), extra=_PARSED)
 def fleet_total(spark, sf):
     """Per target rate, totals over parallel clients."""

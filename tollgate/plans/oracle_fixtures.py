@@ -132,15 +132,19 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def _run_log_sql() -> str:
-    parts = ["strftime(first_ts, '%Y-%m-%d %H:%M:%S')", f"':{SUMMARY_MARKER}:'",
+    parts = ["CASE WHEN day % 3 = 0 THEN 'ami-1:t1:c5:1:Y:charge:8:3:run.log:' ELSE '' END",
+             "strftime(first_ts, '%Y-%m-%d %H:%M:%S')", f"':{SUMMARY_MARKER}:'",
              "CAST(day * 10 AS VARCHAR)", "':'", "CAST(day * 10 * 10 * (85 + c % 20) AS VARCHAR)", "'.0:'"]
     for i in range(3):
         p99 = f"((c * 37 + {i * 1000}) % 20000)"
         for v in (f"((c + {i}) % 97)", f"((c * 3 + {i}) % 500)", p99, f"({p99} + 100)", f"({p99} + 200)",
-                  f"({p99} + 300)", f"({p99} + 1000)", "(c % 5 + 1)"):
+                  f"({p99} + 300)", f"({p99} + 1000)"):
             parts += [f"CAST({v} AS VARCHAR)", "':'"]
+        parts.append("CASE WHEN c % 5 = 0 THEN '1.2E7:' ELSE CAST(c % 5 AS VARCHAR) || '.0:' END")
     file = "'run_' || event_type || '.log'"
-    return (f"\n  SELECT {file} AS file, " + " || ".join(parts) + " AS line FROM run_groups"
+    text = " || ".join(parts)
+    cut = f"CASE WHEN day % 7 = 0 THEN array_to_string(string_split({text}, ':')[1:12], ':') || ':oops' ELSE {text} END"
+    return (f"\n  SELECT {file} AS file, {cut} AS line FROM run_groups"
             f"\n  UNION ALL\n  SELECT {file}, strftime(first_ts, '%Y-%m-%d %H:%M:%S') || ':Processed ' || "
             "CAST(c AS VARCHAR) || ' transactions' FROM run_groups")
 

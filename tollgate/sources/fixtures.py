@@ -228,21 +228,26 @@ def latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark log text: one summary line per (event_type, day of month) in
-    the writer's format, plus one noise line per group without the marker."""
+    the writer's format (every third day with the prefix of a gathered log,
+    every seventh cut off), plus one noise line per group without the marker."""
     ev = table(spark, sf_dir, "events", "ts", "event_type")
     g = (ev.groupBy("event_type", F.dayofmonth("ts").alias("day"))
          .agg(F.count(F.lit(1)).alias("c"), F.min("ts").alias("first_ts")))
     c = F.col("c")
     tpms = F.col("day") * 10
     tps = tpms * 10 * (c % 20 + 85)
-    parts = [F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":" + S.SUMMARY_MARKER + ":"),
+    prefix = F.when(F.col("day") % 3 == 0, F.lit("ami-1:t1:c5:1:Y:charge:8:3:run.log:")).otherwise(F.lit(""))
+    parts = [prefix, F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":" + S.SUMMARY_MARKER + ":"),
              tpms.cast("string"), F.lit(":"), tps.cast("string"), F.lit(".0:")]
     for i in range(3):
         p99 = (c * 37 + i * 1000) % 20000
-        for v in ((c + i) % 97, (c * 3 + i) % 500, p99, p99 + 100, p99 + 200, p99 + 300, p99 + 1000, c % 5 + 1):
+        for v in ((c + i) % 97, (c * 3 + i) % 500, p99, p99 + 100, p99 + 200, p99 + 300, p99 + 1000):
             parts += [v.cast("string"), F.lit(":")]
+        parts.append(F.when(c % 5 == 0, F.lit("1.2E7:")).otherwise(F.concat((c % 5).cast("string"), F.lit(".0:"))))
     file = F.concat(F.lit("run_"), F.col("event_type"), F.lit(".log"))
-    summary = g.select(file.alias("file"), F.concat(*parts).alias("line"))
+    text = F.concat(*parts)
+    text = F.when(F.col("day") % 7 == 0, F.concat(F.substring_index(text, ":", 12), F.lit(":oops"))).otherwise(text)
+    summary = g.select(file.alias("file"), text.alias("line"))
     noise = g.select(file.alias("file"),
                      F.concat(F.date_format("first_ts", S.LOG_TIME_FORMAT), F.lit(":Processed "),
                               c.cast("string"), F.lit(" transactions")).alias("line"))
