@@ -63,6 +63,18 @@ def test_q5_new_session_takes_the_request_id():
     assert d["session_id"] == 990 and 990 in log.st.usage
 
 
+def test_q5_marker_for_no_session_is_a_new_session_in_any_batch(spark):
+    import pyarrow as pa
+
+    from tollgate.operators.charge import _pylists
+    log = Log(user(balance=100))
+    d = log.usage(request_id=991, txn_id="a", session_id=-(1 << 63), units_used=0, units_wanted=5)
+    assert d["session_id"] == 991
+    for values in ([-(1 << 63)], [-(1 << 63), None, 5]):
+        batch = pa.RecordBatch.from_arrays([pa.array(values, pa.int64())], names=["x"])
+        assert _pylists(batch)["x"] == values
+
+
 def test_q7_upsert_of_existing_user_only_adds_credit():
     log = Log(user(balance=5, json="old"))
     d = log("UPSERT_USER", txn_id="u", amount=7, json="new")

@@ -60,7 +60,8 @@ IN_SCHEMA = T.StructType([
 #   usage:    userid amount(=allocated_amount) session_id t_us(=lastdate)
 #   user:     userid json t_us(=last_seen) lock_session lock_expiry_us
 #   balance:  userid amount(=balance)
-#   late:     the request columns of a row older than the user's state (streaming only)
+#   late:     request_id userid t_us op user_txn_id(=txn_id) session_id spent(=units_used) approved(=units_wanted)
+#             amount json message(=delta_op) of a row older than the user's state (streaming only)
 OUT_SCHEMA = T.StructType([
     T.StructField("kind", T.StringType()),
     T.StructField("userid", T.LongType()),
@@ -166,27 +167,22 @@ def request_at(row: dict, i: int) -> Request:
                    row["delta_op"][i])
 
 
-_INT_NULL = {pa.int64(): -(1 << 63), pa.int32(): -(1 << 31)}
-
-
 def _pylists(batch: pa.RecordBatch) -> dict:
     """The batch's columns as Python lists (None for NULL), converted through
-    numpy, which is an order of magnitude faster than ``to_pylist``.  A NULL
-    integer is filled with the type's minimum value and mapped back to None;
-    for longs that is Long.MIN_VALUE, which the reference itself uses as its
-    NULL marker."""
+    numpy, which is an order of magnitude faster than ``to_pylist``.  Integers
+    with NULLs go through the validity mask, so every value is kept."""
     out = {}
     for name, col in zip(batch.schema.names, batch.columns):
-        sentinel = _INT_NULL.get(col.type)
-        if sentinel is None:
+        if not pa.types.is_integer(col.type):
             out[name] = col.to_numpy(zero_copy_only=False).tolist()
         elif col.null_count == 0:
             out[name] = col.to_numpy().tolist()
         elif col.null_count == len(col):
             out[name] = [None] * len(col)
         else:
-            vals = pc.fill_null(col, sentinel).to_numpy().tolist()
-            out[name] = [None if v == sentinel else v for v in vals]
+            values = pc.fill_null(col, 0).to_numpy().tolist()
+            valid = col.is_valid().to_numpy(zero_copy_only=False).tolist()
+            out[name] = [v if ok else None for v, ok in zip(values, valid)]
     return out
 
 

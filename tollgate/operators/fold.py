@@ -29,7 +29,7 @@ PRUNE_OLDEST_AGE_US = S.PRUNE_OLDEST_AGE_SECONDS * 1_000_000
 LOCK_TIMEOUT_US = S.LOCK_TIMEOUT_MS * 1000
 
 _EPOCH = _dt.datetime(1970, 1, 1)
-_LONG = re.compile(r"^[+-]?[0-9]+$")
+_LONG = re.compile(r"[+-]?[0-9]+\Z")
 _I64_MIN, _I64_MAX = -(1 << 63), (1 << 63) - 1
 
 
@@ -287,7 +287,8 @@ def _already(dup) -> str:
 
 def _report_usage(st, uid, r, out, mode):
     now = r.t
-    session = r.session_id if r.session_id is not None else r.request_id
+    # no session, or the marker that callers send for none, opens one named by the request
+    session = r.request_id if r.session_id is None or r.session_id == _I64_MIN else r.session_id
     if not st.exists:
         out.decision(r, uid, st, S.STATUS_USER_DOESNT_EXIST, S.TEXT_USER_MISSING.format(userid=uid), session)
         return

@@ -100,3 +100,21 @@ def credit_topic_balances(spark, sf):
     _in_two_halves(topic, "timestamp", inbox, run)
     exported = CS.events_of(CS.read_charge_outputs(spark, out)).select("userid", "amount")
     return V.user_balance(opening.select("userid", "amount").unionByName(exported))
+
+
+@register("late_requests", """
+SELECT r.* FROM requests r
+JOIN (SELECT userid, max(struct_pack(t := txn_time, i := request_id)) AS last FROM requests
+      WHERE request_id % 5 <> 0 GROUP BY userid) f ON f.userid = r.userid
+WHERE r.request_id % 5 = 0 AND struct_pack(t := r.txn_time, i := r.request_id) <= f.last""", ("requests",))
+def late_requests(spark, sf):
+    """D9's late output: every fifth request comes after all others; those
+    older than their user's state are returned with all their columns."""
+    root = _root(spark, "late-requests")
+    req = fx.requests(spark, sf)
+    inbox, out, state = (os.path.join(root, x) for x in ("in", "out", "state"))
+    for part in (F.col("request_id") % 5 != 0, F.col("request_id") % 5 == 0):
+        req.filter(part).write.mode("append").parquet(inbox)
+        CS.run_available(CS.request_stream(spark, inbox), out, state, users=fx.users(spark, sf),
+                         opening_events=fx.opening_events(spark, sf))
+    return CS.late_of(CS.read_charge_outputs(spark, out))

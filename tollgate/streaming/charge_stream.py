@@ -5,8 +5,8 @@
 state (see ``fold.UserState``) lives in one ValueState of the RocksDB state
 store; every micro-batch's rows of a user are sorted by (time, request_id)
 and applied with the same ``step`` function as the batch fold.  A row that is
-not later than the last applied request of its user is emitted as ``late``
-and never applied silently.  Initial users and balances are loaded once
+not later than the last applied request of its user is emitted as ``late``,
+with all its columns, and never applied silently.  Initial users and balances are loaded once
 through the operator's initial state.
 
 ``write_charge_outputs`` is the ``foreachBatch`` sink: decisions, events and
@@ -33,6 +33,12 @@ _OUT_LONGS = [f.name for f in OUT_SCHEMA.fields if isinstance(f.dataType, (T.Lon
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: output column of a late row -> the request column that it carries
+LATE_FROM = {"request_id": "request_id", "userid": "userid", "t_us": "t_us", "op": "op", "user_txn_id": "txn_id",
+             "session_id": "session_id", "spent": "units_used", "approved": "units_wanted", "amount": "amount",
+             "json": "json", "message": "delta_op"}
+
+
 def _as_text(df: DataFrame) -> DataFrame:
     """Long columns as text so that NULLs survive the pandas hand-over exactly."""
     return df.select(*[F.col(c).cast("string").alias(c) if c in _LONGS else F.col(c) for c in df.columns])
@@ -76,14 +82,12 @@ class ChargeProcessor(StatefulProcessor):
         row = _lists(pdf)
         order = sorted(range(len(pdf)), key=lambda i: (row["t_us"][i], row["request_id"][i]))
         out = Output()
-        late = {c: [] for c in ("request_id", "userid", "t_us", "op")}
+        late = {c: [] for c in LATE_FROM}
         for i in order:
             t, rid = row["t_us"][i], row["request_id"][i]
             if st.last_t is not None and (t, rid) <= (st.last_t, st.last_id):
-                late["request_id"].append(rid)
-                late["userid"].append(uid)
-                late["t_us"].append(t)
-                late["op"].append(row["op"][i])
+                for c, source in LATE_FROM.items():
+                    late[c].append(uid if source == "userid" else row[source][i])
                 continue
             step(st, uid, Request(rid, t, row["op"][i], row["txn_id"][i], row["session_id"][i],
                                   row["units_used"][i], row["units_wanted"][i], row["amount"][i],
@@ -142,7 +146,7 @@ class ChargeRowProcessor(StatefulProcessor):
         for r in reqs:
             t, rid = r[i_t], r[i_id]
             if st.last_t is not None and (t, rid) <= (st.last_t, st.last_id):
-                late.append((rid, uid, t, r[i_op]))
+                late.append([uid if source == "userid" else r[ix[source]] for source in LATE_FROM.values()])
                 continue
             step(st, uid, Request(rid, t, r[i_op], r[i_txn], r[i_s], r[i_u], r[i_w], r[i_a], r[i_j], r[i_d]),
                  out, self.mode)
@@ -154,9 +158,9 @@ class ChargeRowProcessor(StatefulProcessor):
         for (rid, u, t, amount, txn_id, msg) in out.erows:
             yield out_row("event", u, rid, t, None, None, None, None, None, None, None, None,
                           amount, txn_id, msg, None, None, None)
-        for (rid, u, t, op) in late:
-            yield out_row("late", u, rid, t, op, None, None, None, None, None, None, None,
-                          None, None, None, None, None, None)
+        for values in late:
+            held = dict(zip(LATE_FROM, values, strict=True))
+            yield out_row(*["late" if c == "kind" else held.get(c) for c in OUT_COLS])
 
     def close(self) -> None:
         pass
@@ -225,16 +229,21 @@ def events_of(out: DataFrame) -> DataFrame:
 
 
 def late_of(out: DataFrame) -> DataFrame:
-    return out.filter(F.col("kind") == "late").select(
-        "request_id", "userid", F.timestamp_micros("t_us").alias("txn_time"), "op")
+    """The late requests with all their columns, ready to be replayed."""
+    return out.filter(F.col("kind") == "late").select(*[
+        F.timestamp_micros("t_us").alias("txn_time") if source == "t_us" else F.col(c).alias(source)
+        for c, source in LATE_FROM.items()])
 
 
-def run_available(requests: DataFrame, out_dir: str, checkpoint: str, timeout_s: float = 600, **kw) -> None:
-    """Process every file available now and stop (bounded wait)."""
+def run_available(requests: DataFrame, out_dir: str, checkpoint: str, timeout_s: float | None = None, **kw) -> None:
+    """Process every file available now and stop; waits as long as that takes
+    unless the caller sets ``timeout_s``."""
     q = (charge_stream(requests, **kw).writeStream.foreachBatch(write_charge_outputs(out_dir))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     try:
-        if not q.awaitTermination(timeout_s):
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             raise TimeoutError("charge stream did not finish in time")
     finally:
         if q.isActive:

@@ -55,8 +55,10 @@ def file_stream(spark: SparkSession, path: str, schema) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
-def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, mode: str, timeout_s: float = 600) -> None:
-    """Run ``stream`` over everything available now into a parquet folder.
+def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, mode: str,
+                 timeout_s: float | None = None) -> None:
+    """Run ``stream`` over everything available now into a parquet folder; waits
+    as long as that takes unless the caller sets ``timeout_s``.
     ``append`` streams write through the file sink (exactly once via its
     commit log); ``update`` streams replace each key's row through
     foreachBatch (the last update per key wins)."""
@@ -69,7 +71,9 @@ def run_to_table(stream: DataFrame, out_path: str, checkpoint: str, mode: str, t
         w = stream.writeStream.foreachBatch(upsert)
     q = w.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
-        if not q.awaitTermination(timeout_s):
+        if timeout_s is None:
+            q.awaitTermination()
+        elif not q.awaitTermination(timeout_s):
             raise TimeoutError("stream did not finish in time")
     finally:
         if q.isActive:
