@@ -24,7 +24,7 @@ duplicate_requests loyalty_delta_update minute_trunc date_shift null_default
 current_locks user_balance allocated_credit user_allocated users_sessions recent_activity_out recent_activity_in
 cluster_activity_by_users cluster_activity last_cluster_activity cluster_users user_id_range
 multi_session_ref multi_session_users oldest_txn_per_user two_oldest_stale_txns
-ttl_usage ttl_txns prune_two prune_oldest delete_users clear_reservations unlock_all
+ttl_usage ttl_txns prune_two prune_oldest delete_users unlock_all
 charge report_quota_usage report_usage_single_session add_credit upsert_user lock_user update_locked_user
 user_360 charge_stream
 current_metrics credit_flow_per_minute calls_per_minute user_lock_gauges allocated_series procedure_rate

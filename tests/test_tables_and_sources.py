@@ -180,3 +180,21 @@ def test_kafka_records_are_keyed_by_user(spark):
     assert r.key == "7"
     body = json.loads(r.value)
     assert (body["userid"], body["amount"], body["user_txn_id"], body["message"]) == (7, 10, "a", "Added 10")
+
+
+def test_card_lookup_grows_with_the_purchases(spark):
+    from conftest import SF_MID, SF_SMALL
+
+    from tollgate.plans import QUERIES
+    small, mid = (QUERIES["find_by_loyalty_card"](spark, sf).count() for sf in (SF_SMALL, SF_MID))
+    assert 0 < small and 5 * small < mid < 20 * small
+
+
+def test_clear_reservations_deletes_all(spark):
+    from conftest import SF_SMALL
+
+    from tollgate.operators.maintenance import clear_reservations
+    from tollgate.sources import fixtures as fx
+    usage = fx.usage_keyed(spark, SF_SMALL)
+    assert usage.count() > 0 and clear_reservations(usage).count() == 0
+    assert clear_reservations(usage).schema == usage.schema

@@ -79,7 +79,7 @@ def ts_text(ts) -> Column:
 
 def user_json(userid, name=S.LOYALTY_SCHEME_NAME, number=None) -> Column:
     """The user JSON payload built from its three fields, in declared order."""
-    number = F.pmod(_c(userid), F.lit(1000)) if number is None else _c(number)
+    number = F.shiftright(_c(userid).cast("long"), 1) if number is None else _c(number)  # two users share a card
     return F.to_json(F.struct(
         _c(userid).cast("string").alias(S.JSON_FIELDS[0]),
         F.lit(name).alias(S.JSON_FIELDS[1]),

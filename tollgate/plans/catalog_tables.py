@@ -102,12 +102,13 @@ def user_by_id(spark, sf):
 @register("find_by_loyalty_card", """
 SELECT e.event_id AS probe_id, u.*
 FROM events e JOIN users u
-  ON json_extract_string(u.user_json_object, '$.loyaltySchemeNumber') = CAST(e.event_id % 1000 AS VARCHAR)
+  ON json_extract_string(u.user_json_object, '$.loyaltySchemeNumber') = CAST(e.user_id >> 1 AS VARCHAR)
 WHERE e.event_type = 'purchase'""", ("users",))
 def find_by_loyalty_card(spark, sf):
-    """F2 (bulk): users matching each purchase's card number (event_id % 1000)."""
-    probes = (table(spark, sf, "events", "event_id", "event_type").filter(F.col("event_type") == "purchase")
-              .select(F.col("event_id").alias("probe_id"), (F.col("event_id") % 1000).alias("card")))
+    """F2 (bulk): users matching the card number shown at each purchase, the
+    purchasing user's; two users share a card, so rows grow with the purchases."""
+    probes = (table(spark, sf, "events", "event_id", "user_id", "event_type").filter(F.col("event_type") == "purchase")
+              .select(F.col("event_id").alias("probe_id"), F.shiftright("user_id", 1).alias("card")))
     return L.find_by_loyalty_card(fx.users(spark, sf), probes)
 
 
@@ -368,12 +369,6 @@ def delete_users(spark, sf):
     return R.delete_users({"txns": fx.txns(spark, sf)}, ids=doomed)["txns"]
 
 
-@register("clear_reservations", "SELECT * FROM usage_keyed WHERE false", ("usage_keyed",))
-def clear_reservations(spark, sf):
-    """All reservations deleted."""
-    return R.clear_reservations(fx.usage_keyed(spark, sf))
-
-
 @register("unlock_all", """
 SELECT userid, user_json_object, user_last_seen,
        CASE WHEN user_softlock_sessionid IS NULL THEN user_softlock_sessionid END AS user_softlock_sessionid,

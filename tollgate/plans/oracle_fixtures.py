@@ -29,7 +29,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
   FROM events"""),
     "users": ((), f"""
   SELECT c_custkey AS userid,
-         {_json('c_custkey', 'c_custkey % 1000')} AS user_json_object,
+         {_json('c_custkey', '(c_custkey >> 1)')} AS user_json_object,
          make_timestamp(CAST({BASE} AS BIGINT)) AS user_last_seen,
          CAST(NULL AS BIGINT) AS user_softlock_sessionid,
          CAST(NULL AS TIMESTAMP) AS user_softlock_expiry
@@ -55,7 +55,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
          CASE WHEN event_type = 'signup' THEN CAST(floor(value) AS BIGINT)
               WHEN event_type = 'purchase' THEN CAST(floor(value * 10) AS BIGINT) END AS amount,
          CASE WHEN event_type = 'signup' AND event_id % 97 <> 0
-              THEN {_json('user_id', 'user_id % 1000')} END AS json
+              THEN {_json('user_id', '(user_id >> 1)')} END AS json
   FROM ev WHERE event_type <> 'error'"""),
     "requests": (("ev", "req_fields"), f"""
   SELECT event_id * 10 AS request_id, make_timestamp(t_us) AS txn_time, user_id AS userid, op,
