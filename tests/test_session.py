@@ -2,7 +2,7 @@
 
 import pytest
 
-from tollgate.session import ensure_checkpoint_dir, shuffle_partitions_for
+from tollgate.session import cluster_conf, ensure_checkpoint_dir, shuffle_partitions_for
 
 
 class _Conf:
@@ -52,5 +52,14 @@ def test_local_session_gets_a_scratch_folder():
 
 
 def test_partitions_sized_from_bytes():
-    assert shuffle_partitions_for(100 * 1024 ** 4) == 409600
+    assert shuffle_partitions_for(10 * 1024 ** 4) == 10240
+    assert shuffle_partitions_for(100 * 1024 ** 4) == 50_000
     assert shuffle_partitions_for(1) == 1
+
+
+def test_partitions_of_small_large_and_streaming_jobs():
+    key = "spark.sql.shuffle.partitions"
+    assert cluster_conf(5 * 1024 ** 3)[key] == "200"
+    assert cluster_conf(3 * 1024 ** 4)[key] == "3072"
+    assert cluster_conf(100 * 1024 ** 4, streaming=True)[key] == "1000"
+    assert cluster_conf()["spark.sql.ansi.enabled"] == "true"

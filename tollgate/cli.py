@@ -2,7 +2,7 @@
 ``tollgate.schema``).  Submit with spark-submit on a cluster, or run locally:
 
     python -m tollgate.cli replay  --requests R --users U --opening E --out O [--mode strict]
-    python -m tollgate.cli stream  --requests-dir R --users U --opening E --out O --checkpoint C [--once]
+    python -m tollgate.cli stream  --requests-dir R --users U --opening E --out O --checkpoint C [--usage S --txns T] [--once]
     python -m tollgate.cli metrics --users U --usage S --txns T --as-of 2024-01-01T02:00:00 --out O
     python -m tollgate.cli retain  --usage S --txns T --as-of 2024-01-01T04:00:00 --out O
     python -m tollgate.cli audit   --events E --usage S --users U --out O [--threshold 1000]
@@ -25,10 +25,13 @@ def _ts(text: str) -> dt.datetime:
 
 
 def _spark(args) -> SparkSession:
-    from tollgate.session import get_session, prepare
+    from tollgate.session import cluster_conf, get_session, prepare
     if args.master:
         return get_session(args.master, shuffle_partitions=args.shuffle_partitions)
     spark = SparkSession.builder.getOrCreate()
+    if not (spark.sparkContext.master or "").startswith("local"):
+        for key, value in cluster_conf(int(args.shuffled_gb * 1024 ** 3), streaming=args.job == "stream").items():
+            spark.conf.set(key, value)  # the job's own session
     return prepare(spark)
 
 
@@ -47,7 +50,9 @@ def stream(spark, args) -> None:
     from tollgate.streaming import charge_stream as CS
     reqs = CS.request_stream(spark, args.requests_dir, max_files_per_trigger=args.max_files)
     out = CS.charge_stream(reqs, users=TB.read_users(spark, args.users),
-                           opening_events=spark.read.parquet(args.opening).select("userid", "amount"))
+                           opening_events=spark.read.parquet(args.opening).select("userid", "amount"),
+                           usage=TB.read_usage(spark, args.usage) if args.usage else None,
+                           txns=TB.read_txns(spark, args.txns) if args.txns else None, mode=args.mode)
     w = (out.writeStream.foreachBatch(CS.write_charge_outputs(args.out))
          .option("checkpointLocation", args.checkpoint))
     q = (w.trigger(availableNow=True) if args.once else w.trigger(processingTime=args.interval)).start()
@@ -83,7 +88,8 @@ def audit(spark, args) -> None:
 def main(argv=None) -> None:
     p = argparse.ArgumentParser(prog="tollgate")
     p.add_argument("--master", help="only for local runs, e.g. local[8]")
-    p.add_argument("--shuffle-partitions", type=int, default=8)
+    p.add_argument("--shuffle-partitions", type=int, default=8, help="of a local run")
+    p.add_argument("--shuffled-gb", type=float, default=0, help="GB that the job shuffles, on a cluster")
     sub = p.add_subparsers(dest="job", required=True)
     a = sub.add_parser("replay")
     for k in ("requests", "users", "opening", "out"):
@@ -94,6 +100,9 @@ def main(argv=None) -> None:
     a = sub.add_parser("stream")
     for k in ("requests-dir", "users", "opening", "out", "checkpoint"):
         a.add_argument(f"--{k}", required=True)
+    a.add_argument("--usage")
+    a.add_argument("--txns")
+    a.add_argument("--mode", default="reference", choices=("reference", "strict"))
     a.add_argument("--once", action="store_true")
     a.add_argument("--interval", default="30 seconds")
     a.add_argument("--max-files", type=int)

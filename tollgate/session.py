@@ -19,24 +19,24 @@ DEFAULT_CONF = {
 }
 
 
-# Settings for a large cluster (pass as ``extra`` or put in spark-defaults).
-# Shuffle partitions are sized for ~256 MB each at 100 TB (see
-# shuffle_partitions_for); AQE merges them where a shuffle is smaller and
-# splits skewed join partitions.  Broadcasts are decided only on measured
-# sizes: the estimate-based threshold is off, and AQE turns a join into a
-# broadcast join only after the build side has materialised at <= 64 MB.
+def shuffle_partitions_for(shuffled_bytes: int, target_bytes: int = 1024 ** 3, least: int = 1,
+                           most: int = 50_000) -> int:
+    """Shuffle partitions of about ``target_bytes`` each, from what the job
+    shuffles.  Map tasks times partitions is the number of shuffle blocks, so
+    there is a bound; beyond it partitions get larger and spill."""
+    return max(least, min(most, -(-shuffled_bytes // target_bytes)))
+
+
+#: partitions of a stateful stream: they stay for the life of its checkpoint
+STREAM_PARTITIONS = 1000
+
+# Settings for a large cluster, whatever the job.  Broadcasts are decided only
+# on measured sizes: the estimate-based threshold is off, and AQE turns a join
+# into a broadcast join only after the build side has materialised at <= 64 MB.
 # (Local sessions keep Spark's default 10 MB estimate check, which suits the
 # small test tables.)  Arrow batches bound the Python fold's memory per
 # batch; RocksDB keeps streaming state off the JVM heap.
-def shuffle_partitions_for(shuffled_bytes: int, target_bytes: int = 256 * 1024 * 1024) -> int:
-    """Initial shuffle partitions so that each holds about ``target_bytes``
-    (AQE can merge small partitions but cannot split a repartition by key):
-    100 TB at 256 MB gives ~400 k."""
-    return max(1, -(-shuffled_bytes // target_bytes))
-
-
 CLUSTER_CONF = {
-    "spark.sql.shuffle.partitions": str(shuffle_partitions_for(100 * 1024 ** 4)),
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(256 * 1024 * 1024),
@@ -49,9 +49,16 @@ CLUSTER_CONF = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.session.timeZone": "UTC",
+    "spark.sql.ansi.enabled": "true",
 }
 
 
+def cluster_conf(shuffled_bytes: int = 0, streaming: bool = False) -> dict[str, str]:
+    """CLUSTER_CONF with the shuffle partitions of one job."""
+    n = STREAM_PARTITIONS if streaming else shuffle_partitions_for(shuffled_bytes, least=200)
+    return {**CLUSTER_CONF, "spark.sql.shuffle.partitions": str(n)}
+
+
 def get_session(master: str | None = None, shuffle_partitions: int = 8,
                 app: str = "tollgate", extra: dict | None = None) -> SparkSession:
     """Local session for tests and the benchmark (cluster jobs receive theirs)."""
@@ -70,9 +77,11 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Settings every query relies on (time zone and ANSI arithmetic)."""
-    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """Settings every query relies on: the time zone, and arithmetic that fails
+    rather than wraps."""
+    for key, value in (("spark.sql.session.timeZone", "UTC"), ("spark.sql.ansi.enabled", "true")):
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
