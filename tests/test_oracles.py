@@ -7,9 +7,7 @@ from conftest import SF_SMALL
 from oracle_compare import compare, duck
 
 import __spark_entry__ as E
-
-QUERIES = E.queries()
-ORACLES = E.oracle_sql()
+from tollgate.plans import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
