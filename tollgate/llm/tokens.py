@@ -23,7 +23,6 @@ SHORT = 40
 #: letters below are cut alike by every tokenizer version
 LATIN_END = "\u0250"
 VOCABULARY = "word_bpe_49k.json"
-_LOADED: dict[str, ChunkEncoder] = {}
 #: white space to blanks and A-Z to a-z, which the tokenizer itself does first
 _PLAIN = bytes(range(256)).translate(bytes.maketrans(b"\n\t\r" + UPPER.encode(), b"   " + UPPER.lower().encode()))
 #: ASCII punctuation behind an ASCII letter and before white space, where the tokenizer always
@@ -110,10 +109,14 @@ class ChunkEncoder:
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
-    """The encoder of a vocabulary file, loaded once a worker."""
+    """The encoder of a vocabulary file, loaded once a worker.  This package
+    travels to the workers by value, so its own globals last for one task;
+    what a worker keeps hangs on the installed library's module."""
+    import tokenizers
     if path is None:
         import public_tokenizers
         path = public_tokenizers.path(VOCABULARY)
-    if path not in _LOADED:
-        _LOADED[path] = ChunkEncoder(path)
-    return _LOADED[path]
+    loaded = vars(tokenizers).setdefault("_chunk_encoders", {})
+    if path not in loaded:
+        loaded[path] = ChunkEncoder(path)
+    return loaded[path]
