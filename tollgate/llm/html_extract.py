@@ -376,7 +376,9 @@ def extract(pages: DataFrame, weights: np.ndarray | None = None, html_column: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [extract_text(x or "", weights) for x in batch.column("html").to_pylist()]
+            texts: list[str] = []
+            for at in range(0, batch.num_rows, 256):  # a few pages at a time in memory
+                texts += [extract_text(x or "", weights) for x in batch.column("html").slice(at, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()),
                  pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])

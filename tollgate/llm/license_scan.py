@@ -271,9 +271,11 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [[{"line": a, "family": f, "probability": p, "template_share": s, "confirmed": s >= CONFIRM}
-                      for a, f, p, s in scan_text(shared.value, x or b"")]
-                     for x in batch.column("text").cast(pa.binary()).to_pylist()]
+            found: list = []
+            for at in range(0, batch.num_rows, 256):  # a few texts at a time in memory
+                part = batch.column("text").slice(at, 256).cast(pa.binary()).to_pylist()
+                found += [[{"line": a, "family": f, "probability": p, "template_share": s, "confirmed": s >= CONFIRM}
+                           for a, f, p, s in scan_text(shared.value, x or b"")] for x in part]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.list_(item))],
                                              names=["doc_id", "found"])
 

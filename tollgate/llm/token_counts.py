@@ -104,6 +104,13 @@ def edit(enc: ChunkEncoder, tree: CountTree, text: str, start: int, end: int, ne
                      np.concatenate((old_tokens[:a], more_tokens, old_tokens[b + 1:]))), text, len(region)
 
 
+def a_few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches: few texts are in memory at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The trees: doc_id, text_key (hash of the text), n_tokens, and the arrays
     leaf_chars and leaf_tokens.  Null texts are empty; repeated rows have one
@@ -112,7 +119,7 @@ def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in a_few_rows(batches):
             both = [leaves_of(enc, x) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([int(t.sum()) for _, t in both], pa.int64()),
@@ -147,7 +154,7 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
-        for batch in batches:
+        for batch in a_few_rows(batches):
             out: dict[str, list] = {k: [] for k in ("n_edits", "n_tokens", "n_chars", "encoded_chars", "text", "leaf_chars", "leaf_tokens")}
             cols = [batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits")]
             for now, chars, tokens, todo in zip(*cols, strict=True):
