@@ -43,6 +43,24 @@ def test_min_cut_is_minimal(seed):
     assert abs(cost(H.min_cut(unary, edges)) - best) < 1e-9
 
 
+def test_min_cut_of_a_long_page_is_quick():
+    r = random.Random(1)
+    n = 20_000
+    unary = [r.uniform(-1, 1) for _ in range(n)]
+    edges = [(i, i + 1, 1.0) for i in range(n - 1)] + [(i, i + 3, 0.7) for i in range(n - 3)]
+    labels = H.min_cut(unary, edges)
+
+    def cost(x):
+        return (sum(abs(u) for u, y in zip(unary, x, strict=True) if (u > 0) != y)
+                + sum(w for a, b, w in edges if x[a] != x[b]))
+    best = cost(labels)
+    for at in r.sample(range(n - 5), 300):  # no run of flipped labels is cheaper
+        other = list(labels)
+        for k in range(at, at + r.randint(1, 5)):
+            other[k] = not other[k]
+        assert cost(other) >= best - 1e-6
+
+
 def test_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", ""), (3, "w", "<p>" + "long text here, yes. " * 60_000),
             *((10 + i, "o", p) for i, p in enumerate(ODD))]

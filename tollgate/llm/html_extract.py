@@ -321,27 +321,42 @@ def min_cut(unary: list[float], edges: list[tuple[int, int, float]]) -> list[boo
 
 
 def _max_flow(cap: dict[int, dict[int, float]], source: int, sink: int) -> set[int]:
-    """Saturates shortest paths until none is left; the nodes that the source
-    still reaches."""
+    """Level graphs and blocking flows until the sink is out of reach; the
+    nodes that the source still reaches."""
     while True:
-        came = {source: source}
+        level = {source: 0}
         queue = deque([source])
-        while queue and sink not in came:
+        while queue:
             i = queue.popleft()
             for j, c in cap[i].items():
-                if c > 1e-12 and j not in came:
-                    came[j] = i
+                if c > 1e-12 and j not in level:
+                    level[j] = level[i] + 1
                     queue.append(j)
-        if sink not in came:
-            return set(came)
-        path, j = [], sink
-        while j != source:
-            path.append((came[j], j))
-            j = came[j]
-        flow = min(cap[a][b] for a, b in path)
-        for a, b in path:
-            cap[a][b] -= flow
-            cap[b][a] = cap[b].get(a, 0.0) + flow
+        if sink not in level:
+            return set(level)
+        untried = {i: list(cap[i]) for i in level}
+        path = [source]
+        while path:
+            i = path[-1]
+            if i == sink:
+                steps = list(zip(path, path[1:], strict=False))
+                flow = min(cap[a][b] for a, b in steps)
+                for a, b in steps:
+                    cap[a][b] -= flow
+                    cap[b][a] = cap[b].get(a, 0.0) + flow
+                full = next(k for k, (a, b) in enumerate(steps) if cap[a][b] <= 1e-12)
+                del path[full + 1:]
+                continue
+            while untried[i]:
+                j = untried[i][-1]
+                if cap[i][j] > 1e-12 and level.get(j) == level[i] + 1:
+                    path.append(j)
+                    break
+                untried[i].pop()
+            else:
+                path.pop()
+                if path:
+                    untried[path[-1]].pop()
 
 
 def extract_text(page: str, weights: np.ndarray) -> str:
