@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tollgate import schema as S
-from tollgate.functions.columns import micros
+from tollgate.functions.columns import micros, ts_text
 from tollgate.functions.texts import text_col
 from tollgate.operators.fold import Output, Request, UserState, step
 from tollgate.operators.keyed import first_per_key
@@ -428,10 +428,14 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
                                 bucket_us: int = 12 * HOUR_US) -> DataFrame:
     """D3: decisions for logs where every user has at most one open session,
     ADD_CREDIT and REPORT_USAGE only, users all existing with a balance row,
-    every request with a txn id and no txn id repeated.  Then the other sessions' reservations are zero and
+    every request with a txn id.  Then the other sessions' reservations are zero and
     a usage report sees ``available = balance before its own spend`` (Q1),
     a running sum.  No Python.
 
+    A repeated (user, txn id) is answered as already happened, however late it
+    comes, and a repeated report moves nothing; the replay (reference mode)
+    does the same while its ledger still holds the first request.
+
     A hot user is split into time buckets (``bucket_us``, at least the
     180-minute reservation TTL):
 
@@ -453,8 +457,12 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
     spent = -F.coalesce(F.col("units_used"), F.lit(0))
     delta = F.when(is_rqu, spent).otherwise(F.coalesce(F.col("amount"), F.lit(0)))
     r = (r.withColumn("t_us", micros("txn_time"))
-         .withColumn("bucket", F.floor(F.col("t_us") / F.lit(bucket_us)).cast("long"))
-         .withColumn("delta", delta.cast("long")))
+         .withColumn("bucket", F.floor(F.col("t_us") / F.lit(bucket_us)).cast("long")))
+    same_txn = Window.partitionBy("userid", F.coalesce("txn_id", F.concat(F.lit("#"), F.col("request_id").cast("string"))))
+    r = (r.withColumn("first", F.min(F.struct("t_us", "request_id")).over(same_txn))
+         .withColumn("again", F.col("first.request_id") != F.col("request_id"))
+         # a repeated report spends nothing; a repeated credit is answered as a repeat and still adds, as in the fold
+         .withColumn("delta", F.when(F.col("again") & is_rqu, F.lit(0)).otherwise(delta).cast("long")))
 
     opening = opening_events.groupBy("userid").agg(F.sum("amount").cast("long").alias("opening"))
     per_bucket = r.groupBy("userid", "bucket").agg(F.sum("delta").alias("bucket_delta"))
@@ -492,8 +500,11 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
             .when(avail < 0, F.concat(spent_txt, text_col(S.TEXT_NEGATIVE_BALANCE, avail=avail)))
             .when(wanted > avail, F.concat(spent_txt, text_col(S.TEXT_SOME_ALLOCATED, avail=avail, wanted=wanted)))
             .otherwise(F.concat(spent_txt, text_col(S.TEXT_ALL_ALLOCATED, wanted=wanted))))
-    rows = rows.withColumn("approved", approved.cast("long"))
-    grant = F.when(is_rqu, F.struct(F.col("t_us").alias("t"), F.col("approved").alias("a")))
+    again = F.col("again")
+    status = F.when(again, F.lit(S.STATUS_TXN_ALREADY_HAPPENED)).otherwise(status)
+    text = F.when(again, text_col(S.TEXT_ALREADY_HAPPENED, time=ts_text(F.timestamp_micros("first.t_us")))).otherwise(text)
+    rows = rows.withColumn("approved", F.when(~again, approved).cast("long"))
+    grant = F.when(is_rqu & ~again, F.struct(F.col("t_us").alias("t"), F.col("approved").alias("a")))
     held = F.last(grant, ignorenulls=True).over(upto)
     rows = rows.withColumn("held", held).filter(~ctx)
     alloc_after = (F.when(F.col("held").isNull(), F.lit(0))
@@ -503,7 +514,7 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
         "request_id", "userid", "txn_time", "op", status.cast("int").alias("status"), text.alias("status_text"),
         F.when(is_rqu, F.col("session_id")).alias("session_id"),
         F.col("approved"),
-        F.when(is_rqu, spent).otherwise(F.col("amount")).cast("long").alias("spent"),
+        F.when(again, F.lit(None)).when(is_rqu, spent).otherwise(F.col("amount")).cast("long").alias("spent"),
         (F.col("bal_before") + F.col("delta")).cast("long").alias("balance_after"),
         alloc_after.cast("long").alias("allocated_after"))
 
