@@ -23,20 +23,32 @@ from tollgate.llm.tokens import ChunkEncoder, encoder
 LEAF = 64
 
 
+def leaves_of_all(enc: ChunkEncoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Characters and tokens of the leaves, of ``LEAF`` chunks each, of texts."""
+    raws = [t.encode() for t in texts]
+    lists = [enc.chunks(x) for x in raws]
+    return [_leaves(*x, None) for x in zip(raws, lists, enc.chunk_counts(lists), strict=True)]
+
+
 def leaves_of(enc: ChunkEncoder, text: str, parts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Characters and tokens of the leaves of a text: of ``LEAF`` chunks each,
     or as many leaves as ``parts`` says (some may be empty)."""
     raw = text.encode()
-    tokens = np.array(enc.chunk_counts([raw])[0], np.int64)
-    sizes = np.array([len(c) + 1 for c in enc.chunks(raw)], np.int64)
+    chunks = enc.chunks(raw)
+    return _leaves(raw, chunks, enc.chunk_counts([chunks])[0], parts)
+
+
+def _leaves(raw: bytes, chunks: list[bytes], tokens: np.ndarray, parts: int | None) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
     sizes[-1] -= 1
     first = (np.arange(0, len(tokens), LEAF) if parts is None
              else np.arange(parts) * len(tokens) // max(parts, 1))
     ends = np.append(first[1:], len(tokens))
     total = np.concatenate(([0], np.cumsum(tokens)))
     at = np.concatenate(([0], np.cumsum(sizes)))
-    buf = np.frombuffer(raw, np.uint8)
-    chars = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))
+    if raw.isascii():
+        return at[ends] - at[first], total[ends] - total[first]
+    chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
     return chars[at[ends]] - chars[at[first]], total[ends] - total[first]
 
 
@@ -120,7 +132,7 @@ def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in a_few_rows(batches):
-            both = [leaves_of(enc, x) for x in batch.column("text").to_pylist()]
+            both = leaves_of_all(enc, batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array([int(t.sum()) for _, t in both], pa.int64()),
                  pa.array([c for c, _ in both], pa.list_(pa.int64())), pa.array([t for _, t in both], pa.list_(pa.int64()))],
@@ -148,9 +160,11 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
         F.coalesce("new", F.lit("")).alias("new")))).alias("edits"))
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("text_key"), text.alias("text"))
-    same = trees.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n_tokens", "leaf_chars", "leaf_tokens")
+    # edits meet the trees first, so that the texts are shuffled once
+    same = trees.join(listed, "doc_id", "left").select(
+        F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "n_tokens", "leaf_chars", "leaf_tokens", "edits")
     rows = rows.join(same, rows["doc_id"].eqNullSafe(same["__id"]) & (rows["text_key"] == same["__key"]))
-    rows = rows.drop("__id", "__key").join(listed, "doc_id", "left")
+    rows = rows.drop("__id", "__key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)

@@ -38,9 +38,10 @@ class Kept:
         self.new: dict[bytes, bytes] = {b"": b""}
         self.old: dict[bytes, bytes] = {}
 
-    def recall(self, keys: set[bytes]) -> set[bytes]:
-        """Makes what is known of ``keys`` available in ``new``; the others."""
-        if len(self.new) > KEPT:
+    def recall(self, keys: set[bytes], turn: bool = True) -> set[bytes]:
+        """Makes what is known of ``keys`` available in ``new``; the others.
+        A full generation is only put aside where ``turn`` allows it."""
+        if turn and len(self.new) > KEPT:
             self.old, self.new = self.new, {b"": b""}
         missing = keys.difference(self.new)
         again = self.old.keys() & missing
@@ -82,9 +83,9 @@ class ChunkEncoder:
     def chunks(self, raw: bytes) -> list[bytes]:
         return raw.translate(_PLAIN).split(b" ")
 
-    def _each(self, lists: list[list[bytes]]) -> list[list[bytes]]:
+    def _each(self, lists: list[list[bytes]], turn: bool = True) -> list[list[bytes]]:
         """Ids of each chunk of each list."""
-        new = list(self.kept.recall(set().union(*lists)))
+        new = list(self.kept.recall(set().union(*lists), turn))
         known = self.kept.new
         known.update(zip(new, self._ids(new), strict=True))
         out = [list(map(known.__getitem__, x)) for x in lists]
@@ -103,9 +104,17 @@ class ChunkEncoder:
         """Ids of each UTF-8 text as little-endian unsigned 32-bit numbers."""
         return [b"".join(x) for x in self._each([self._cut(t if isinstance(t, bytes) else t.encode()) for t in texts])]
 
-    def chunk_counts(self, raws: list[bytes]) -> list[list[int]]:
-        """Number of ids of each chunk between white space of each UTF-8 text."""
-        return [[len(y) // 4 for y in x] for x in self._each([self.chunks(x) for x in raws])]
+    def chunk_counts(self, lists: list[list[bytes]]) -> list[np.ndarray]:
+        """Number of ids of each chunk between white space (``chunks``) of each text."""
+        new = list(self.kept.recall(set().union(*lists)))
+        known = self.kept.new
+        ids = self._each([[c] if c[-1:].isalpha() else self._cut(c) for c in new], turn=False)
+        known.update((c, b"".join(x)) for c, x in zip(new, ids, strict=True))
+        out = [np.fromiter(map(len, map(known.__getitem__, x)), np.int64, len(x)) // 4 for x in lists]
+        for c in new:
+            if len(c) > SHORT:
+                known.pop(c, None)
+        return out
 
 
 def encoder(path: str | None = None) -> ChunkEncoder:
