@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tollgate.llm.tokens import ChunkEncoder, encoder
 
-LEAF = 64
+LEAF = 32
 
 
 def leaves_of_all(enc: ChunkEncoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
