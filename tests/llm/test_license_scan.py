@@ -1,3 +1,5 @@
+import textwrap
+
 import duckdb
 import numpy as np
 import pytest
@@ -57,3 +59,27 @@ def test_rows(make_docs, model, clash):
     assert got == sorted([("1", [(1, "mit"), (2, "proprietary")]), ("2", []), ("3", []), ("None", [(0, "mit")]),
                           ("4", [(1, "cc-by-nc")]), ("4", [(0, "mit")]), ("4", [(0, "mit")])])
     assert L.scan(make_docs([])).count() == 0
+
+
+@pytest.mark.parametrize("width", [40, 60, 72])
+@pytest.mark.parametrize("mark", ["", " * "])
+def test_wrapped_notices(model, width, mark):
+    for family, texts in L.TEMPLATES.items():
+        for t in texts:
+            lines = [mark + x for x in textwrap.wrap(t, width)]
+            if len(lines) > 1:
+                text = "\n".join(["Copyright 2020 Someone", "", *lines, "", "something else"])
+                assert families(model, text) == [(2, family)], (t, width)
+
+
+def test_notices_of_two_paragraphs_are_not_joined(model):
+    assert families(model, "Licensed under the\n\nMIT\n\nLicense, or not") == []
+
+
+def test_wrapped_notices_are_no_samples_of_the_unknown_class():
+    wrapped = "\n".join(textwrap.wrap(L.TEMPLATES["gpl"][2], 50))
+    assert L.paragraphs_of(f"a b\n{wrapped}\n \nc\n\n\nd") == [f"a b\n{wrapped}", "c", "d"]
+    templates = [(0, L.words_of(L.TEMPLATES["gpl"][2]))]
+    around = [f"zz{i}" for i in range(100)]
+    free = L._free_of(templates, [*around, *L.words_of(wrapped), *around])
+    assert not free[100:128].any() and free[:60].all() and free[-60:].all()

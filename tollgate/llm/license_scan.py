@@ -1,10 +1,11 @@
 """License scans: a trained paragraph classifier with template confirmation.
 
-A paragraph is a line; long ones are read in overlapping segments.  Word 1- to
-3-grams, hashed, are the features of a multinomial logistic regression over
+A paragraph is the run of lines up to one without words.  Its lines are read in
+overlapping segments, and so is the run where it crosses line ends, as notices
+are mostly wrapped.  Word 1- to 3-grams, hashed, are the features of a multinomial logistic regression over
 licence families and one class for everything else.  It is trained here on
 variants of the templates below (words left out, put in, cut off at either end)
-against lines of a bounded sample of the corpus, and its probabilities are
+against paragraphs of a bounded sample of the corpus, and its probabilities are
 calibrated by a temperature fitted on a part that training didn't see.  A
 family is reported where its probability reaches ``ACCEPT``; what the
 classifier gives to no family stays in the unknown class.  A report is
@@ -146,20 +147,43 @@ def _variants(r: np.random.Generator, common: list[str]) -> list[tuple[list[str]
     return out
 
 
+def paragraphs_of(text: str) -> list[str]:
+    """The runs of lines with words."""
+    out: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if words_of(line):
+            out[-1].append(line)
+        elif out[-1]:
+            out.append([])
+    return ["\n".join(x) for x in out if x]
+
+
+def _free_of(templates: list[tuple[int, list[str]]], words: list[str]) -> np.ndarray:
+    """Whether each word lies outside of all that holds most of a template."""
+    named = {w for _, t in templates for w in t}
+    free = np.ones(len(words), bool)
+    for a in range(0, max(1, len(words) - SEGMENT - STEP), STEP):
+        near = words[a:a + SEGMENT + 2 * STEP]
+        if len(named.intersection(near)) > 2 and any(_held(t, near) >= CONFIRM for _, t in templates):
+            free[a:a + SEGMENT + 2 * STEP] = False
+    return free
+
+
 def fit(lines: list[str], seed: int = 0) -> Model:
-    """A model from corpus lines (the unknown class; those that hold most of a
-    template are left out) and variants of the templates."""
+    """A model from corpus lines or paragraphs (the unknown class; segments of
+    them beside what holds most of a template are left out) and variants of the
+    templates."""
     r = np.random.default_rng(seed)
     templates = [(f, words_of(t)) for f, name in enumerate(FAMILIES[:-1]) for t in TEMPLATES[name]]
-    named = {w for _, t in templates for w in t}
     samples: list[tuple[list[str], int]] = []
     common: list[str] = []
     for line in lines:
         words = words_of(line)
-        if words and not any(_held(t, words) >= CONFIRM for _, t in templates if len(named.intersection(words)) > 2):
-            for k in range(0, max(1, len(words) - STEP), SEGMENT):
+        free = _free_of(templates, words)
+        for k in range(0, max(1, len(words) - STEP), SEGMENT) if words else ():
+            if free[k:k + SEGMENT].all():
                 samples.append((words[k:k + SEGMENT], UNKNOWN))
-            common += words[:20]
+                common += words[k:k + SEGMENT][:20] if k == 0 else []
     flat = [w for _, t in templates for w in t]
     for _ in range(300):  # licence words without their order say nothing
         samples.append(([flat[i] for i in r.integers(0, len(flat), int(r.integers(1, 12)))], UNKNOWN))
@@ -208,42 +232,111 @@ def _held(template: list[str], words: list[str]) -> float:
     return sum(b.size for b in blocks) / len(template)
 
 
-def confirm(family: str, text: str) -> float:
-    """The best share over the templates of a family."""
+def _match(template: list[str], words: list[str]) -> tuple[float, int, int]:
+    """The same share, and the first and last word of the notice: the longest
+    run and what stands about as near to it as in the template."""
+    blocks = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
+    if not blocks:
+        return 0.0, 0, 0
+    i = j = max(range(len(blocks)), key=lambda x: blocks[x].size)
+
+    def near(x, y) -> bool:
+        return (y.b - x.b - x.size) - (y.a - x.a - x.size) <= STEP
+    while i > 0 and near(blocks[i - 1], blocks[i]):
+        i -= 1
+    while j + 1 < len(blocks) and near(blocks[j], blocks[j + 1]):
+        j += 1
+    return sum(b.size for b in blocks) / len(template), blocks[i].b, blocks[j].b + blocks[j].size - 1
+
+
+def confirm(family: str, text: str) -> tuple[float, int, int]:
+    """The best share over the templates of a family, and the first and last of
+    the words that hold it."""
     words = words_of(text)
-    return max(_held(words_of(t), words) for t in TEMPLATES[family])
+    return max((_match(words_of(t), words) for t in TEMPLATES[family]), key=lambda x: x[0])
+
+
+class Found(NamedTuple):
+    family: str
+    first: int               # word of the text
+    last: int
+    probability: float
+    share: float
+
+
+def _segments(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping segments of word ranges: range, first word and size of each."""
+    k = np.maximum(1, -(-(last - first - SEGMENT) // STEP) + 1)
+    owner = np.repeat(np.arange(len(first)), k)
+    a = first[owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(k) - k, k)) * STEP
+    return owner, a, np.minimum(SEGMENT, last[owner] - a)
+
+
+def _scan(model: Model, text: bytes, words: tuple, a: np.ndarray, size: np.ndarray, lo: np.ndarray,
+          hi: np.ndarray) -> Iterator[tuple[int, Found]]:
+    """(segment, what is found there) of segments; lo to hi are the words around
+    each, as the notice may go on there."""
+    hashes, starts, lengths = words
+    for c in range(0, len(a), 20_000):
+        part = slice(c, c + 20_000)
+        at = np.repeat(a[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
+        p = _scores(model, hashes[at], size[part])
+        best = p.argmax(axis=1)
+        for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= ACCEPT)):
+            j = c + int(i)
+            segment = text[starts[lo[j]]:starts[hi[j] - 1] + lengths[hi[j] - 1]].decode("utf-8", "replace")
+            share, x, y = confirm(FAMILIES[best[i]], segment)
+            yield j, Found(FAMILIES[best[i]], int(lo[j]) + x, int(lo[j]) + y, float(p[i].max()), share)
 
 
 def scan_text(model: Model, text: bytes) -> list[tuple[int, str, float, float]]:
     """(line, family, probability, share of a template) of a text's segments that
-    the classifier gives to a family: the likeliest of each family in a line."""
-    hashes, starts, lengths = hash_words(text)
+    the classifier gives to a family: the likeliest of each family in a line.
+    A notice that goes on over line ends stands at the line where it starts."""
+    words = hash_words(text)
+    hashes, starts, _ = words
     if not len(hashes):
         return []
     ends = np.concatenate((np.flatnonzero(np.frombuffer(text, np.uint8) == 0x0A), [len(text)]))
     last = np.searchsorted(starts, ends)
     first = np.concatenate(([0], last[:-1]))
-    n = last - first
-    some = np.flatnonzero(n)
-    k = np.maximum(1, -(-(n[some] - SEGMENT) // STEP) + 1)
-    line = np.repeat(some, k)
-    nth = np.arange(len(line)) - np.repeat(np.cumsum(k) - k, k)
-    a = first[line] + nth * STEP
-    size = np.minimum(SEGMENT, last[line] - a)
+    some = np.flatnonzero(last - first)
+    line = np.repeat(some, (last - first)[some])  # of each word
     out: dict[tuple[int, str], tuple[float, float]] = {}
-    for c in range(0, len(line), 20_000):
-        part = slice(c, c + 20_000)
-        at = np.repeat(a[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
-        p = _scores(model, hashes[at], size[part])
-        best = p.argmax(axis=1)
-        for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= ACCEPT)):
-            j = c + int(i)
-            # with the words around it, as the notice may go on there
-            lo, hi = max(first[line[j]], a[j] - STEP), min(last[line[j]], a[j] + size[j] + STEP) - 1
-            segment = text[starts[lo]:starts[hi] + lengths[hi]].decode("utf-8", "replace")
-            key = (int(line[j]), FAMILIES[best[i]])
-            found = (float(p[i].max()), confirm(key[1], segment))
-            out[key] = max(out.get(key, (0.0, 0.0)), found, key=lambda x: (x[1] >= CONFIRM, x[0]))
+
+    def add(at: int, found: Found) -> None:
+        key, value = (at, found.family), (found.probability, found.share)
+        out[key] = max(out.get(key, (0.0, 0.0)), value, key=lambda x: (x[1] >= CONFIRM, x[0]))
+
+    owner, a, size = _segments(first[some], last[some])
+    lo, hi = np.maximum(first[some][owner], a - STEP), np.minimum(last[some][owner], a + size + STEP)
+    held: dict[str, list[tuple[int, int]]] = {}
+    for j, found in _scan(model, text, words, a, size, lo, hi):
+        add(int(some[owner[j]]), found)
+        if found.share >= CONFIRM:
+            held.setdefault(found.family, []).append((found.first, found.last))
+    # the same over line ends, for what no line holds by itself
+    new = np.flatnonzero(np.diff(some, prepend=-2) != 1)
+    owner, a, size = _segments(first[some][new], last[some][np.append(new[1:], len(some)) - 1])
+    lo = np.maximum(first[some][new][owner], a - STEP)
+    hi = np.minimum(last[some][np.append(new[1:], len(some)) - 1][owner], a + size + STEP)
+    across = line[lo] != line[hi - 1]
+    a, size, lo, hi = a[across], size[across], lo[across], hi[across]
+    run = list(_scan(model, text, words, a, size, lo, hi))
+    sure = sorted((x for _, x in run if x.share >= CONFIRM), key=lambda x: (x.first, -x.last, -x.share))
+    widest: list[Found] = []  # a part of a notice may read like another family's
+    for found in sure:
+        spans = held.setdefault(found.family, [])
+        part = any(x.family != found.family and x.first <= found.first and found.last <= x.last
+                   and x.share > found.share for x in widest[-8:])
+        if not part and all(found.last < x or y < found.first for x, y in spans):
+            widest.append(found)
+            add(int(line[found.first]), found)
+            spans.append((found.first, found.last))
+    for j, found in run:
+        lines = range(int(line[lo[j]]), int(line[hi[j] - 1]) + 1)
+        if found.share < CONFIRM and not any((x, found.family) in out for x in lines):
+            add(int(line[a[j]]), found)
     return sorted((k[0], k[1], *v) for k, v in out.items())
 
 
@@ -252,9 +345,10 @@ def train(docs: DataFrame, seed: int = 0) -> Model:
     some = docs.where(F.char_length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     ids = some.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
     rows = some.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    lines = [x for r in rows for x in r["text"].split("\n")]
-    r = np.random.default_rng(seed)
-    return fit([lines[i] for i in sorted(r.permutation(len(lines))[:SAMPLE_LINES])], seed)
+    parts = [x for r in rows for x in paragraphs_of(r["text"])]
+    order = np.random.default_rng(seed).permutation(len(parts))
+    lines = np.cumsum([parts[i].count("\n") + 1 for i in order])
+    return fit([parts[i] for i in sorted(order[:np.searchsorted(lines, SAMPLE_LINES) + 1])], seed)
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
