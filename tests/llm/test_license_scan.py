@@ -83,3 +83,14 @@ def test_wrapped_notices_are_no_samples_of_the_unknown_class():
     around = [f"zz{i}" for i in range(100)]
     free = L._free_of(templates, [*around, *L.words_of(wrapped), *around])
     assert not free[100:128].any() and free[:60].all() and free[-60:].all()
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("Licensed under the MIT License. Licensed under the Apache License, Version 2.0.", {"mit", "apache"}),
+    ("Licensed under either of Apache License, Version 2.0 or MIT license at your option", {"mit", "apache"}),
+    ("Released under the ISC License. Licensed under CC BY-SA 4.0.", {"isc", "cc-by-sa"}),
+    ("Licensed under CC BY-NC 4.0. Licensed under CC BY 4.0.", {"cc-by", "cc-by-nc"}),
+    ("Released under the BSD 3-Clause License.\nLicensed under the Mozilla Public\nLicense, version 2.0.", {"bsd", "mpl"}),
+    *((t, {f}) for f, texts in L.TEMPLATES.items() for t in texts)])
+def test_all_families_of_a_segment_and_no_other(model, text, expected):
+    assert {f for _, f in families(model, text)} == expected

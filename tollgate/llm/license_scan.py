@@ -10,12 +10,17 @@ calibrated by a temperature fitted on a part that training didn't see.  A
 family is reported where its probability reaches ``ACCEPT``; what the
 classifier gives to no family stays in the unknown class.  A report is
 *confirmed* if the segment holds, in order, enough of the words of a template
-of that family.
+of that family.  As notices that share a segment share its probability, a
+segment where some family is ``FLOOR`` likely against the unknown class alone is
+held against the templates of all families; each is reported that is confirmed
+by words that name it and that no nearer family holds.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from typing import NamedTuple
@@ -70,6 +75,8 @@ SEGMENT, STEP = 24, 8
 #: sampled documents and lines of the corpus, and variants of each template
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LINES, VARIANTS = 300, 20_000, 2000, 25
 ACCEPT = 0.5
+#: probability against the unknown class alone from which templates are tried
+FLOOR = 0.1
 #: share of a template's words that must stand in the segment in order
 CONFIRM = 0.7
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -232,12 +239,18 @@ def _held(template: list[str], words: list[str]) -> float:
     return sum(b.size for b in blocks) / len(template)
 
 
-def _match(template: list[str], words: list[str]) -> tuple[float, int, int]:
-    """The same share, and the first and last word of the notice: the longest
-    run and what stands about as near to it as in the template."""
+_TEMPLATES = {f: [words_of(t) for t in texts] for f, texts in TEMPLATES.items()}
+#: words that the templates of so many families hold name none of them
+COMMON = 5
+_NAMING = {w for w, n in Counter(w for ts in _TEMPLATES.values() for w in {w for t in ts for w in t}).items() if n < COMMON}
+
+
+def _match(template: list[str], words: list[str]) -> tuple[float, list[int]]:
+    """The same share, and the words of the notice: the longest run and what
+    stands about as near to it as in the template."""
     blocks = [b for b in SequenceMatcher(None, template, words, autojunk=False).get_matching_blocks() if b.size]
     if not blocks:
-        return 0.0, 0, 0
+        return 0.0, [0]
     i = j = max(range(len(blocks)), key=lambda x: blocks[x].size)
 
     def near(x, y) -> bool:
@@ -246,14 +259,22 @@ def _match(template: list[str], words: list[str]) -> tuple[float, int, int]:
         i -= 1
     while j + 1 < len(blocks) and near(blocks[j], blocks[j + 1]):
         j += 1
-    return sum(b.size for b in blocks) / len(template), blocks[i].b, blocks[j].b + blocks[j].size - 1
+    return sum(b.size for b in blocks) / len(template), [k for b in blocks[i:j + 1] for k in range(b.b, b.b + b.size)]
 
 
-def confirm(family: str, text: str) -> tuple[float, int, int]:
-    """The best share over the templates of a family, and the first and last of
-    the words that hold it."""
-    words = words_of(text)
-    return max((_match(words_of(t), words) for t in TEMPLATES[family]), key=lambda x: x[0])
+def confirm(family: str, words: list[str], named: bool = False) -> tuple[float, list[int]]:
+    """The best share over the templates of a family, and the words that hold
+    it; if ``named``, only of templates of whose naming words half are there."""
+    best: tuple[float, list[int]] = (0.0, [0])
+    for t in _TEMPLATES[family]:
+        naming = _NAMING.intersection(t)
+        if named and 2 * len(naming.intersection(words)) < max(len(naming), 1):
+            continue
+        share, at = _match(t, words)
+        if named and 2 * len(naming.intersection(words[k] for k in at)) < max(len(naming), 1):
+            continue
+        best = max(best, (share, at), key=lambda x: (x[0] >= CONFIRM, x[0], len(x[1])))
+    return best
 
 
 class Found(NamedTuple):
@@ -262,6 +283,21 @@ class Found(NamedTuple):
     last: int
     probability: float
     share: float
+    size: int                # words that hold it
+    naming: list[int]        # those that name the family
+    words: list[str]         # of the segment and what is around it
+    lo: int                  # where they start
+    accepted: bool
+
+
+def _found(family: str, probability: float, words: list[str], lo: int, accepted: bool) -> Found:
+    share, at = confirm(family, words, not accepted)
+    return Found(family, lo + at[0], lo + at[-1], probability, share, len(at),
+                 [lo + k for k in at if words[k] in _NAMING], words, lo, accepted)
+
+
+def _rank(found: Found) -> tuple:
+    return -found.share, -found.size, not found.accepted, found.first
 
 
 def _segments(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -282,16 +318,24 @@ def _scan(model: Model, text: bytes, words: tuple, a: np.ndarray, size: np.ndarr
         at = np.repeat(a[part] - (np.cumsum(size[part]) - size[part]), size[part]) + np.arange(int(size[part].sum()))
         p = _scores(model, hashes[at], size[part])
         best = p.argmax(axis=1)
-        for i in np.flatnonzero((best != UNKNOWN) & (p.max(axis=1) >= ACCEPT)):
+        sure = (best != UNKNOWN) & (p.max(axis=1) >= ACCEPT)
+        tried = (p[:, :UNKNOWN] >= FLOOR * (p[:, :UNKNOWN] + p[:, [UNKNOWN]])).any(axis=1)
+        for i in np.flatnonzero(sure | tried):
             j = c + int(i)
-            segment = text[starts[lo[j]]:starts[hi[j] - 1] + lengths[hi[j] - 1]].decode("utf-8", "replace")
-            share, x, y = confirm(FAMILIES[best[i]], segment)
-            yield j, Found(FAMILIES[best[i]], int(lo[j]) + x, int(lo[j]) + y, float(p[i].max()), share)
+            near = words_of(text[starts[lo[j]]:starts[hi[j] - 1] + lengths[hi[j] - 1]].decode("utf-8", "replace"))
+            if sure[i]:
+                yield j, _found(FAMILIES[best[i]], float(p[i, best[i]]), near, int(lo[j]), True)
+            for f in range(UNKNOWN):
+                if not (sure[i] and f == best[i]):
+                    found = _found(FAMILIES[f], float(p[i, f]), near, int(lo[j]), False)
+                    if found.share >= CONFIRM:
+                        yield j, found
 
 
 def scan_text(model: Model, text: bytes) -> list[tuple[int, str, float, float]]:
     """(line, family, probability, share of a template) of a text's segments that
-    the classifier gives to a family: the likeliest of each family in a line.
+    the classifier gives to a family, and of further families that templates
+    confirm there: the likeliest of each family in a line.
     A notice that goes on over line ends stands at the line where it starts."""
     words = hash_words(text)
     hashes, starts, _ = words
@@ -310,30 +354,38 @@ def scan_text(model: Model, text: bytes) -> list[tuple[int, str, float, float]]:
 
     owner, a, size = _segments(first[some], last[some])
     lo, hi = np.maximum(first[some][owner], a - STEP), np.minimum(last[some][owner], a + size + STEP)
-    held: dict[str, list[tuple[int, int]]] = {}
-    for j, found in _scan(model, text, words, a, size, lo, hi):
-        add(int(some[owner[j]]), found)
-        if found.share >= CONFIRM:
-            held.setdefault(found.family, []).append((found.first, found.last))
+    run = [(int(some[owner[j]]), x) for j, x in _scan(model, text, words, a, size, lo, hi)]
     # the same over line ends, for what no line holds by itself
     new = np.flatnonzero(np.diff(some, prepend=-2) != 1)
-    owner, a, size = _segments(first[some][new], last[some][np.append(new[1:], len(some)) - 1])
-    lo = np.maximum(first[some][new][owner], a - STEP)
-    hi = np.minimum(last[some][np.append(new[1:], len(some)) - 1][owner], a + size + STEP)
-    across = line[lo] != line[hi - 1]
-    a, size, lo, hi = a[across], size[across], lo[across], hi[across]
-    run = list(_scan(model, text, words, a, size, lo, hi))
-    sure = sorted((x for _, x in run if x.share >= CONFIRM), key=lambda x: (x.first, -x.last, -x.share))
-    widest: list[Found] = []  # a part of a notice may read like another family's
-    for found in sure:
-        spans = held.setdefault(found.family, [])
-        part = any(x.family != found.family and x.first <= found.first and found.last <= x.last
-                   and x.share > found.share for x in widest[-8:])
-        if not part and all(found.last < x or y < found.first for x, y in spans):
-            widest.append(found)
-            add(int(line[found.first]), found)
-            spans.append((found.first, found.last))
-    for j, found in run:
+    start, stop = first[some][new], last[some][np.append(new[1:], len(some)) - 1]
+    owner, a, size = _segments(start, stop)
+    lo, hi = np.maximum(start[owner], a - STEP), np.minimum(stop[owner], a + size + STEP)
+    over = line[lo] != line[hi - 1]
+    a, size, lo, hi = a[over], size[over], lo[over], hi[over]
+    across = list(_scan(model, text, words, a, size, lo, hi))
+
+    # the nearest first; what shares its naming words with a nearer one is read again without them
+    held: dict[str, set[int]] = {}
+    taken: set[int] = set()
+    queue = [(*_rank(x), n, x) for n, (_, x) in enumerate([*run, *across]) if x.share >= CONFIRM]
+    heapq.heapify(queue)
+    while queue:
+        *_, n, found = heapq.heappop(queue)
+        if not taken.isdisjoint(found.naming):
+            if (int(line[found.first]), found.family) in out and found.first in held.get(found.family, ()):
+                add(int(line[found.first]), found)
+            left = ["" if found.lo + k in taken else w for k, w in enumerate(found.words)]
+            found = _found(found.family, found.probability, left, found.lo, False)
+            if found.share >= CONFIRM:
+                heapq.heappush(queue, (*_rank(found), n, found))
+            continue
+        add(int(line[found.first]), found)
+        held.setdefault(found.family, set()).update(range(found.first, found.last + 1))
+        taken.update(found.naming)
+    for at, found in run:
+        if found.share < CONFIRM:
+            add(at, found)
+    for j, found in across:
         lines = range(int(line[lo[j]]), int(line[hi[j] - 1]) + 1)
         if found.share < CONFIRM and not any((x, found.family) in out for x in lines):
             add(int(line[a[j]]), found)
