@@ -24,6 +24,41 @@ def test_page_with_and_without_training():
     assert H.extract_text(PAGE, H.EXPECTED) == EXPECTED
 
 
+TEXT = "<h1>Title</h1><p>A first paragraph, long enough to be read as text, yes.</p><p>A second one of the same kind, which ends here.</p>"
+WHOLE = "\n\n".join(x for x in re.split("<[^>]+>", TEXT) if x)
+
+
+@pytest.mark.parametrize("page", [
+    f'<main class="has-sidebar">{TEXT}</main>',
+    f'<article class="post category-social tag-search">{TEXT}</article>',
+    f'<div class="page-content no-comments">{TEXT}</div>',
+    f'<div class="page-content noComments"><article>{TEXT}</article></div>',
+    f'<div class="comments-layout"><article>{TEXT}</article></div>',
+    f'<form id="aspnetForm"><main>{TEXT}</main></form>',
+    f'<main class="social">{TEXT}</main>'])
+def test_names_around_a_whole_page_do_not_take_its_text(page):
+    page = f'<html><body><nav><a href=x>home</a> <a href=y>news</a></nav>{page}<footer>&copy; me</footer></body></html>'
+    for weights in (H.EXPECTED, H.fit([PAGE] * 3)):
+        assert H.extract_text(page, weights) == WHOLE
+
+
+@pytest.mark.parametrize("start, end", [('<form id="aspnetForm">', "</form>"), ('<div id="banner-page">', "</div>"), ('<div class="comments">', "</div>")])
+def test_names_of_a_whole_page_say_nothing(start, end):
+    page = f"<nav><a href=x>home</a> <a href=y>news</a></nav>{{}}<div>{TEXT}</div>{{}}<footer>&copy; me</footer>"
+    for weights in (H.EXPECTED, H.fit([PAGE] * 3)):
+        got = H.extract_text(page.format(start, end), weights)
+        assert got == H.extract_text(page.format("<div>", "</div>"), weights) and got.endswith(WHOLE.removeprefix("Title\n\n"))
+
+
+def test_names_still_decide_beside_an_article():
+    long = "<p>I have much to say about this, and I say it at length.</p>" * 20
+    for rest in (f'<div class="comments">{long}</div>', f'<form>{long}</form>', f'<div class="sidebar">{long}</div>',
+                 f'<div style="display:none">{long}</div>'):
+        assert H.extract_text(f"<body><article>{TEXT}</article>{rest}</body>", H.EXPECTED) == WHOLE, rest
+    comment = '<article class="comment"><p>nice post, I agree with it.</p></article>'
+    assert H.extract_text(f"<body><article>{TEXT}{comment}</article></body>", H.EXPECTED) == WHOLE
+
+
 def test_odd_pages_do_not_fail():
     for page in ODD:
         assert isinstance(H.extract_text(page, H.EXPECTED), str)

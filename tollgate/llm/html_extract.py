@@ -49,7 +49,9 @@ CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "d
           "body": ({"head"}, set())}
 
 # ---- what elements and their names say -------------------------------------
-MENU_TAGS = frozenset("nav aside footer form".split())
+MENU_TAGS = frozenset("nav aside footer".split())
+#: what follows these in a name is what the page is about or lacks, not what the element is
+ABOUT = frozenset("has with without no tag category".split())
 #: names of parts that never hold an article's own text, not even in an <article>
 NEVER = frozenset("comment comments disqus reply replies respond hidden".split())
 AWAY = frozenset("nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar aside widget widgets ad ads "
@@ -69,7 +71,7 @@ _ENDS = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 class Element(NamedTuple):
     tag: str
     number: int      # in order of the page
-    says: str        # 'never', 'away', 'article', 'content', 'header' or ''
+    says: str        # 'never', 'away', 'article', 'open', 'content', 'header' or ''; with '?' until the page is read
     parent: int
 
 
@@ -81,19 +83,28 @@ class Block(NamedTuple):
 
 def _says(tag: str, attributes: str) -> str:
     names: set[str] = set()
+    hidden = False
     for m in _ATTRIBUTE.finditer(attributes) if attributes.strip() else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key in ("class", "id", "role"):
-            names.update(x.lower() for x in _NAME.findall(value))
+            for name in value.split():
+                for x in _NAME.findall(name):
+                    if x.lower() in ABOUT:
+                        break
+                    names.add(x.lower())
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (
                 key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-            names.add("hidden")
+            hidden = True
     if tag in ("html", "body"):
         return ""
-    if names & NEVER:
+    if hidden:
         return "never"
-    if tag in MENU_TAGS or names & AWAY:
+    if names & NEVER:
+        return "never?"
+    if tag in MENU_TAGS:
         return "away"
+    if tag == "form" or names & AWAY:
+        return "away?"
     if tag in ("article", "main") or "main" in names:
         return "article"
     if tag == "header" or "header" in names:
@@ -101,6 +112,46 @@ def _says(tag: str, attributes: str) -> str:
     return "content" if names & CONTENT else ""
 
 
+def _settle(blocks: list[Block]) -> list[Block]:
+    """Blocks where names of elements and forms say only what they can.  One that
+    holds most of the page's text says nothing, unless content stands outside of
+    it; other names leave an article open, but for a comment in an article."""
+    held: dict[int, int] = {}       # characters of each element
+    within: dict[int, int] = {}     # those that an article or content holds
+    total = content = 0
+    for b in blocks:
+        size = len(b.text)
+        last = next((e.says for e in reversed(b.path) if e.says not in ("", "header")), "")
+        good = size if (last in ("article", "content") and 2 * b.link_chars < size
+                        and not any(e.tag in HEADINGS or e.says == "header" for e in b.path)) else 0
+        total, content = total + size, content + good
+        for e in b.path:
+            if e.says.endswith("?"):
+                held[e.number] = held.get(e.number, 0) + size
+                within[e.number] = within.get(e.number, 0) + good
+    if not held:
+        return blocks
+    said: dict[int, str] = {}
+
+    def settle(e: Element, inside: bool) -> str:
+        article = e.tag in ("article", "main")
+        if 2 * held[e.number] > total and content == within[e.number]:
+            return "article" if article else ""
+        return "open" if article and not (inside and e.says == "never?") else e.says[:-1]
+    out = []
+    for b in blocks:
+        path, inside = [], False
+        for e in b.path:
+            if e.says.endswith("?"):
+                if e.number not in said:
+                    said[e.number] = settle(e, inside)
+                e = e._replace(says=said[e.number])
+            inside = inside or e.tag in ("article", "main")
+            path.append(e)
+        out.append(b._replace(path=tuple(path)))
+    return out
+
+
 def read_blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in order.  White space is one blank."""
     out: list[Block] = []
@@ -194,7 +245,7 @@ def read_blocks(page: str) -> list[Block]:
             elif end is not None:
                 at = end.start()
     flush()
-    return out
+    return _settle(out)
 
 
 # ---- costs -----------------------------------------------------------------
@@ -203,7 +254,8 @@ def semantic(block: Block) -> tuple[float, str]:
     """(cost difference in favour of content, the label the elements alone give
     or '').  The innermost element that says something decides, but what stands
     in a comment section stays there, and a header in an article counts only
-    against what is no heading."""
+    against what is no heading.  An open element leaves its blocks to the
+    learned costs and the cut."""
     inside, value, label = False, 0.0, ""
     for e in block.path:
         if e.says == "never":
@@ -212,6 +264,9 @@ def semantic(block: Block) -> tuple[float, str]:
             inside, value, label = True, 8.0, "content"
         elif e.says == "away":
             inside, value, label = False, -12.0, "boilerplate"
+        elif e.says == "open":
+            if value > 0:
+                inside, value, label = False, 0.0, ""
         elif e.says == "content" and not inside and value >= 0:
             value = 4.0
         elif e.says == "header":
