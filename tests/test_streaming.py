@@ -86,3 +86,21 @@ def test_stream_in_four_micro_batches_equals_batch(spark):
     assert out.select("batch_id").distinct().count() == 4 and CS.late_of(out).count() == 0
     batch = D.charge(req.drop("_t"), users=users, opening_events=opening)
     assert _rows(CS.decisions_of(out)) == _rows(batch.decisions)
+
+
+def test_minutes_hold_rows_behind_the_watermark(spark):
+    from tollgate.streaming import views as SV
+    root = tempfile.mkdtemp(prefix="tollgate-minutes-", dir="/tmp")
+    inbox, out, ck = (os.path.join(root, x) for x in ("in", "out", "ck"))
+    tx = fx.txns(spark, SF_SMALL)
+    t = F.col("txn_time")
+    mid = F.lit("2024-01-01 02:00:00").cast("timestamp")
+    held = F.pmod(F.xxhash64("user_txn_id"), F.lit(5)) == 0
+    for part in ((t < mid) & ~held, t >= mid, (t < mid) & held):  # the last part is behind
+        tx.filter(part).write.mode("append").parquet(inbox)
+        SV.activity_per_minute_stream(SV.file_stream(spark, inbox, tx.schema), out, ck)
+    minute = F.date_trunc("minute", t).alias("txn_time")
+    counts = lambda df: sorted(tuple(r) for r in df.groupBy(minute).count().collect())
+    of = lambda df: sorted(tuple(r) for r in df.select("txn_time", "how_many").collect())
+    assert of(SV.activity_minutes(spark, out)) == counts(tx)
+    assert of(SV.late_minutes(spark, out)) == counts(tx.filter((t < mid) & held)) != []
