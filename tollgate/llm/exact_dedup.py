@@ -10,7 +10,9 @@ them byte for byte by grouping on the text itself.  Texts that collide in the
 The *directory* starts with one bucket; each doubling takes one more bit of the
 key, and only buckets with more than ``capacity`` entries are split by it.  The
 index is a Parquet table in the shared folder, range-partitioned by bucket.
-Every document then finds its slot by key and chain entry.
+The grouping by the bytes has found all copies before that: the directory
+only lays out the index, and a document finds its slot by an equi-join on
+key, length and SHA-256, not through the directory.
 
 Only DataFrame functions run here.
 """
