@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import chat_format, decontaminate, exact_dedup, html_extract, license_scan, ngram_join, packing, sharding, token_counts, toxicity
+from tollgate.llm import (bpe, chat_format, decontaminate, exact_dedup, html_extract, license_scan, ngram_join, packing,
+                          sharding, token_counts, toxicity)
 from tollgate.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,3 +161,12 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op12_bpe")
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text they decode to."""
+    done = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return done.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                       F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
