@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import (bpe, chat_format, decontaminate, exact_dedup, html_extract, license_scan, ngram_join, packing,
-                          sharding, token_counts, toxicity)
+from tollgate.llm import (bpe, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, license_scan, ngram_join,
+                          packing, sharding, token_counts, toxicity)
 from tollgate.llm.common import stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -170,3 +170,27 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+#: terms of a text in DuckDB
+TERMS_SQL = r"list_filter(string_split_regex({0}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query("op13_lexical_search", sql=f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {TERMS_SQL.format(LOWER_SQL)} AS w FROM documents),
+     i AS MATERIALIZED (SELECT item_id, row_number() OVER () AS item, {TERMS_SQL.format(LOWER_SQL)} AS w FROM benchmark),
+     s AS (SELECT count(*) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS l FROM d WHERE len(w) > 0),
+     q AS (SELECT item, term, count(*) AS reps FROM (SELECT item, unnest(w) AS term FROM i) GROUP BY item, term),
+     tf AS (SELECT doc_id, len(w) AS n, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM d)
+            WHERE term IN (SELECT term FROM q) GROUP BY doc_id, w, term),
+     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+     v AS (SELECT tf.doc_id, tf.term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT)
+                  * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // l))) AS part
+           FROM tf JOIN df USING (term), s),
+     sc AS (SELECT item, doc_id, CAST(sum(reps * part) AS BIGINT) AS score FROM q JOIN v USING (term) GROUP BY item, doc_id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM sc WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r JOIN i USING (item) WHERE rank <= 20""")
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best documents of every benchmark item."""
+    found = lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
