@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tollgate.llm import (bpe, chat_format, decontaminate, exact_dedup, html_extract, lexical_search, license_scan, ngram_join,
+from tollgate.llm import (bpe, chat_format, collocations, decontaminate, exact_dedup, html_extract, lexical_search, license_scan, ngram_join,
                           packing, sharding, token_counts, toxicity)
 from tollgate.llm.common import stored, table
 
@@ -194,3 +194,28 @@ def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty best documents of every benchmark item."""
     found = lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("item_id", "rank", "doc_id", "score")
+
+
+@query("op11_collocations", sql=f"""
+WITH pc AS (SELECT lang, row_number() OVER () AS p, piece FROM (
+              SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({LOWER_SQL}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+     w AS MATERIALIZED (SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda x: x <> '') AS w FROM pc),
+     g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], ' '))) AS phrase
+           FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k),
+     f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+     tot AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+     c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS p FROM f WHERE k > 1 AND f >= 10),
+     lng AS (SELECT lang, phrase, max(a) AS longer FROM (
+               SELECT lang, a, unnest([p[1] || ' ' || p[2], p[2] || ' ' || p[3]]) AS phrase FROM c WHERE k = 3) GROUP BY lang, phrase),
+     keep AS (SELECT c.* FROM c LEFT JOIN lng USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a),
+     cuts AS (SELECT keep.*, c_at, array_to_string(p[1 : c_at], ' ') AS lp, array_to_string(p[c_at + 1 :], ' ') AS rp
+              FROM keep, (SELECT unnest([1, 2]) AS c_at) WHERE c_at < k),
+     s AS (SELECT cuts.lang, cuts.phrase, a, c_at, x.f AS l, y.f AS r,
+                  CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+           FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = lp JOIN f y ON y.lang = cuts.lang AND y.phrase = rp),
+     low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c_at) = 1),
+     r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM low)
+SELECT lang, rank, phrase, a, l, r.r AS r, n, score FROM r JOIN tot USING (lang) WHERE rank <= 2000""")
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of every language."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
