@@ -11,6 +11,7 @@ from tollgate.functions.texts import text_sql
 from tollgate.operators import audit as C
 from tollgate.operators import charge as D
 from tollgate.operators import metrics as M
+from tollgate.operators.segments import charge_by_segments as charge_segments
 from tollgate.plans.oracle_fold import decisions_sql, events_sql, fold_ctes
 from tollgate.plans.registry import register
 from tollgate.sources import fixtures as fx
@@ -124,6 +125,33 @@ def charge_final_state(spark, sf):
     return replay(spark, sf).final_summary()
 
 
+_WIDE = dict(fixtures=("requests_wide", "users", "opening_events"), extra=fold_ctes("requests_wide"), recursive=True)
+
+
+def replay_segments(spark, sf) -> D.ChargeResult:
+    return charge_segments(fx.requests(spark, sf, squeeze=1), users=fx.users(spark, sf),
+                           opening_events=fx.opening_events(spark, sf))
+
+
+@register("charge_by_segments", _DEC, **_WIDE)
+def charge_by_segments(spark, sf):
+    """D1 with every user's log split at idle gaps: decisions over the log at
+    its own times, where nearly all users have many segments."""
+    return replay_segments(spark, sf).decisions
+
+
+@register("charge_by_segments_events", events_sql(), **_WIDE)
+def charge_by_segments_events(spark, sf):
+    """D1 split at idle gaps: the financial events."""
+    return replay_segments(spark, sf).events_with_request
+
+
+@register("charge_by_segments_final_state", _FINAL.replace("FROM requests)", "FROM requests_wide)"), **_WIDE)
+def charge_by_segments_final_state(spark, sf):
+    """D1 split at idle gaps: the state of every user after the log."""
+    return replay_segments(spark, sf).final_summary()
+
+
 @register("hot_users", """
 SELECT userid, count(*) AS requests, CAST(count(*) AS DOUBLE) / (SELECT count(*) FROM requests) AS share
 FROM requests GROUP BY userid ORDER BY requests DESC, userid LIMIT 10""", ("requests",))

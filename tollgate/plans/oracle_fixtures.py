@@ -177,6 +177,17 @@ def _closure(names) -> list[str]:
     return out
 
 
+def _wide(name: str) -> tuple[tuple[str, ...], str]:
+    """A fixture of the log at its own times: the same CTE over events that are not squeezed."""
+    deps, body = CTES[name]
+    for d in deps:
+        body = re.sub(rf"\b{d}\b", f"{d}_wide", body)
+    return tuple(f"{d}_wide" for d in deps), body.replace("// 180", "// 1")
+
+
+CTES |= {f"{name}_wide": _wide(name) for name in ("ev", "req_fields", "requests")}
+
+
 def with_fixtures(sql: str, *names: str, extra: dict[str, str] | None = None, recursive: bool = False) -> str:
     """Prefix ``sql`` with the CTEs it reads.  ``names`` lists fixtures; when
     empty they are detected from identifiers in the text.  ``extra`` adds

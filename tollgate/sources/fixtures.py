@@ -26,11 +26,11 @@ def _ts(us: Column | int) -> Column:
     return F.timestamp_micros(us if isinstance(us, Column) else F.lit(us))
 
 
-def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events(spark: SparkSession, sf_dir: str, squeeze: int = SQUEEZE) -> DataFrame:
     """events with the squeezed time ``t_us`` (epoch microseconds)."""
     ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
     return ev.withColumn(
-        "t_us", F.lit(BASE_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {BASE_US}) div {SQUEEZE}"))
+        "t_us", F.lit(BASE_US) + F.expr(f"(unix_micros(cast(ts as timestamp)) - {BASE_US}) div {squeeze}"))
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,12 +110,13 @@ def _retries(ev: DataFrame) -> DataFrame:
                          F.lit(None).cast("string").alias("delta_op"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The request log: part 1 (one request per non-error event, a retry for
+def requests(spark: SparkSession, sf_dir: str, squeeze: int = SQUEEZE) -> DataFrame:
+    """The request log, its times squeezed (1: over the whole 30 days, where
+    users are often idle for hours): part 1 (one request per non-error event, a retry for
     each error event) and part 2 (lock / lock / update triples after some
     sign-ups).  Part 1 and part 2 come from one generator pass over events;
     the retries need the running max above."""
-    ev = events(spark, sf_dir)
+    ev = events(spark, sf_dir, squeeze)
     et, eid = F.col("event_type"), F.col("event_id")
     variants = F.concat(F.when(et != "error", F.array(F.lit(0))).otherwise(F.array().cast("array<int>")),
                         F.when((et == "signup") & (eid % 3 == 0), F.array(F.lit(1), F.lit(2), F.lit(3)))
