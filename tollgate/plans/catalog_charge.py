@@ -4,6 +4,9 @@ C6, M5)."""
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from tollgate import schema as S
@@ -14,7 +17,9 @@ from tollgate.operators import metrics as M
 from tollgate.operators.segments import charge_by_segments as charge_segments
 from tollgate.plans.oracle_fold import decisions_sql, events_sql, fold_ctes
 from tollgate.plans.registry import register
+from tollgate.session import ensure_checkpoint_dir
 from tollgate.sources import fixtures as fx
+from tollgate.streaming.charge_stream import request_stream
 
 
 def replay(spark, sf, mode: str = "reference") -> D.ChargeResult:
@@ -291,13 +296,16 @@ def charge_stream(spark, sf):
     time range is processed, the query stops, the rest arrives and the query
     resumes from its checkpoint (RocksDB state, idempotent sink).  Its
     decisions must equal D1's."""
-    import os
-    import uuid
-
-    from tollgate.session import ensure_checkpoint_dir
     from tollgate.streaming import charge_stream as CS
+    root = _two_runs(spark, sf, "charge-stream", CS.run_available)
+    return CS.decisions_of(CS.read_charge_outputs(spark, os.path.join(root, "out")))
+
 
-    root = os.path.join(ensure_checkpoint_dir(spark), f"charge-stream-{uuid.uuid4().hex}")
+def _two_runs(spark, sf, name: str, run) -> str:
+    """The log before the middle of its time range arrives and is processed,
+    then the rest, by a query that resumes from its checkpoint; the folder with
+    the outputs (out) and the checkpoint (state)."""
+    root = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     req = fx.requests(spark, sf).withColumn("_t", F.unix_micros("txn_time"))
     lo, hi = req.agg(F.min("_t"), F.max("_t")).first()     # partial aggregates, not an exact median
     mid = (lo + hi) // 2 + 1
@@ -305,6 +313,46 @@ def charge_stream(spark, sf):
     inbox = os.path.join(root, "in")
     for part in (1, 2):
         split.filter(F.col("_part") == part).drop("_t", "_part").write.mode("append").parquet(inbox)
-        CS.run_available(CS.request_stream(spark, inbox), os.path.join(root, "out"), os.path.join(root, "state"),
-                         users=fx.users(spark, sf), opening_events=fx.opening_events(spark, sf))
+        run(request_stream(spark, inbox), os.path.join(root, "out"), os.path.join(root, "state"),
+            users=fx.users(spark, sf), opening_events=fx.opening_events(spark, sf))
+    return root
+
+
+@register("charge_stream_timed", _DEC, **_FOLD)
+def charge_stream_timed(spark, sf):
+    """D9 over map state with event-time timers, stopped and resumed: its
+    decisions must equal D1's."""
+    from tollgate.streaming import charge_stream as CS
+    from tollgate.streaming import timed_charge as TC
+    root = _two_runs(spark, sf, "charge-timed", TC.run_timed)
     return CS.decisions_of(CS.read_charge_outputs(spark, os.path.join(root, "out")))
+
+
+#: the first millisecond behind a reservation's TTL has been reached by the final watermark (10 minutes behind the log's end)
+_TIMED_OUT = f"(d + {_TTL_US}) // 1000 + 1 <= (SELECT epoch_us(max(txn_time)) // 1000 - 600000 FROM requests)"
+
+
+@register("reservation_releases", f"""
+WITH held AS (SELECT userid, n, unnest(us) AS u FROM steps WHERE n > 0),
+last AS (SELECT userid, u.s AS s, u.d AS d, arg_max(u.a, n) AS a, max(n) AS n FROM held GROUP BY userid, u.s, u.d)
+SELECT l.userid, l.s AS session_id, CAST(l.a AS BIGINT) AS amount, make_timestamp(CAST(d + {_TTL_US} AS BIGINT)) AS released_at
+FROM last l LEFT JOIN steps nx ON nx.userid = l.userid AND nx.n = l.n + 1
+WHERE CASE WHEN nx.t IS NULL THEN {_TIMED_OUT} ELSE l.d < nx.t - {_TTL_US} END""", **_FOLD)
+def reservation_releases(spark, sf):
+    """R1 as the stream does it: the reservations that passed their TTL, those
+    of idle users by event-time timers, over a restart."""
+    from tollgate.streaming import charge_stream as CS
+    from tollgate.streaming import timed_charge as TC
+    root = _two_runs(spark, sf, "releases", TC.run_timed)
+    return TC.releases_of(CS.read_charge_outputs(spark, os.path.join(root, "out")))
+
+
+@register("user_360_live", _FINAL.replace("SELECT userid, ex, js, ls, le, bal, us, tx FROM steps s", f"""
+SELECT userid, ex, js, ls, le, bal, list_filter(us, lambda x: (x.d + {_TTL_US}) // 1000 + 1 > mark) AS us, tx
+FROM (SELECT epoch_us(max(txn_time)) // 1000 - 600000 AS mark FROM requests), steps s"""), **_FOLD)
+def user_360_live(spark, sf):
+    """D8 over the running stream: every user's row, balance, reservations and
+    ledger size, read from the checkpoint's state."""
+    from tollgate.streaming import timed_charge as TC
+    root = _two_runs(spark, sf, "user-live", TC.run_timed)
+    return TC.read_state(spark, os.path.join(root, "state")).final_summary()
