@@ -18,6 +18,7 @@ from tollgate.sources import fixtures as fx
 from tollgate.sources import messages as MS
 from tollgate.streaming import charge_stream as CS
 from tollgate.streaming import views as SV
+from tollgate.streaming import windowed_activity as WA
 
 
 def _root(spark, name: str) -> str:
@@ -50,7 +51,7 @@ def user_balance_stream(spark, sf):
     return SV.latest_per_key(spark, out, "userid")
 
 
-@register("activity_per_minute_stream", """
+_ACTIVITY = """
 SELECT date_trunc('minute', txn_time) AS txn_time,
        CAST(sum(CASE WHEN spent_amount <= 0 THEN -approved_amount END) AS BIGINT) AS out_approved_amount,
        CAST(sum(CASE WHEN spent_amount <= 0 THEN spent_amount END) AS BIGINT) AS out_spent_amount,
@@ -59,7 +60,10 @@ SELECT date_trunc('minute', txn_time) AS txn_time,
        CAST(sum(CASE WHEN spent_amount > 0 THEN spent_amount END) AS BIGINT) AS in_spent_amount,
        count(CASE WHEN spent_amount > 0 THEN 1 END) AS in_how_many,
        count(*) AS how_many
-FROM txns GROUP BY date_trunc('minute', txn_time)""", ("txns",))
+FROM txns GROUP BY date_trunc('minute', txn_time)"""
+
+
+@register("activity_per_minute_stream", _ACTIVITY, ("txns",))
 def activity_per_minute_stream(spark, sf):
     """A6/A7/A9 as a stream, out of order: a fifth of the first half comes with
     the second half, most of it behind the watermark."""
@@ -72,6 +76,19 @@ def activity_per_minute_stream(spark, sf):
     return SV.activity_minutes(spark, out)
 
 
+@register("activity_windows_stream", _ACTIVITY, ("txns",))
+def activity_windows_stream(spark, sf):
+    """A6/A7/A9 as event-time windows in the state store, out of order: a fifth
+    of the first half comes with the second half, most of it for closed minutes."""
+    root = _root(spark, "activity-windows")
+    tx = fx.txns(spark, sf)
+    inbox, out, ck = (os.path.join(root, x) for x in ("in", "out", "ck"))
+    _in_two_halves(tx, "txn_time", inbox, lambda: SV.run_to_table(
+        WA.activity_windows(SV.file_stream(spark, inbox, tx.schema)), out, ck, "append"),
+        held_back=F.pmod(F.xxhash64("user_txn_id"), F.lit(5)) == 0)
+    return WA.activity_minutes(spark, out, ck)
+
+
 @register("credit_topic_balances", """
 SELECT userid, CAST(sum(amount) AS BIGINT) AS balance FROM (
   SELECT userid, amount FROM opening_events
