@@ -60,6 +60,26 @@ def test_random_edits_keep_the_sums_right():
             assert tree.tokens[1] == tree.leaves()[1].sum()
 
 
+def test_many_edits_are_encoded_at_once():
+    """Edits that meet, overlap and undo each other before anything is encoded."""
+    r = random.Random(10)
+    enc = encoder()
+    for _ in range(60):
+        text = " ".join(r.choice(["a", "bc", "dé,", "it's", "\n", "", "longer-word"]) for _ in range(r.choice([0, 1, 70, 900])))
+        e, todo = C.Edited(C.CountTree(*C.leaves_of(enc, text)), text), []
+        near = r.randint(0, len(text))
+        for _ in range(8):
+            a = r.choice([near + r.randint(-20, 20), r.randint(0, len(text) + 3)])
+            todo.append((max(a, 0), max(a, 0) + r.choice([0, 1, 9, 500]), r.choice(["", "x", " ", "two words", "é", "many " * 700])))
+            e.edit(*todo[-1])
+        regions = e.regions()
+        tree = e.close(regions, C.encode_regions(enc, [x for *_, x in regions]))
+        assert e.text == brute(text, todo) and tree.chars[1] == len(e.text) and tree.tokens[1] == n_ids(e.text)
+        chars, tokens = tree.leaves()
+        at = np.concatenate(([0], np.cumsum(chars)))
+        assert sum(n_ids(e.text[i:j]) for i, j in zip(at[:-1], at[1:])) == tokens.sum()
+
+
 def test_tree_descent():
     tree = C.CountTree(np.array([3, 0, 4, 5, 1]), np.array([1, 0, 2, 3, 4]))
     assert [tree.find(k) for k in (0, 2, 3, 6, 7, 11, 12, 99)] == [(0, 0), (0, 0), (2, 3), (2, 3), (3, 7), (3, 7), (4, 12), (4, 12)]

@@ -5,8 +5,9 @@ a tokenizer of words never looks across such a cut.  A segment tree over the
 leaves holds the characters and tokens of every subtree, and is kept per
 document as a row of arrays.  An edit is found by descending the tree; the
 leaves it touches, with the one that ends just before it and the one it may grow
-into, are encoded anew, and the sums above them are updated.  The rest of the
-text is never tokenized again.
+into, are marked.  When all edits of a slice of documents are in, the marked
+leaves of all of them are encoded together, and the sums above them are updated.
+The rest of the text is never tokenized again.
 """
 
 from __future__ import annotations
@@ -18,37 +19,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.tokens import ChunkEncoder, encoder
+from tollgate.llm.tokens import _PLAIN, ChunkEncoder, encoder
 
 LEAF = 32
+#: bytes that end a chunk
+BLANK = np.frombuffer(_PLAIN, np.uint8) == 0x20
 
 
 def leaves_of_all(enc: ChunkEncoder, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Characters and tokens of the leaves, of ``LEAF`` chunks each, of texts."""
-    raws = [t.encode() for t in texts]
-    lists = [enc.chunks(x) for x in raws]
-    return [_leaves(*x, None) for x in zip(raws, lists, enc.chunk_counts(lists), strict=True)]
+    return [_leaves(*x, None) for x in encode_regions(enc, texts)]
 
 
-def leaves_of(enc: ChunkEncoder, text: str, parts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Characters and tokens of the leaves of a text: of ``LEAF`` chunks each,
-    or as many leaves as ``parts`` says (some may be empty)."""
-    raw = text.encode()
-    chunks = enc.chunks(raw)
-    return _leaves(raw, chunks, enc.chunk_counts([chunks])[0], parts)
+def leaves_of(enc: ChunkEncoder, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Characters and tokens of the leaves of a text."""
+    return leaves_of_all(enc, [text])[0]
 
 
-def _leaves(raw: bytes, chunks: list[bytes], tokens: np.ndarray, parts: int | None) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.fromiter(map(len, chunks), np.int64, len(chunks)) + 1
-    sizes[-1] -= 1
+def _leaves(raw: bytes, tokens: np.ndarray, parts: int | None) -> tuple[np.ndarray, np.ndarray]:
     first = (np.arange(0, len(tokens), LEAF) if parts is None
              else np.arange(parts) * len(tokens) // max(parts, 1))
     ends = np.append(first[1:], len(tokens))
     total = np.concatenate(([0], np.cumsum(tokens)))
-    at = np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.frombuffer(raw, np.uint8)
+    at = np.concatenate(([0], np.flatnonzero(BLANK[codes]) + 1, [len(raw)]))
     if raw.isascii():
         return at[ends] - at[first], total[ends] - total[first]
-    chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
+    chars = np.concatenate(([0], np.cumsum((codes & 0xC0) != 0x80)))
     return chars[at[ends]] - chars[at[first]], total[ends] - total[first]
 
 
@@ -92,35 +89,92 @@ class CountTree:
         return self.chars[self.width:self.width + self.n], self.tokens[self.width:self.width + self.n]
 
 
+class Edited:
+    """A tree with the edits that were made to its text and not encoded yet.
+    The leaves keep their places while edits come in; ``stale`` are those to be
+    worked out anew."""
+
+    def __init__(self, tree: CountTree, text: str):
+        self.tree, self.text = tree, text
+        self.stale = np.zeros(tree.n, bool)
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replaces the characters start .. end by ``new`` (positions beyond the
+        text mean its end).  The leaves from the one that ends just before the
+        edit to the one it may grow into are marked; the first of them takes all
+        their characters, so that later edits find their places."""
+        start = min(max(start, 0), len(self.text))
+        end = min(max(end, start), len(self.text))
+        a, _ = self.tree.find(max(start - 1, 0))
+        b, _ = self.tree.find(end)
+        self.text = self.text[:start] + new + self.text[end:]
+        chars, tokens = self.tree.leaves()
+        grown = int(chars[a:b + 1].sum()) + len(new) - (end - start)
+        for k in np.flatnonzero(chars[a + 1:b + 1]).tolist():
+            self.tree.put(a + 1 + k, 0, int(tokens[a + 1 + k]))
+        self.tree.put(a, grown, int(tokens[a]))
+        self.stale[a:b + 1] = True
+
+    def regions(self) -> list[tuple[int, int, str]]:
+        """Runs of marked leaves (first, behind the last) and their texts."""
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], self.stale, [False]))))
+        chars, _ = self.tree.leaves()
+        at = np.concatenate(([0], np.cumsum(chars)))
+        return [(a, b, self.text[at[a]:at[b]]) for a, b in edge.reshape(-1, 2).tolist()]
+
+    def close(self, regions: list[tuple[int, int, str]], encoded: list[tuple[bytes, np.ndarray]]) -> CountTree:
+        """The tree with the sums of all regions, given their chunks' tokens.
+        A region that has outgrown its leaves gets more of them."""
+        grown = []
+        for (a, b, text), (raw, tokens) in zip(regions, encoded, strict=True):
+            fits = len(text) <= 32 * LEAF * (b - a)
+            chars, counts = _leaves(raw, tokens, b - a if fits else None)
+            if fits:
+                for k, (c, t) in enumerate(zip(chars.tolist(), counts.tolist(), strict=True)):
+                    self.tree.put(a + k, c, t)
+            else:
+                grown.append((a, b, chars, counts))
+        self.stale[:] = False
+        if not grown:
+            return self.tree
+        old_chars, old_tokens = self.tree.leaves()
+        parts_c, parts_t, at = [], [], 0
+        for a, b, chars, counts in [*grown, (self.tree.n, self.tree.n, old_chars[:0], old_tokens[:0])]:
+            parts_c += [old_chars[at:a], chars]
+            parts_t += [old_tokens[at:a], counts]
+            at = b
+        return CountTree(np.concatenate(parts_c), np.concatenate(parts_t))
+
+
+def encode_regions(enc: ChunkEncoder, texts: list[str]) -> list[tuple[bytes, np.ndarray]]:
+    """The bytes and the tokens of each chunk of many texts, encoded together."""
+    raws = [t.encode() for t in texts]
+    return list(zip(raws, enc.chunk_counts([enc.chunks(x) for x in raws]), strict=True))
+
+
 def edit(enc: ChunkEncoder, tree: CountTree, text: str, start: int, end: int, new: str) -> tuple[CountTree, str, int]:
-    """Replaces the characters start .. end of a text by ``new`` (positions
-    beyond the text mean its end).  Gives the tree, the text and the characters
-    that were encoded again."""
-    start = min(max(start, 0), len(text))
-    end = min(max(end, start), len(text))
-    a, before = tree.find(max(start - 1, 0))
-    b, _ = tree.find(end)
-    chars, _ = tree.leaves()
-    old = int(chars[a:b + 1].sum())
-    text = text[:start] + new + text[end:]
-    region = text[before:before + old + len(new) - (end - start)]
-    enough = b - a + 1
-    if len(region) <= 4 * max(old, 8 * LEAF * enough):
-        for k, (c, t) in enumerate(zip(*leaves_of(enc, region, enough), strict=True)):
-            tree.put(a + k, int(c), int(t))
-        return tree, text, len(region)
-    # the region has outgrown its leaves: the tree gets more of them
-    old_chars, old_tokens = tree.leaves()
-    more_chars, more_tokens = leaves_of(enc, region)
-    return CountTree(np.concatenate((old_chars[:a], more_chars, old_chars[b + 1:])),
-                     np.concatenate((old_tokens[:a], more_tokens, old_tokens[b + 1:]))), text, len(region)
-
-
-def a_few_rows(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The same rows in small batches: few texts are in memory at a time."""
+    """One edit of one text: the tree, the text and the characters that were
+    encoded again."""
+    e = Edited(tree, text)
+    e.edit(start, end, new)
+    regions = e.regions()
+    return e.close(regions, encode_regions(enc, [x for *_, x in regions])), e.text, sum(len(x) for *_, x in regions)
+
+
+#: characters of the texts of a slice
+SLICE = 2_000_000
+
+
+def a_few_rows(batches: Iterator[pa.RecordBatch], size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes of text, or one longer
+    text: few texts are in memory at a time."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        total = np.cumsum(pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            end = max(int(np.searchsorted(total, (total[at - 1] if at else 0) + size, "right")), at + 1)
+            yield batch.slice(at, end - at)
+            at = end
 
 
 def build(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -171,14 +225,19 @@ def apply_edits(docs: DataFrame, trees: DataFrame, edits: DataFrame, vocabulary:
         for batch in a_few_rows(batches):
             out: dict[str, list] = {k: [] for k in ("n_edits", "n_tokens", "n_chars", "encoded_chars", "text", "leaf_chars", "leaf_tokens")}
             cols = [batch.column(c).to_pylist() for c in ("text", "leaf_chars", "leaf_tokens", "edits")]
+            # all edits first, then the regions of all texts are encoded together
+            edited = []
             for now, chars, tokens, todo in zip(*cols, strict=True):
-                tree, encoded = CountTree(np.array(chars, np.int64), np.array(tokens, np.int64)), 0
+                edited.append(Edited(CountTree(np.array(chars, np.int64), np.array(tokens, np.int64)), now))
                 for e in todo or ():
-                    tree, now, n = edit(enc, tree, now, e["start"], e["end"], e["new"])
-                    encoded += n
+                    edited[-1].edit(e["start"], e["end"], e["new"])
+            regions = [e.regions() for e in edited]
+            done = iter(encode_regions(enc, [x for r in regions for *_, x in r]))
+            for e, r, todo in zip(edited, regions, cols[3], strict=True):
+                tree = e.close(r, [next(done) for _ in r])
                 chars, tokens = tree.leaves()
-                for k, v in zip(out, (len(todo or ()), int(tree.tokens[1]), int(tree.chars[1]), encoded, now, chars, tokens),
-                                strict=True):
+                for k, v in zip(out, (len(todo or ()), int(tree.tokens[1]), int(tree.chars[1]), sum(len(x) for *_, x in r), e.text,
+                                      chars, tokens), strict=True):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_tokens")]

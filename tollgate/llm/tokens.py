@@ -108,8 +108,12 @@ class ChunkEncoder:
         """Number of ids of each chunk between white space (``chunks``) of each text."""
         new = list(self.kept.recall(set().union(*lists)))
         known = self.kept.new
-        ids = self._each([[c] if c[-1:].isalpha() else self._cut(c) for c in new], turn=False)
-        known.update((c, b"".join(x)) for c, x in zip(new, ids, strict=True))
+        whole, rest = [], []
+        for c in new:
+            (whole if c[-1:].isalpha() else rest).append(c)
+        known.update(zip(whole, self._ids(whole), strict=True))
+        ids = self._each([self._cut(c) for c in rest], turn=False)
+        known.update((c, b"".join(x)) for c, x in zip(rest, ids, strict=True))
         out = [np.fromiter(map(len, map(known.__getitem__, x)), np.int64, len(x)) // 4 for x in lists]
         for c in new:
             if len(c) > SHORT:
