@@ -31,7 +31,7 @@ from tollgate.llm.tokens import SHORT, Kept
 
 VOCABULARY = "byte_bpe_50k.json"
 #: characters of a slice
-SLICE = 6_000_000
+SLICE = 4_000_000
 #: what byte-level vocabularies split at (fixed value of the public pattern)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: the same for texts of characters up to U+024F, letters, numbers and white space written out
@@ -51,6 +51,22 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+def token_bytes(spec: dict) -> list[bytes]:
+    """The bytes of each id of a vocabulary file's content, control strings included."""
+    vocab, added, byte_of = spec["model"]["vocab"], spec["added_tokens"], printable_bytes()
+    out = [b""] * (max([*vocab.values(), *(t["id"] for t in added)]) + 1)
+    for token, i in vocab.items():
+        out[i] = bytes(byte_of[c] for c in token)
+    for t in added:
+        out[t["id"]] = t["content"].encode()
+    return out
+
+
+def decode_ids(bytes_of: list[bytes], ids: bytes) -> str:
+    """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+    return b"".join(map(bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+
+
 class PairIndexEncoder:
     """Encoder and decoder of one vocabulary file."""
 
@@ -61,15 +77,10 @@ class PairIndexEncoder:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        byte_of = printable_bytes()
-        self.bytes_of = [b""] * (max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1)
-        for token, i in vocab.items():
-            self.bytes_of[i] = bytes(byte_of[c] for c in token)
+        self.bytes_of = token_bytes(spec)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        for token, i in self.special.items():
-            self.bytes_of[i] = token.encode()
         self.byte_id = np.zeros(256, np.int64)
-        for c, b in byte_of.items():
+        for c, b in printable_bytes().items():
             self.byte_id[b] = vocab[c]
         self.left = np.array([vocab[a] for a, _ in merges], np.int64)
         self.right = np.array([vocab[b] for _, b in merges], np.int64)
@@ -199,20 +210,33 @@ class PairIndexEncoder:
                 del known[c]
         return out
 
-    # ----------------------------------------------------------- decoding ---
     def decode(self, ids: bytes) -> str:
-        """The text of ids, control strings included; bytes that are no UTF-8
-        become U+FFFD."""
-        return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        return decode_ids(self.bytes_of, ids)
+
+
+def vocabulary_path(path: str | None) -> str:
+    if path is None:
+        import public_tokenizers
+        path = public_tokenizers.path(VOCABULARY)
+    return path
+
+
+def bytes_by_id(path: str | None = None) -> list[bytes]:
+    """``token_bytes`` of a vocabulary file, loaded once a worker."""
+    import tokenizers
+    path = vocabulary_path(path)
+    loaded = vars(tokenizers).setdefault("_token_bytes", {})
+    if path not in loaded:
+        with open(path, encoding="utf-8") as f:
+            loaded[path] = token_bytes(json.load(f))
+    return loaded[path]
 
 
 def encoder(path: str | None = None) -> PairIndexEncoder:
     """The encoder of a vocabulary file, loaded once a worker (it hangs on an
     installed module, as this package travels to the workers by value)."""
     import tokenizers
-    if path is None:
-        import public_tokenizers
-        path = public_tokenizers.path(VOCABULARY)
+    path = vocabulary_path(path)
     loaded = vars(tokenizers).setdefault("_pair_index_encoders", {})
     if path not in loaded:
         loaded[path] = PairIndexEncoder(path)
@@ -273,12 +297,12 @@ def decode(encoded: DataFrame, path: str | None = None, ids: str = "ids", text:
     at = keep.index(ids)
 
     def run(batches):
-        enc = encoder(path)
+        bytes_of = bytes_by_id(path)
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_pylist()
             for lo, hi in _slices(batch, sizes, 2 * SLICE):
                 part = batch.slice(lo, hi - lo)
-                said = [None if x is None else enc.decode(x) for x in part.column(at).to_pylist()]
+                said = [None if x is None else decode_ids(bytes_of, x) for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(said, pa.string())], names=[*keep, text])
 
     return encoded.select(*keep).mapInArrow(run, schema)
