@@ -6,8 +6,8 @@ into words ``[^\x20\x09]+``; phrases are 2 or 3 neighbouring words of a piece.
 Counting.  A task gives the words it meets ids and counts phrases in a shallow
 trie over word ids.  A node deals the next word's id to containers, hash tables
 that each hold a range of ids; a container that grows beyond ``BURST`` entries
-bursts: its range is halved, and a range of a single id becomes a node for the
-next word.  Where the trie holds more than ``MOST`` entries, whole subtrees leave
+bursts into containers of smaller ranges, and an id that fills one alone becomes
+a node for the next word.  Where the trie holds more than ``MOST`` entries, whole subtrees leave
 it as sorted runs, the largest first.  The runs are written to the shared folder,
 dealt to partitions by ranges of their prefixes (so that a frequent first word is
 split by what follows it) and added up there.
@@ -21,9 +21,11 @@ through in vain is only counted and left out later.
 from __future__ import annotations
 
 import math
+import operator
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 from typing import NamedTuple
 
 import numpy as np
@@ -53,7 +55,6 @@ FLUSH = 500_000
 TABLE_BITS = 1 << 28
 UNKNOWN = "und"
 _TOKEN = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]")
-_BREAKS = frozenset(b".,;:!?\n\x0b\x0c\r")
 _K = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -78,10 +79,8 @@ class Node:
             if isinstance(held, Node):
                 new += held.add(codes[lo:hi], counts[lo:hi])
                 continue
-            before = len(held)
-            get = held.get
-            for code, n in zip(codes[lo:hi].tolist(), counts[lo:hi].tolist(), strict=True):
-                held[code] = get(code, 0) + n
+            before, keys = len(held), codes[lo:hi].tolist()
+            held.update(zip(keys, map(operator.add, map(held.get, keys, repeat(0)), counts[lo:hi].tolist()), strict=True))
             new += len(held) - before
             if len(held) > BURST:
                 burst.append(i)
@@ -90,28 +89,28 @@ class Node:
         return new
 
     def _burst(self, i: int) -> None:
-        """Halves a full container at the middle id of its entries, as often as
-        its halves are full; one of a single id becomes a node."""
-        waiting = [(self.starts[i], self.held[i])]
-        done = []
-        while waiting:
-            start, held = waiting.pop()
-            codes, counts = sorted_entries(held)
-            ids = codes >> self.shift & ID_MASK
-            if len(held) <= BURST or (ids[0] == ids[-1] and not self.shift):
-                done.append((start, held))
-            elif ids[0] == ids[-1]:
-                node = Node(self.shift - ID_BITS)
-                node.add(codes, counts)
-                done.append((start, node))
+        """Cuts a full container into ranges of about half of ``BURST`` entries,
+        between ids; an id with more than that becomes a node of its own."""
+        codes, counts = sorted_entries(self.held[i])
+        ids = codes >> self.shift & ID_MASK
+        edges = np.concatenate(([0], np.flatnonzero(np.diff(ids)) + 1, [len(ids)]))
+        full = np.flatnonzero(np.diff(edges) > BURST // 2)
+        even = edges[np.searchsorted(edges, np.arange(0, len(ids), BURST // 2))]
+        cuts = np.unique(np.concatenate((even, edges[full], edges[full + 1], [len(ids)])))
+        pieces, free = [], self.starts[i]      # free: the first id that no piece covers yet
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            first, last = int(ids[lo]), int(ids[hi - 1])
+            if first == last and hi - lo > BURST // 2 and self.shift:
+                if free < first:
+                    pieces.append((free, {}))
+                pieces.append((first, Node(self.shift - ID_BITS)))
+                pieces[-1][1].add(codes[lo:hi], counts[lo:hi])
             else:
-                middle = int(ids[len(ids) // 2])
-                at = int(np.searchsorted(ids, middle)) or int(np.searchsorted(ids, middle, "right"))
-                waiting += [(start, dict(zip(codes[:at].tolist(), counts[:at].tolist(), strict=True))),
-                            (int(ids[at]), dict(zip(codes[at:].tolist(), counts[at:].tolist(), strict=True)))]
-        done.sort(key=lambda x: x[0])
-        self.starts[i:i + 1] = [s for s, _ in done]
-        self.held[i:i + 1] = [h for _, h in done]
+                pieces.append((free, dict(zip(codes[lo:hi].tolist(), counts[lo:hi].tolist(), strict=True))))
+            free = last + 1
+        if isinstance(pieces[-1][1], Node) and free not in self.starts[i + 1:i + 2]:
+            pieces.append((free, {}))
+        self.starts[i:i + 1], self.held[i:i + 1] = zip(*pieces, strict=True)
 
     def __len__(self) -> int:
         return sum(map(len, self.held))
@@ -163,6 +162,18 @@ def pair_hashes(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mix(first * _K + second)
 
 
+class Ids(dict):
+    """Ids of a language's words; a new word gets the next one when it is asked for."""
+
+    def __init__(self, lang: bytes, counter: Counter):
+        super().__init__((bytes([c]), 0) for c in b".,;:!?\n\x0b\x0c\r")
+        self.lang, self.counter = lang, counter
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = i = self.counter.new_word(self.lang, word)
+        return i
+
+
 class Counter:
     """Counts the phrases of one task's texts and gives them out as runs of
     (key, n): the words, a tab and the language."""
@@ -177,25 +188,25 @@ class Counter:
     def _fresh(self) -> None:
         self.trie = Node(2 * ID_BITS)
         self.size = 0
-        self.ids: dict[bytes, dict[bytes, int]] = {}
+        self.ids: dict[bytes, Ids] = {}
         self.words: list[bytes] = [b""]
         self.langs: list[bytes] = [b""]
         self.hashes: list[int] = [0]
 
     def _ids_of(self, lang: bytes, tokens: list[bytes]) -> np.ndarray:
         """Ids of words, 0 for what ends a piece."""
-        known = self.ids.setdefault(lang, {})
-        for w in set(tokens).difference(known):
-            if len(w) == 1 and w[0] in _BREAKS:
-                known[w] = 0
-                continue
-            known[w] = len(self.words)
-            self.words.append(w)
-            self.langs.append(lang)
-            if self.pairs is not None:
-                self.hashes.append(word_hash(lang, w))
+        known = self.ids.get(lang)
+        if known is None:
+            known = self.ids[lang] = Ids(lang, self)
         return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
+    def new_word(self, lang: bytes, word: bytes) -> int:
+        self.words.append(word)
+        self.langs.append(lang)
+        if self.pairs is not None:
+            self.hashes.append(word_hash(lang, word))
+        return len(self.words) - 1
+
     def add(self, lang: bytes, text: bytes) -> Iterator[pa.RecordBatch]:
         """Counts a text; what had to leave the trie on the way."""
         for piece in cut_at_blanks(text):
@@ -347,8 +358,9 @@ class Counts(NamedTuple):
 def count(docs: DataFrame, least: int = LEAST) -> Counts:
     """Counts of all words, and of the pairs and triples that occur ``least``
     times or more, per language (null: ``und``)."""
-    short = _split_key(_merged(count_runs(docs), "phrase-runs-2"))
-    short = stored(short.where((F.size("words") == 1) | (F.col("n") >= least)), "phrases-2")
+    merged = _merged(count_runs(docs), "phrase-runs-2")
+    blank = F.locate(" ", "key")      # of a single word's key only the language may hold one
+    short = stored(_split_key(merged.where((F.col("n") >= least) | (blank == 0) | (blank > F.locate("\t", "key")))), "phrases-2")
     words, pairs = short.where(F.size("words") == 1), short.where(F.size("words") == 2)
     triples = _split_key(_merged(count_runs(docs, _pair_table(pairs)), "phrase-runs-3"))
     return Counts(words, pairs, stored(triples.where(F.col("n") >= least), "phrases-3"))
