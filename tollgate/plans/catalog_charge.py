@@ -24,8 +24,8 @@ from tollgate.streaming.charge_stream import request_stream
 
 def replay(spark, sf, mode: str = "reference") -> D.ChargeResult:
     """The full request log replayed over the fixture users and balances."""
-    return D.charge(fx.requests(spark, sf), users=fx.users(spark, sf),
-                    opening_events=fx.opening_events(spark, sf), mode=mode)
+    return D.charge(fx.requests(spark, sf), users=fx.known_users(spark, sf),
+                    opening_events=fx.known_opening(spark, sf), mode=mode)
 
 
 def replay_single(spark, sf) -> D.ChargeResult:
@@ -37,7 +37,8 @@ _TTL_US = 180 * 60 * 1000000
 _FIRST_TS = "strftime(first_time, '%Y-%m-%d %H:%M:%S.%f')"
 
 # The replay's oracle: a recursive CTE over the full log (see oracle_fold).
-_FOLD = dict(fixtures=("requests", "users", "opening_events"), extra=fold_ctes(), recursive=True)
+_KNOWN = ("known_users", "known_opening")
+_FOLD = dict(fixtures=("requests", *_KNOWN), extra=fold_ctes("requests", *_KNOWN), recursive=True)
 _DEC = decisions_sql()
 
 _FINAL = """
@@ -53,8 +54,8 @@ FROM (SELECT userid, ex, js, ls, le, bal, us, tx FROM steps s
       WHERE n = (SELECT max(n) FROM steps s2 WHERE s2.userid = s.userid)
       UNION ALL
       SELECT u.userid, true, u.user_json_object, u.user_softlock_sessionid, epoch_us(u.user_softlock_expiry),
-             (SELECT CAST(sum(amount) AS BIGINT) FROM opening_events o WHERE o.userid = u.userid), [], []
-      FROM users u WHERE u.userid NOT IN (SELECT userid FROM requests))
+             (SELECT CAST(sum(amount) AS BIGINT) FROM known_opening o WHERE o.userid = u.userid), [], []
+      FROM known_users u WHERE u.userid NOT IN (SELECT userid FROM requests))
 WHERE ex OR bal IS NOT NULL"""
 
 
@@ -130,12 +131,12 @@ def charge_final_state(spark, sf):
     return replay(spark, sf).final_summary()
 
 
-_WIDE = dict(fixtures=("requests_wide", "users", "opening_events"), extra=fold_ctes("requests_wide"), recursive=True)
+_WIDE = dict(fixtures=("requests_wide", *_KNOWN), extra=fold_ctes("requests_wide", *_KNOWN), recursive=True)
 
 
 def replay_segments(spark, sf) -> D.ChargeResult:
-    return charge_segments(fx.requests(spark, sf, squeeze=1), users=fx.users(spark, sf),
-                           opening_events=fx.opening_events(spark, sf))
+    return charge_segments(fx.requests(spark, sf, squeeze=1), users=fx.known_users(spark, sf),
+                           opening_events=fx.known_opening(spark, sf))
 
 
 @register("charge_by_segments", _DEC, **_WIDE)
@@ -187,7 +188,7 @@ def update_locked_user(spark, sf):
 @register("add_credit", f"""
 WITH c AS (SELECT * FROM requests WHERE op = 'ADD_CREDIT'),
 k AS (SELECT c.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id
-      FROM c WHERE userid IN (SELECT userid FROM users)
+      FROM c WHERE userid IN (SELECT userid FROM known_users)
       WINDOW w AS (PARTITION BY userid, txn_id ORDER BY txn_time, request_id))
 SELECT request_id, userid, txn_time, op,
        CASE WHEN txn_id IS NULL THEN -1 WHEN request_id = first_id THEN 56 ELSE 46 END AS status,
@@ -197,17 +198,17 @@ SELECT request_id, userid, txn_time, op,
 FROM k
 UNION ALL
 SELECT request_id, userid, txn_time, op, 50, {text_sql(S.TEXT_USER_ID_MISSING, userid="userid")}
-FROM c WHERE userid NOT IN (SELECT userid FROM users)""", ("requests", "users"))
+FROM c WHERE userid NOT IN (SELECT userid FROM known_users)""", ("requests", "known_users"))
 def add_credit(spark, sf):
     """Credit decisions with an infinite duplicate horizon (closed form)."""
-    return D.add_credit(fx.requests(spark, sf), fx.users(spark, sf))[0]
+    return D.add_credit(fx.requests(spark, sf), fx.known_users(spark, sf))[0]
 
 
 @register("upsert_user", f"""
 WITH u AS (SELECT * FROM requests WHERE op = 'UPSERT_USER' AND txn_id IS NOT NULL),
 k AS (SELECT u.*, first_value(txn_time) OVER w AS first_time, first_value(request_id) OVER w AS first_id,
              first_value(request_id) OVER (PARTITION BY userid ORDER BY txn_time, request_id) AS creator_id,
-             userid IN (SELECT userid FROM users) AS pre
+             userid IN (SELECT userid FROM known_users) AS pre
       FROM u WINDOW w AS (PARTITION BY userid, txn_id ORDER BY txn_time, request_id))
 SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 42 ELSE 46 END AS status,
        CASE WHEN request_id <> first_id THEN {text_sql(S.TEXT_ALREADY_HAPPENED, time=_FIRST_TS)}
@@ -216,10 +217,10 @@ SELECT request_id, userid, txn_time, op, CASE WHEN request_id = first_id THEN 42
 FROM k
 UNION ALL
 SELECT request_id, userid, txn_time, op, -1, {text_sql(S.TEXT_NO_TXN_ID, userid="userid")}
-FROM requests WHERE op = 'UPSERT_USER' AND txn_id IS NULL""", ("requests", "users"))
+FROM requests WHERE op = 'UPSERT_USER' AND txn_id IS NULL""", ("requests", "known_users"))
 def upsert_user(spark, sf):
     """Upsert decisions in a static world (closed form)."""
-    return D.upsert_user(fx.requests(spark, sf), fx.users(spark, sf))[0]
+    return D.upsert_user(fx.requests(spark, sf), fx.known_users(spark, sf))[0]
 
 
 @register("user_360", """
@@ -314,7 +315,7 @@ def _two_runs(spark, sf, name: str, run) -> str:
     for part in (1, 2):
         split.filter(F.col("_part") == part).drop("_t", "_part").write.mode("append").parquet(inbox)
         run(request_stream(spark, inbox), os.path.join(root, "out"), os.path.join(root, "state"),
-            users=fx.users(spark, sf), opening_events=fx.opening_events(spark, sf))
+            users=fx.known_users(spark, sf), opening_events=fx.known_opening(spark, sf))
     return root
 
 

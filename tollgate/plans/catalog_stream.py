@@ -135,6 +135,6 @@ def late_requests(spark, sf):
     inbox, out, state = (os.path.join(root, x) for x in ("in", "out", "state"))
     for part in (F.col("request_id") % 5 != 0, F.col("request_id") % 5 == 0):
         req.filter(part).write.mode("append").parquet(inbox)
-        CS.run_available(CS.request_stream(spark, inbox), out, state, users=fx.users(spark, sf),
-                         opening_events=fx.opening_events(spark, sf))
+        CS.run_available(CS.request_stream(spark, inbox), out, state, users=fx.known_users(spark, sf),
+                         opening_events=fx.known_opening(spark, sf))
     return CS.late_of(CS.read_charge_outputs(spark, out))

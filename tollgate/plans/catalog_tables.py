@@ -130,11 +130,11 @@ def user_sessions_of(spark, sf):
     return L.user_sessions_of(fx.usage_keyed(spark, sf))
 
 
-@register("unknown_user_requests", "SELECT * FROM requests WHERE userid NOT IN (SELECT userid FROM users)",
-          ("requests", "users"))
+@register("unknown_user_requests", "SELECT * FROM requests WHERE userid NOT IN (SELECT userid FROM known_users)",
+          ("requests", "known_users"))
 def unknown_user_requests(spark, sf):
     """requests for users that do not exist in the user table."""
-    return L.unknown_user_requests(fx.requests(spark, sf), fx.users(spark, sf))
+    return L.unknown_user_requests(fx.requests(spark, sf), fx.known_users(spark, sf))
 
 
 @register("duplicate_requests", """
@@ -473,12 +473,13 @@ def negative_balance_audit(spark, sf):
 
 
 @register("missing_balance_audit",
-          "SELECT c_custkey AS userid FROM customer WHERE c_custkey NOT IN (SELECT userid FROM fin_events)",
-          ("fin_events",))
+          "SELECT userid FROM users WHERE userid NOT IN (SELECT userid FROM known_opening) "
+          "AND userid NOT IN (SELECT userid FROM txns WHERE spent_amount <> 0)",
+          ("users", "known_opening", "txns"))
 def missing_balance_audit(spark, sf):
-    """Customers (as users) without any financial event."""
-    users = table(spark, sf, "customer", "c_custkey").select(F.col("c_custkey").alias("userid"))
-    return C.missing_balance_audit(users, fx.fin_events(spark, sf))
+    """Customers without any financial event, where those that had not
+    signed up have no opening one."""
+    return C.missing_balance_audit(fx.users(spark, sf).select("userid"), fx.fin_events(spark, sf, fx.known_opening))
 
 
 @register("topup_candidates", f"SELECT * FROM ({_SPENDABLE}) WHERE spendable < 1000", ("fin_events", "usage_keyed"))

@@ -33,12 +33,14 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
          make_timestamp(CAST({BASE} AS BIGINT)) AS user_last_seen,
          CAST(NULL AS BIGINT) AS user_softlock_sessionid,
          CAST(NULL AS TIMESTAMP) AS user_softlock_expiry
-  FROM customer WHERE c_custkey % 10 <> 7"""),
+  FROM customer"""),
     "opening_events": ((), f"""
   SELECT c_custkey AS userid, CAST(floor(c_acctbal) AS BIGINT) AS amount,
          'Create_' || CAST(c_custkey AS VARCHAR) AS user_txn_id, '{MSG_USER_CREATED}' AS message,
          make_timestamp(CAST({BASE} AS BIGINT)) AS txn_time
-  FROM customer WHERE c_custkey % 10 <> 7"""),
+  FROM customer"""),
+    "known_users": (("users",), "SELECT * FROM users WHERE userid % 10 <> 7"),
+    "known_opening": (("opening_events",), "SELECT * FROM opening_events WHERE userid % 10 <> 7"),
     "req_fields": (("ev",), f"""
   SELECT event_id, user_id, event_type, t_us,
          CASE WHEN event_type = 'signup' AND event_id % 97 = 0 THEN 'DELETE_USER'

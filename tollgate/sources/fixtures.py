@@ -34,23 +34,38 @@ def events(spark: SparkSession, sf_dir: str, squeeze: int = SQUEEZE) -> DataFram
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer."""
     c = table(spark, sf_dir, "customer", "c_custkey")
-    return (c.filter(F.col("c_custkey") % 10 != 7)
-            .select(F.col("c_custkey").alias("userid"),
+    return c.select(F.col("c_custkey").alias("userid"),
                     user_json(F.col("c_custkey")).alias("user_json_object"),
                     _ts(BASE_US).alias("user_last_seen"),
                     F.lit(None).cast("long").alias("user_softlock_sessionid"),
-                    F.lit(None).cast("timestamp").alias("user_softlock_expiry")))
+                    F.lit(None).cast("timestamp").alias("user_softlock_expiry"))
 
 
 def opening_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The opening credit of every customer."""
     c = table(spark, sf_dir, "customer", "c_custkey", "c_acctbal")
-    return (c.filter(F.col("c_custkey") % 10 != 7)
-            .select(F.col("c_custkey").alias("userid"),
+    return c.select(F.col("c_custkey").alias("userid"),
                     F.floor("c_acctbal").cast("long").alias("amount"),
                     F.concat(F.lit("Create_"), F.col("c_custkey").cast("string")).alias("user_txn_id"),
                     F.lit(S.MSG_USER_CREATED).alias("message"),
-                    _ts(BASE_US).alias("txn_time")))
+                    _ts(BASE_US).alias("txn_time"))
+
+
+def signed_up(df: DataFrame) -> DataFrame:
+    """The rows of users who are there before the request log starts; the
+    others are unknown until the log signs them up (for the replays, and what
+    reports requests of unknown users)."""
+    return df.filter(F.col("userid") % 10 != 7)
+
+
+def known_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed_up(users(spark, sf_dir))
+
+
+def known_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed_up(opening_events(spark, sf_dir))
 
 
 _FIELDS = ["op", "txn_id", "session_id", "units_used", "units_wanted", "amount", "json"]
@@ -255,13 +270,13 @@ def run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.unionByName(noise)
 
 
-def fin_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fin_events(spark: SparkSession, sf_dir: str, opening=opening_events) -> DataFrame:
     """Financial events for the view tests: the opening events plus one event
     per ledger row of ``txns`` that moved money."""
     moves = (txns(spark, sf_dir).filter(F.col("spent_amount") != 0)
              .select("userid", F.col("spent_amount").alias("amount"), "user_txn_id",
                      F.col("purpose").alias("message"), "txn_time"))
-    return opening_events(spark, sf_dir).unionByName(moves)
+    return opening(spark, sf_dir).unionByName(moves)
 
 
 def users_locked(spark: SparkSession, sf_dir: str) -> DataFrame:
