@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tollgate import schema as S
-from tollgate.functions.columns import date_shift, minute_trunc, ts_literal
+from tollgate.functions.columns import date_shift, micros, minute_trunc, ts_literal
 from tollgate.operators import views as V
 
 _LOCKS, _COUNT, _ALLOCATED = S.METRIC_NAMES[:3]
@@ -92,6 +92,38 @@ def allocated_series(decisions: DataFrame) -> DataFrame:
                              F.sum("delta").over(run).cast("long").alias("allocated_amount"))
 
 
+def value_at_risk_series(decisions: DataFrame) -> DataFrame:
+    """M5/A3 with expiry when it happens: total reserved credit at the end of
+    each minute in which some reservation opens or closes.
+
+    A reservation opens with its decision and closes at the next report of its
+    session, the user's deletion, or 180 minutes on, whichever comes first; its
+    amount enters the minutes of both as a signed change, and the changes are
+    summed over the minutes.  What closes it lies in its own 180-minute bucket or
+    the next, so rows are copied into the bucket before and the windows see one
+    (user, bucket): a hot user is split by time, with one shuffle."""
+    ttl = F.lit(S.USAGE_TTL_MINUTES * 60 * 1_000_000)
+    delete = F.col("op") == "DELETE_USER"
+    touches = (F.col("op") == "REPORT_USAGE") & F.col("status").between(S.STATUS_OK, S.STATUS_ALL_UNITS_ALLOCATED)
+    rows = (decisions.where(touches | delete).withColumn("t", micros("txn_time"))
+            .select("userid", "session_id", "request_id", "t", delete.alias("gone"), "approved")
+            .withColumn("bucket", F.floor(F.col("t") / ttl)))
+    rows = rows.withColumn("ctx", F.lit(False)).unionByName(
+        rows.withColumn("bucket", F.col("bucket") - 1).withColumn("ctx", F.lit(True)))
+    user = Window.partitionBy("userid", "bucket").orderBy("t", "request_id")
+    session = Window.partitionBy("userid", "bucket", "session_id").orderBy("t", "request_id")
+    deleted = F.min(F.when(F.col("gone"), F.col("t"))).over(user.rowsBetween(1, Window.unboundedFollowing))
+    rows = (rows.withColumn("deleted", deleted).withColumn("touched", F.lead("t").over(session))
+            .where(~F.col("ctx") & ~F.col("gone") & (F.col("approved") != 0)))
+    closes = F.least("touched", "deleted", F.col("t") + ttl)
+    changes = rows.select(F.explode(F.array(F.struct(F.col("t").alias("at"), F.col("approved").alias("by")),
+                                            F.struct(closes.alias("at"), (-F.col("approved")).alias("by")))).alias("c"))
+    per_minute = (changes.groupBy(minute_trunc(F.timestamp_micros("c.at")).alias("txn_time"))
+                  .agg(F.sum("c.by").alias("by")))
+    run = Window.orderBy("txn_time").rowsBetween(Window.unboundedPreceding, 0)     # a row per minute
+    return per_minute.select("txn_time", F.sum("by").over(run).cast("long").alias("allocated_amount"))
+
+
 def procedure_rate(requests: DataFrame, ops=("LOCK_USER", "UPDATE_USER")) -> DataFrame:
     """M6: calls per second of the lock and update procedures per minute
     (count / 60), minutes with calls only."""

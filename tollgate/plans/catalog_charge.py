@@ -291,6 +291,25 @@ def allocated_series(spark, sf):
     return M.allocated_series(replay(spark, sf).decisions)
 
 
+@register("value_at_risk_series", f"""
+WITH d AS (SELECT userid, session_id, request_id, epoch_us(txn_time) AS t, op, approved FROM ({_DEC})
+           WHERE op = 'DELETE_USER' OR (op = 'REPORT_USAGE' AND status BETWEEN 42 AND 45)),
+o AS (SELECT *, lead(t) OVER (PARTITION BY userid, session_id ORDER BY t, request_id) AS touched,
+             min(CASE WHEN op = 'DELETE_USER' THEN t END) OVER (PARTITION BY userid ORDER BY t, request_id
+                 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS deleted FROM d),
+c AS (SELECT t AS c_at, approved AS delta FROM o WHERE op <> 'DELETE_USER' AND approved <> 0
+      UNION ALL
+      SELECT least(coalesce(touched, t + {_TTL_US}), coalesce(deleted, t + {_TTL_US}), t + {_TTL_US}), -approved
+      FROM o WHERE op <> 'DELETE_USER' AND approved <> 0),
+m AS (SELECT date_trunc('minute', make_timestamp(CAST(c_at AS BIGINT))) AS txn_time, sum(delta) AS delta FROM c GROUP BY 1)
+SELECT txn_time, CAST(sum(delta) OVER (ORDER BY txn_time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)
+         AS allocated_amount FROM m""", **_WIDE)
+def value_at_risk_series(spark, sf):
+    """M5 exactly: reserved credit per minute over the log at its own times,
+    idle users' reservations expiring when their time is up."""
+    return M.value_at_risk_series(replay_segments(spark, sf).decisions)
+
+
 @register("charge_stream", _DEC, **_FOLD)
 def charge_stream(spark, sf):
     """The replay as a running stream: the log before the middle of its
