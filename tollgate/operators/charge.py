@@ -458,9 +458,12 @@ def report_usage_single_session(requests: DataFrame, opening_events: DataFrame,
     delta = F.when(is_rqu, spent).otherwise(F.coalesce(F.col("amount"), F.lit(0)))
     r = (r.withColumn("t_us", micros("txn_time"))
          .withColumn("bucket", F.floor(F.col("t_us") / F.lit(bucket_us)).cast("long")))
-    same_txn = Window.partitionBy("userid", F.coalesce("txn_id", F.concat(F.lit("#"), F.col("request_id").cast("string"))))
-    r = (r.withColumn("first", F.min(F.struct("t_us", "request_id")).over(same_txn))
-         .withColumn("again", F.col("first.request_id") != F.col("request_id"))
+    # only ids that come more than once are joined back: the log itself is not shuffled for them
+    repeated = (r.where(F.col("txn_id").isNotNull()).groupBy("userid", "txn_id")
+                .agg(F.min(F.struct("t_us", "request_id")).alias("first"), F.count(F.lit(1)).alias("n"))
+                .where("n > 1").drop("n"))
+    r = (r.join(repeated, ["userid", "txn_id"], "left")
+         .withColumn("again", F.coalesce(F.col("first.request_id") != F.col("request_id"), F.lit(False)))
          # a repeated report spends nothing; a repeated credit is answered as a repeat and still adds, as in the fold
          .withColumn("delta", F.when(F.col("again") & is_rqu, F.lit(0)).otherwise(delta).cast("long")))
 
