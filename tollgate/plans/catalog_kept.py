@@ -8,11 +8,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tollgate.operators import cardindex as X
 from tollgate.operators import incremental as I
 from tollgate.operators import maintenance as R
 from tollgate.plans.registry import register
 from tollgate.session import cut_lineage, ensure_checkpoint_dir
 from tollgate.sources import fixtures as fx
+from tollgate.sources.tables import table
 
 PUT_IN_FROM = fx.BASE_US + 3 * fx.HOUR_US          # what happens later arrives as a batch
 SQL_PUT_IN_FROM = "TIMESTAMP '2024-01-01 03:00:00'"
@@ -89,3 +91,17 @@ def kept_views_query(spark, sf):
             .unionByName(rows("A4", v.user_allocated(), "allocated_amount"))
             .unionByName(rows("A5", v.users_sessions(), "how_many", sessionid=F.col("sessionid")))
             .unionByName(rows("A8", v.cluster_activity_by_users(), "how_many")))
+
+
+@register("find_by_card_index", """
+SELECT e.event_id AS probe_id, u.*
+FROM events e JOIN users u
+  ON json_extract_string(u.user_json_object, '$.loyaltySchemeNumber') = CAST(e.user_id >> 1 AS VARCHAR)
+WHERE e.event_type = 'purchase'""", ("users",))
+def find_by_card_index(spark, sf):
+    """F2 (bulk) through the index: users by the card shown at each purchase."""
+    path = os.path.join(ensure_checkpoint_dir(spark), f"card-index-{uuid.uuid4().hex}")
+    index = X.write_card_index(fx.users(spark, sf), path)
+    probes = (table(spark, sf, "events", "event_id", "user_id", "event_type").filter(F.col("event_type") == "purchase")
+              .select(F.col("event_id").alias("probe_id"), F.shiftright("user_id", 1).alias("card")))
+    return X.lookup_cards(index, probes)
