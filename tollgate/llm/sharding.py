@@ -1,15 +1,16 @@
 """Sharding by a hierarchical weighted hash tree.
 
 The tree has three levels: regions, racks, shards.  A document descends it: on
-each level every child draws ``ln(u) / weight`` from a hash of (doc_id, child)
-and the largest draw wins, so a child is chosen in proportion to its weight.
-The draw of a child depends on nothing but the document and that child, so a
-change of weights moves documents only into subtrees that gained weight or out
-of those that lost it.
-
-``tree(n)`` fills whole regions one after the other.  A shard that opens a new
-region therefore changes no other subtree's weight, and takes documents only
-into itself.
+each level every child draws, and the largest draw wins.  A shard draws
+``ln(u) / weight`` from a hash of (doc_id, shard); a rack or region draws the
+largest draw of the shards below it, which is distributed as one draw with the
+sum of their weights.  A child is therefore chosen in proportion to its weight,
+and the draw of a subtree changes only where a weight inside it does: documents
+move into subtrees that gained weight or out of those that lost it, and stay on
+their way everywhere else.  One more shard, wherever it stands, takes documents
+only into itself.
+
+``tree(n)`` fills whole regions one after the other.
 """
 
 from __future__ import annotations
@@ -56,12 +57,17 @@ def tree(shards: int, weights: dict[int, float] | None = None,
 
 
 def _draw(key: Column, node: Node) -> Column:
+    """The draw of a subtree: the largest of its shards'."""
+    if node.children:
+        draws = [_draw(key, c) for c in node.children if c.weight > 0]
+        return draws[0] if len(draws) == 1 else F.greatest(*draws)
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(node.name), key), 11) + F.lit(1)) / F.lit(float(2 ** 53 + 1))
     return F.log(u) / F.lit(node.weight)
 
 
 def place(key: Column, root: Node) -> Column:
-    """The shard of a key: one weighted draw a level."""
+    """The shard of a key: one weighted draw a level.  Equal draws of two
+    children go to the first."""
     live = [c for c in root.children if c.weight > 0]
     if not root.children:
         return F.lit(root.shard)
@@ -84,8 +90,9 @@ def shard(docs: DataFrame, root: Node, grown: Node | None = None, rows_per_run:
     decides, so repeated rows lie together; a null doc_id is a key of its own.
     slot: gapless from 0 within the shard; each shard is numbered in runs of
     about ``rows_per_run`` rows by a second hash, and a run starts where the runs
-    before it end, so no task sorts a whole shard.  An empty table gives an
-    empty result."""
+    before it end, so no task sorts a whole shard.  Very long texts are only
+    measured and summed up, columns of clashing names are ignored, and an empty
+    table gives an empty result."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     text = F.coalesce("text", F.lit(""))
     out = docs.select("doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
