@@ -94,3 +94,53 @@ def test_wrapped_notices_are_no_samples_of_the_unknown_class():
     *((t, {f}) for f, texts in L.TEMPLATES.items() for t in texts)])
 def test_all_families_of_a_segment_and_no_other(model, text, expected):
     assert {f for _, f in families(model, text)} == expected
+
+
+#: names and wording of licences that are in no family
+OUTSIDE = [
+    *(f"{how} under the {name} License." for how in ("Released", "Licensed", "Distributed")
+      for name in ("zlib", "PostgreSQL", "Boost Software", "Boost", "Eclipse", "Artistic", "Python", "OpenSSL", "Ruby", "PHP", "X11 Foo")),
+    "Educational Community License, Version 2.0.",
+    "Licensed under the Educational Community License, Version 2.0 (the \"License\"); you may not use this file except "
+    "in compliance with the License.",
+    "Licensed under the Eclipse Public License, version 2.0.",
+    "Licensed under the European Union Public License, version 1.2.",
+    "This Source Code Form is subject to the terms of the Common Development and Distribution License, v. 1.0.",
+    "This work is licensed under the Open Software License, version 3.",
+    "Licensed under CC BY-NC-SA 4.0.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC XX 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+    "accompanying documentation covered by this license",
+    "Permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, "
+    "and without a written agreement is hereby granted",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications",
+    "Dedicated to the public domain under PDDL 1.0.",
+]
+
+
+@pytest.mark.parametrize("text", OUTSIDE)
+def test_licences_of_no_family_are_not_confirmed(model, text):
+    assert families(model, text) == []
+    around = " ".join(f"zz{i}" for i in range(30))
+    assert families(model, f"{around} {text} {around}") == []
+
+
+@pytest.mark.parametrize("text, family", [
+    ("Distributed under the ISC License.", "isc"), ("Released under the terms of the MIT License.", "mit"),
+    ("Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("Licensed under the GNU General Public License, version 3.", "gpl"),
+    ("This file is licensed under the Apache License, Version 2.0", "apache")])
+def test_notices_worded_a_little_differently(model, text, family):
+    assert families(model, text) == [(0, family)]
+
+
+def test_a_name_far_away_does_not_confirm(model):
+    far = " ".join(f"zz{i}" for i in range(20))
+    assert families(model, f"Released under the zlib License. {far} isc {far} License") == []
+
+
+def test_pieces_of_a_long_text_give_the_words_of_the_whole(model):
+    text = ("wörd " * 300_000 + "x" * 1_500_000 + " Released under the MIT License. " + "é, " * 200_000).encode()
+    for a, b in zip(L._words(text), L.hash_words(text), strict=True):
+        assert np.array_equal(a, b)
+    assert families(model, text.decode()) == [(0, "mit")]

@@ -10,7 +10,7 @@ calibrated by a temperature fitted on a part that training didn't see.  A
 family is reported where its probability reaches ``ACCEPT``; what the
 classifier gives to no family stays in the unknown class.  A report is
 *confirmed* if the segment holds, in order, enough of the words of a template
-of that family.  As notices that share a segment share its probability, a
+of that family, its name among them where the template has it.  As notices that share a segment share its probability, a
 segment where some family is ``FLOOR`` likely against the unknown class alone is
 held against the templates of all families; each is reported that is confirmed
 by words that name it and that no nearer family holds.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tollgate.llm.words import hash_words, mix
+from tollgate.llm.words import cut, hash_words, mix
 
 # ---- fixed values: wording of public licence notices ------------------------
 TEMPLATES = {
@@ -67,6 +67,26 @@ TEMPLATES = {
     "proprietary": ("All rights reserved.", "Proprietary and confidential. Unauthorized copying of this file is strictly prohibited."),
     "unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
+#: how notices name a family; the other two are known by their wording only
+NAMES = {
+    "agpl": ("gnu affero general public license",),
+    "apache": ("apache",),
+    "bsd": ("bsd",),
+    "cc0": ("cc0",),
+    "cc-by": ("cc by", "creative commons attribution"),
+    "cc-by-nc": ("cc by nc", "creative commons attribution noncommercial"),
+    "cc-by-nd": ("cc by nd", "creative commons attribution noderivatives"),
+    "cc-by-sa": ("cc by sa", "creative commons attribution sharealike"),
+    "gpl": ("gnu general public license",),
+    "isc": ("isc",),
+    "lgpl": ("gnu lesser general public license",),
+    "mit": ("mit",),
+    "mpl": ("mozilla public license",),
+    "proprietary": (),
+    "unlicense": (),
+}
+#: words that make another name of the one before them
+GOES_ON = ("nc", "nd", "sa", "noncommercial", "noderivatives", "noderivs", "sharealike")
 FAMILIES = [*sorted(TEMPLATES), "unknown"]
 UNKNOWN = len(FAMILIES) - 1
 
@@ -79,6 +99,9 @@ ACCEPT = 0.5
 FLOOR = 0.1
 #: share of a template's words that must stand in the segment in order
 CONFIRM = 0.7
+#: what a template that names no licence lacks counts so many times: other
+#: licences have much of its wording, so nine of ten words must stand there
+UNNAMED = 3
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -245,6 +268,26 @@ COMMON = 5
 _NAMING = {w for w, n in Counter(w for ts in _TEMPLATES.values() for w in {w for t in ts for w in t}).items() if n < COMMON}
 
 
+_NAME_RUNS = {f: [x.split() for x in names] for f, names in NAMES.items()}
+
+
+def _starts(run: list[str], words: list[str]) -> list[int]:
+    return [k for k, w in enumerate(words) if w == run[0] and words[k:k + len(run)] == run]
+
+
+def _counted(family: str, template: list[str], words: list[str], share: float, at: list[int]) -> float:
+    """The share that counts.  Where the template names the family, none
+    unless the words that hold it name it as well, in one run that doesn't go
+    on as another name."""
+    runs = [x for x in _NAME_RUNS[family] if _starts(x, template)]
+    if not runs:
+        return max(0.0, 1 - UNNAMED * (1 - share))
+    held = set(at)
+    named = any(held.issuperset(range(k, k + len(x))) and (words[k + len(x):k + len(x) + 1] or [""])[0] not in GOES_ON
+                for x in runs for k in _starts(x, words))
+    return share if named else 0.0
+
+
 def _match(template: list[str], words: list[str]) -> tuple[float, list[int]]:
     """The same share, and the words of the notice: the longest run and what
     stands about as near to it as in the template."""
@@ -264,7 +307,8 @@ def _match(template: list[str], words: list[str]) -> tuple[float, list[int]]:
 
 def confirm(family: str, words: list[str], named: bool = False) -> tuple[float, list[int]]:
     """The best share over the templates of a family, and the words that hold
-    it; if ``named``, only of templates of whose naming words half are there."""
+    it; if ``named``, only of templates of whose naming words half are there.
+    A template that names the family holds nothing without that name."""
     best: tuple[float, list[int]] = (0.0, [0])
     for t in _TEMPLATES[family]:
         naming = _NAMING.intersection(t)
@@ -273,6 +317,7 @@ def confirm(family: str, words: list[str], named: bool = False) -> tuple[float,
         share, at = _match(t, words)
         if named and 2 * len(naming.intersection(words[k] for k in at)) < max(len(naming), 1):
             continue
+        share = _counted(family, t, words, share, at)
         best = max(best, (share, at), key=lambda x: (x[0] >= CONFIRM, x[0], len(x[1])))
     return best
 
@@ -332,12 +377,24 @@ def _scan(model: Model, text: bytes, words: tuple, a: np.ndarray, size: np.ndarr
                         yield j, found
 
 
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``hash_words`` of a text of any length, by pieces of bounded size."""
+    parts, at = [], 0
+    for piece in cut(text):
+        hashes, starts, lengths = hash_words(piece)
+        parts.append((hashes, starts + at, lengths))
+        at += len(piece)
+    if len(parts) == 1:
+        return parts[0]
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def scan_text(model: Model, text: bytes) -> list[tuple[int, str, float, float]]:
     """(line, family, probability, share of a template) of a text's segments that
     the classifier gives to a family, and of further families that templates
     confirm there: the likeliest of each family in a line.
     A notice that goes on over line ends stands at the line where it starts."""
-    words = hash_words(text)
+    words = _words(text)
     hashes, starts, _ = words
     if not len(hashes):
         return []
@@ -408,7 +465,12 @@ def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     probability, template_share, confirmed).
 
     Null and empty texts have nothing found; repeated rows are scanned as often
-    as they occur; other columns are ignored."""
+    as they occur; a very long text is cut into words by pieces of bounded size
+    and then holds its words' hashes and places (24 bytes a word); an empty
+    table, which has nothing to learn the unknown class from but the templates'
+    own words, gives an empty result; of equally near families that share their
+    naming words the one that stands first is reported; other columns, also of
+    clashing names, are ignored."""
     model = train(docs) if model is None else model
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)["doc_id"]
