@@ -144,3 +144,10 @@ def test_pieces_of_a_long_text_give_the_words_of_the_whole(model):
     for a, b in zip(L._words(text), L.hash_words(text), strict=True):
         assert np.array_equal(a, b)
     assert families(model, text.decode()) == [(0, "mit")]
+
+
+@pytest.mark.parametrize("word", ["zz", "yy", "wörd", "é", "the", "license"])
+def test_a_word_said_many_times_hides_no_notice(model, word):
+    many = f"{word} " * 40
+    assert families(model, f"{many}. Released under the MIT License. {many}") == [(0, "mit")]
+    assert families(model, many) == []

@@ -117,8 +117,9 @@ def words_of(text: str) -> list[str]:
 
 
 def _features(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of all 1- to GRAMS-grams of segments laid end to end, and the
-    segment of each."""
+    """Slots of the different 1- to GRAMS-grams of segments laid end to end, and
+    the segment of each, by segment.  A word said many times counts once, so
+    what stands beside a notice can't outweigh it by repetition."""
     owner = np.repeat(np.arange(len(counts)), counts)
     slots, owners = [], []
     h = np.zeros(len(words), np.uint64)
@@ -130,7 +131,11 @@ def _features(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
         inside = owner[:size] == owner[n:]
         slots.append((mix(h[inside] + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64))
         owners.append(owner[:size][inside])
-    return (np.concatenate(slots), np.concatenate(owners)) if slots else (np.empty(0, np.int64), np.empty(0, np.int64))
+    if not slots:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    both = np.sort((np.concatenate(owners) << BITS) | np.concatenate(slots))
+    both = both[np.flatnonzero(np.diff(both, prepend=-1))]
+    return both & ((1 << BITS) - 1), both >> BITS
 
 
 def _scores(model: Model, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -140,8 +145,6 @@ def _scores(model: Model, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     slots, owner = slots[known], owner[known]
     out = np.zeros((len(counts), len(FAMILIES)))
     if len(slots):
-        order = np.argsort(owner, kind="stable")
-        slots, owner = slots[order], owner[order]
         at = np.flatnonzero(np.diff(owner, prepend=-1))
         out[owner[at]] = np.add.reduceat(model.weights[slots], at, axis=0)
     out *= _scale(counts)[:, None]
@@ -224,8 +227,6 @@ def fit(lines: list[str], seed: int = 0) -> Model:
     counts = np.array([len(w) for w, _ in samples])
     words = hash_words(" ".join(w for s, _ in samples for w in s).encode())[0]
     slots, owner = _features(words, counts)
-    order = np.argsort(owner, kind="stable")
-    slots, owner = slots[order], owner[order]
     held = np.arange(len(samples)) % 4 == 0
     k = len(FAMILIES)
     used, compact = np.unique(slots, return_inverse=True)
