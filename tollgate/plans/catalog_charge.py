@@ -14,6 +14,7 @@ from tollgate.functions.texts import text_sql
 from tollgate.operators import audit as C
 from tollgate.operators import charge as D
 from tollgate.operators import metrics as M
+from tollgate.operators.locks import lock_decisions as decide_locks
 from tollgate.operators.segments import charge_by_segments as charge_segments
 from tollgate.plans.oracle_fold import decisions_sql, events_sql, fold_ctes
 from tollgate.plans.registry import register
@@ -256,7 +257,7 @@ def status_mix_single_session(spark, sf):
                                                       fx.opening_events(spark, sf)))
 
 
-@register("lock_contention", f"""
+_CONTENTION = f"""
 SELECT d.userid,
        count(CASE WHEN d.op = 'LOCK_USER' THEN 1 END) AS lock_attempts,
        count(CASE WHEN d.op = 'LOCK_USER' AND d.status = 53 THEN 1 END) AS lock_failures,
@@ -266,12 +267,30 @@ SELECT d.userid,
                   THEN 1 END) AS delta_updates,
        count(CASE WHEN d.op = 'UPDATE_USER' AND d.status <> 42 THEN 1 END) AS update_failures
 FROM ({_DEC}) d LEFT JOIN requests r ON r.request_id = d.request_id
-WHERE d.op IN ('LOCK_USER', 'UPDATE_USER') GROUP BY d.userid""", **_FOLD)
+WHERE d.op IN ('LOCK_USER', 'UPDATE_USER') GROUP BY d.userid"""
+
+
+@register("lock_contention", _CONTENTION, **_FOLD)
 def lock_contention(spark, sf):
     """Lock attempts, conflicts and updates per user from the replay."""
     return C.lock_contention(replay(spark, sf).decisions, fx.requests(spark, sf))
 
 
+@register("lock_decisions", f"""
+SELECT request_id, userid, txn_time, op, status, status_text, session_id
+FROM ({_DEC}) WHERE op IN ('LOCK_USER', 'UPDATE_USER')""", **_FOLD)
+def lock_decisions(spark, sf):
+    """D6 and D7 by windows, without the replay."""
+    return decide_locks(fx.requests(spark, sf), fx.known_users(spark, sf))
+
+
+@register("lock_contention_by_windows", _CONTENTION, **_FOLD)
+def lock_contention_by_windows(spark, sf):
+    """C6 over the decisions by windows, without the replay."""
+    requests = fx.requests(spark, sf)
+    return C.lock_contention(decide_locks(requests, fx.known_users(spark, sf)), requests)
+
+
 @register("negative_after_decision", f"SELECT * FROM ({_DEC}) WHERE balance_after - allocated_after < 0", **_FOLD)
 def negative_after_decision(spark, sf):
     """C2 on decisions: answers that left the spendable balance below zero."""
