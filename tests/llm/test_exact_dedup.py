@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from tollgate.llm import exact_dedup
 
@@ -35,12 +36,32 @@ def test_empty_table(make_docs):
 def test_directory_splits_only_overfull_buckets(make_docs):
     r = random.Random(3)
     docs = make_docs([(i, f"text {r.random()}") for i in range(400)])
-    index = exact_dedup.build_index(docs, capacity=40)
+    _, index = exact_dedup.build_index(docs, capacity=40)
     assert index.groupBy("bucket", "local_depth").count().agg({"count": "max"}).first()[0] <= 40
     assert index.count() == 400
     assert {x.local_depth for x in index.select("local_depth").distinct().collect()} <= set(range(1, 8))
 
 
+@pytest.mark.parametrize("key_bits", [64, 6])
+def test_documents_are_found_through_the_directory(make_docs, key_bits):
+    """With a directory that names wrong buckets documents are lost; with the right one none is."""
+    docs = make_docs([(i, f"text {i % 150}") for i in range(300)])
+    (bits, places), index = exact_dedup.build_index(docs, capacity=20, key_bits=key_bits)
+    assert exact_dedup.lookup(docs, (bits, places), index, key_bits).count() == 300
+    moved = places.withColumn("bucket", F.when(F.col("bucket") == places.agg({"bucket": "max"}).first()[0], 0).otherwise(F.col("bucket")))
+    lost = exact_dedup.lookup(docs, (bits, moved), index, key_bits).count()
+    assert 0 < lost < 300
+
+
+def test_chains_hold_their_texts_and_owners_ranges_of_keys(make_docs):
+    docs = make_docs([(i, f"text {i % 90}") for i in range(180)])
+    _, index = exact_dedup.build_index(docs, capacity=8, key_bits=4)
+    assert index.where("links > 1 AND norm IS NULL").count() == 0 and index.where("links = 1 AND norm IS NOT NULL").count() == 0
+    assert index.count() == 90 and index.groupBy("key").count().count() <= 16
+    bad = index.groupBy("key").agg(F.max("chain").alias("top"), F.count("*").alias("n"), F.max("links").alias("links"))
+    assert bad.where("top <> n OR links <> n").count() == 0
+
+
 def test_stage_keeps_columns_and_one_of_each(make_docs):
     out = exact_dedup.keep_first(make_docs(ROWS, clash=True))
     assert out.columns == make_docs(ROWS, clash=True).columns
