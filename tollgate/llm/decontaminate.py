@@ -67,7 +67,7 @@ def build_index(docs: DataFrame, benchmark: DataFrame) -> Index:
     terms = item_words.select("word").distinct().select("word", F.monotonically_increasing_id().alias("term"))
     terms = terms.unionByName(docs.sparkSession.range(1).select(F.lit("").alias("word"),
                                                                 F.lit(END_TERM).cast("long").alias("term")))
-    terms = stored(terms.coalesce(1), "bench-terms")
+    terms = stored(terms, "bench-terms")
     items = stored(item_words.join(terms, "word").drop("word"), "bench-items")
     text_words = words(ascii_lower(F.col("text")))
     found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id",
